@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _nfkc(text: str) -> str:
@@ -23,7 +24,7 @@ def letters_digits(text: str) -> str:
 
 
 def _mapped(function):
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def apply(texts: pd.Series) -> pd.Series:
         return texts.map(function, na_action="ignore")
 
