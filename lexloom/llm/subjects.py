@@ -57,7 +57,7 @@ def read_terms(path: str = TERMS_FILE) -> list[tuple[str, str]]:
 def sentences(text: str) -> list[str]:
     """Sentences of a text in lower case; list marks and headings aside, answer options go with their question."""
     text = LIST_MARK.sub("", OPTIONS.sub(r" \2\1 ", text))
-    return [s.lower() for s in BREAK.split(text) if s and CONTENT.search(s) and not HEADING.match(s)]
+    return [" ".join(s.lower().split()) for s in BREAK.split(text) if s and CONTENT.search(s) and not HEADING.match(s)]
 
 
 class SubjectMatcher:
