@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def load(spark: SparkSession, directory: str, name: str, *columns: str) -> DataFrame:
+def load(spark: SparkSession, directory: str, name: str, *columns: str | Column) -> DataFrame:
     """Table ``name``, only ``columns`` where given; timestamps without zone are read as UTC instants."""
     df = spark.read.parquet(f"{directory}/{name}.parquet")
     if columns:
