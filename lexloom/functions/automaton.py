@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterable
 
 import ahocorasick
@@ -40,6 +41,7 @@ class PhraseMatcher:
         """Longest hits that don't overlap, in text order; of equal length the earlier one wins."""
         taken: list[tuple[int, int, object]] = []
         for hit in sorted(self.hits(text), key=lambda h: (h[0] - h[1], h[0])):
-            if all(hit[1] <= t[0] or hit[0] >= t[1] for t in taken):
-                taken.append(hit)
-        return sorted(taken, key=lambda h: h[0])
+            k = bisect_left(taken, hit[0], key=lambda h: h[0])
+            if (k == 0 or taken[k - 1][1] <= hit[0]) and (k == len(taken) or hit[1] <= taken[k][0]):
+                taken.insert(k, hit)
+        return taken

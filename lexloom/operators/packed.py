@@ -9,6 +9,7 @@ where known values stand on both sides.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -33,11 +34,13 @@ QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»", "„": "
 BRACKETS = {"(": ")", "[": "]", "{": "}", "（": "）", "【": "】"}
 WEAK = re.compile(r"\s+(?:and|or)\s+|\s*[&+]\s*", re.I)
 NUMBER = re.compile(r"(?:(?<=\s)|^)\(?(\d{1,2})[.)]\s+")
+AFTER_QUOTE = re.compile(rf" *(?:\Z|[{STRONG}(\[])")
 #: Fields without any of these hold one value; checked on the JVM side before Python sees the row.
 MAY_BE_PACKED = r"[,;/|、，；／｜\t\n\r\x0b\x0c&+]|(?i)\s(and|or)\s|\d[.)]\s"
 
-#: Costs: of a cut at a word, of a value that isn't known, and of a delimiter left inside a value that isn't known.
-CUT_WEAK, UNKNOWN, CROSSED = 0.01, 1.0, 3.0
+#: Costs of a cut at a word and of a value that isn't known; only a known value may hold a delimiter.
+CUT_WEAK, UNKNOWN = 0.01, 1.0
+SPARE = 80  # characters that quotes and remarks may add to a known value
 
 
 class Segmenter:
@@ -58,14 +61,17 @@ class Segmenter:
     def _protected(self, text: str) -> list[tuple[int, int]]:
         """Spans that no cut may enter."""
         spans, i, fresh = [], 0, True  # fresh: a value may begin here
+        unclosed: set[str] = set()  # marks that nothing further on closes
         while i < len(text):
             c = text[i]
-            if fresh and c in QUOTES and (end := self._closing(text, i)):
+            end = 0
+            if c not in unclosed and (fresh and c in QUOTES or c in BRACKETS):
+                end = self._closing(text, i) if c in QUOTES else text.find(BRACKETS[c], i + 1) + 1
+                if not end:
+                    unclosed.add(c)
+            if end:
                 spans.append((i, end))
                 i, fresh = end, False
-            elif c in BRACKETS and (end := text.find(BRACKETS[c], i + 1) + 1):
-                spans.append((i, end))
-                i = end
             else:
                 weak = WEAK.match(text, i)
                 if c in STRONG:
@@ -85,7 +91,13 @@ class Segmenter:
                 elif kind == "value" and any(c in STRONG for c in text[start:end]):
                     spans.append((start, end))  # a legitimate value that holds delimiters
         spans += [m.span() for m in RATIO.finditer(text)]
-        return sorted(spans)
+        merged: list[tuple[int, int]] = []
+        for start, end in sorted(spans):
+            if merged and start < merged[-1][1]:
+                merged[-1] = (merged[-1][0], max(end, merged[-1][1]))
+            else:
+                merged.append((start, end))
+        return merged
 
     @staticmethod
     def _closing(text: str, start: int) -> int:
@@ -93,15 +105,19 @@ class Segmenter:
         close, end = QUOTES[text[start]], start + 1
         while (end := text.find(close, end)) >= 0:
             end += 1
-            rest = text[end:].lstrip(" ")
-            if end - start > 2 and (not rest or rest[0] in STRONG or rest[0] in "([" or WEAK.match(text, end)):
+            if end - start > 2 and (AFTER_QUOTE.match(text, end) or WEAK.match(text, end)):
                 return end
         return 0
 
     def _cuts(self, text: str) -> list[tuple[int, int, bool]]:
         """Possible cuts as (start, end, weak)."""
         spans = self._protected(text)
-        inside = lambda a, b: any(s < b and a < e for s, e in spans)
+        starts = [a for a, _ in spans]
+
+        def inside(start: int, end: int) -> bool:
+            k = bisect_left(starts, end) - 1
+            return k >= 0 and spans[k][1] > start
+
         cuts = [(m.start(), m.end(), False) for m in re.finditer(rf"[{STRONG}]+", text)]
         cuts += [(m.start(), m.end(), True) for m in WEAK.finditer(text)]
         marks = list(NUMBER.finditer(text))
@@ -119,27 +135,21 @@ class Segmenter:
         # best[i] is the cheapest cover up to border i; cuts at delimiters are free.
         borders = [(0, 0, False), *cuts, (len(text), len(text), False)]
         best, back = [0.0], [0]
-        strong = [0]
-        for _, _, weak in cuts:
-            strong.append(strong[-1] + (not weak))
+        run = 0  # of the borders since the last delimiter, the one with the cheapest cover
         for i in range(1, len(borders)):
-            options = []
+            # a value that isn't known reaches back to the cheapest border that no delimiter parts it from
+            options = [(best[run] + UNKNOWN, run)]
             for j in range(i - 1, -1, -1):
-                crossed = strong[i - 1] - strong[j]
                 piece = text[borders[j][1] : borders[i][0]]
-                # beyond the last strong cut only a known value can pay for the crossing
-                if crossed and len(piece) > self._longest_known + 40:
+                if len(piece) > self._longest_known + SPARE and j < i - 1:
                     break
-                if not piece.strip():
-                    cost = 0.0
-                elif self._known(piece):
-                    cost = 0.0
-                else:
-                    cost = UNKNOWN + CROSSED * crossed
-                options.append((best[j] + cost + (CUT_WEAK if borders[i][2] else 0), j))
+                if not piece.strip() or self._known(piece):
+                    options.append((best[j], j))
             cost, j = min(options)
-            best.append(cost)
+            best.append(cost + (CUT_WEAK if borders[i][2] else 0))
             back.append(j)
+            if not borders[i][2] or best[i] < best[run]:
+                run = i
         pieces, i = [], len(borders) - 1
         while i:
             j = back[i]

@@ -27,7 +27,7 @@ REASONS = ("quoting", "column_count", "invalid_value")
 BAD_CHARACTER = re.compile("[\x00-\x08\x0a-\x1f\x7f-\x9f\ufffd\ue000-\uf8ff\U000f0000-\U000ffffd\U00100000-\U0010fffd]")
 LETTER = re.compile(r"[^\W\d_]")
 #: Found in every line whose quoting is broken (and in a few others, which the strict reader clears).
-DOUBTFUL_QUOTES = re.compile(r'(?:^|\t)"(?:[^"]|"")*(?:"[^"\t]|$)', re.S)
+DOUBTFUL_QUOTES = re.compile(r'(?:^|\t)"(?:[^"]|"")*+(?:"[^"\t]|$)', re.S)
 
 
 def bare(line: str) -> str:

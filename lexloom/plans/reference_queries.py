@@ -520,7 +520,7 @@ def latest_state_wins(s, d):
     return A.latest(core, ["user_id", "event_type"], ["ts", "event_id"], ["value", "ts"])
 
 
-@query("""SELECT event_id, round((epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))) / 86400, 6) AS days FROM events""")
+@query("""SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS micros FROM events""")
 def days_since_last(s, d):
     events = load(s, d, "events", "event_id", "user_id", "ts")
     # the row before, in blocks: the last (ts, id) inside the block or of the block before
@@ -530,7 +530,7 @@ def days_since_last(s, d):
     marked = events.withColumn("_b", day).withColumn("_at", at).withColumn("_lag", F.lag("_at").over(inside))
     ends = marked.groupBy("user_id", "_b").agg(F.max("_at").alias("_end"))
     prior = ends.select("user_id", "_b", F.lag("_end").over(Window.partitionBy("user_id").orderBy("_b")).alias("_prior"))
-    return marked.join(prior, ["user_id", "_b"], "left").select("event_id", F.round((F.col("_at") - F.coalesce("_lag", "_prior")) / 86400e6, 6).alias("days"))
+    return marked.join(prior, ["user_id", "_b"], "left").select("event_id", (F.col("_at") - F.coalesce("_lag", "_prior")).alias("micros"))
 
 
 @query("""SELECT p_partkey, ((p_partkey - 1 - 750 + 100 * (SELECT count(*) FROM part)) % (SELECT count(*) FROM part)) // 10 AS batch, ((p_partkey - 1 - 750 + 100 * (SELECT count(*) FROM part)) % (SELECT count(*) FROM part)) % 10 AS place FROM part""")
