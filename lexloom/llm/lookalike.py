@@ -139,9 +139,12 @@ def consistent(text: str) -> str:
     sure = [{_script(b) for b in _bases(clusters[a:z]) if b not in _UNSURE and b.isalpha()} for a, z in words]
     latin_near = any("Latin" in s for s in sure)
     foreign_near = any(s & {"Cyrillic", "Greek"} for s in sure)
+    chosen = [_target(clusters[a:z], latin_near, foreign_near) for a, z in words]
+    if not latin_near and any(t.startswith("Latin") for t in chosen):  # words that become Latin count as Latin
+        chosen = [_target(clusters[a:z], True, foreign_near) for a, z in words]
     targets = [""] * len(clusters)
-    for a, z in words:
-        targets[a:z] = [_target(clusters[a:z], latin_near, foreign_near)] * (z - a)
+    for (a, z), target in zip(words, chosen):
+        targets[a:z] = [target] * (z - a)
     out = "".join(map(_step, clusters, targets))
     return unicodedata.normalize("NFC", out).strip(" ")
 
