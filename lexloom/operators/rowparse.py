@@ -64,6 +64,11 @@ def read_strict(line: str) -> list[tuple[str, bool]] | None:
         at += 1
 
 
+def has_letter(value: str) -> bool:
+    found = LETTER.search(value)
+    return bool(found) and (found[0].isalpha() or any(map(str.isalpha, value)))
+
+
 def sound(value: str, quoted: bool) -> bool:
     """Whether a non-blank term is possible."""
     if len(value) > MOST_CHARACTERS or not any(map(str.isalpha, value)):
@@ -115,7 +120,7 @@ def _bulk(lines: list[str], header: tuple[str, ...], keep: tuple[str, ...]) -> l
         values = table[name].to_pylist()
         if BAD_CHARACTER.search("\t".join(values)):
             return None
-        if any(not LETTER.search(v) and (v.strip() or name == "headword") for v in values):
+        if any(not has_letter(v) and (v.strip() or name == "headword") for v in values):
             return None
     return table.select([h for h in header if not keep or h in keep]).to_pylist()
 
@@ -143,7 +148,7 @@ def parse_lines(
     ``fields`` maps column names to values and is null where the line has no readable columns. Only the values
     named by ``keep`` are carried, all if it is empty. A null line counts as an empty one. A line of an unknown
     file or a file with a null header has no columns to agree with: ``column_count`` unless its quoting is broken.
-    Repeated lines give repeated rows. The join with ``files`` is left to Catalyst (broadcast while small, else a
+    Repeated lines give repeated rows; of a file listed twice the smaller header counts. The join with ``files`` is left to Catalyst (broadcast while small, else a
     skew-adapted shuffle), the check of ``source`` is a join with the distinct registry names.
     """
     wanted = tuple(dict.fromkeys(("source", *keep))) if keep else ()
@@ -181,7 +186,7 @@ def parse_lines(
 
     with_header = (
         lines.select("line_id", "file_id", "line_no", "raw_line")
-        .join(files.select("file_id", "header").dropDuplicates(["file_id"]), "file_id", "left")
+        .join(files.groupBy("file_id").agg(F.min("header").alias("header")), "file_id", "left")
         .select("line_id", "file_id", "line_no", "raw_line", "header")
     )
     parsed = with_header.mapInPandas(
