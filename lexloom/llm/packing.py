@@ -113,7 +113,7 @@ def fill_containers(items: DataFrame, kinds: list[tuple[str, int]], partition_it
     """
     kinds = [(k, c) for k, c in kinds if k is not None and c and c > 0]
     cut = checkpointed(pieces(items, kinds)) if kinds else pieces(items, [("", 1)]).limit(0)
-    parts = max(1, math.ceil(items.count() / partition_items))
+    parts = max(1, math.ceil(cut.where("piece = 0").count() / max(1, len(kinds)) / partition_items))
 
     def first(batches: pd.DataFrame) -> pd.DataFrame:
         frame = batches.sort_values(["doc_id", "piece"], kind="stable")
