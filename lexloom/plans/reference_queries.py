@@ -16,6 +16,8 @@ from lexloom.operators import gates as G
 from lexloom.operators import layout as L
 from lexloom.operators import ordered as R
 from lexloom.operators import practice as P
+from lexloom.operators import wordlists as W
+from lexloom.operators.folds import predictions
 from lexloom.sources.tables import load
 from lexloom.streaming.practice import stream_counters, stream_first_answers, stream_retests
 from lexloom.streaming.run import read_stream, run_available
@@ -646,3 +648,73 @@ def stream_first_answers_run(s, d):
 @query()
 def stream_windowed_counts(s, d):
     return run_available(stream_counters(read_stream(s, d, "events").select("ts", "event_type", "value")))
+
+
+# --- word lists and folds -------------------------------------------------------------------------------------------
+
+_HEAD = r"^(.+ \([a-z ]+\.?\)) – "
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE kind = 'glossary' AND NOT contains(text, chr(13))),
+m AS (SELECT *, regexp_matches(line, '^(.+ \([a-z ]+\.?\)) – ') AS h FROM l),
+e AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS entry FROM m)
+SELECT doc_id, entry, min(CASE WHEN h THEN regexp_extract(line, '^(.+ \([a-z ]+\.?\)) – ', 1) END) AS head, min(line_no) AS first_line, count(*) AS n_lines,
+ coalesce(string_agg(trim(line, ' '), ' ' ORDER BY line_no) FILTER (NOT h AND trim(line, ' ') <> ''), '') AS rest FROM e GROUP BY 1, 2""")
+def glossary_entries(s, d):
+    docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'glossary'").where(~F.col("text").contains("\r"))
+    return W.entries_by_head(W.lines_of(docs, "doc_id", "text"), ["doc_id"], _HEAD)
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE kind = 'dialogue' AND NOT contains(text, chr(13))),
+e AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(line, '\?\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS entry FROM l)
+SELECT doc_id, entry, min(line_no) AS first_line, trim(regexp_replace(string_agg(trim(line, ' '), ' ' ORDER BY line_no), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS text, bool_or(regexp_matches(line, '\?\s*$')) AS complete FROM e GROUP BY 1, 2""")
+def turns_until_question(s, d):
+    docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'dialogue'").where(~F.col("text").contains("\r"))
+    return W.entries_until(W.lines_of(docs, "doc_id", "text"), ["doc_id"], r"\?\s*$")
+
+
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE NOT contains(text, chr(13))),
+e AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^Unit (\d+) ') THEN regexp_extract(line, '^Unit (\d+) ', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM l)
+SELECT section, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM e WHERE NOT regexp_matches(line, '^Unit (\d+) ') GROUP BY 1""")
+def section_lines(s, d):
+    docs = load(s, d, "documents", "doc_id", "text").where(~F.col("text").contains("\r"))
+    lines = W.with_sections(W.lines_of(docs, "doc_id", "text"), ["doc_id"], r"^Unit (\d+) ")
+    return lines.groupBy("section").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs"))
+
+
+@query(r"""WITH j AS (SELECT registry_source_id, topic_or_section, source_file, string_agg(definition, ' ' ORDER BY line_no) AS x FROM source_rows WHERE definition IS NOT NULL GROUP BY 1, 2, 3),
+t AS (SELECT registry_source_id, topic_or_section, source_file, unnest([trim(regexp_replace(y, '[ \t\n\r\f\v]+', ' ', 'g'), ' ') FOR y IN string_split(x, ',') IF trim(regexp_replace(y, '[ \t\n\r\f\v]+', ' ', 'g'), ' ') <> '']) AS term FROM j)
+SELECT term, count(*) AS n FROM t GROUP BY 1""")
+def comma_stream_terms(s, d):
+    keys = ["registry_source_id", "topic_or_section", "source_file"]
+    rows = load(s, d, "source_rows", *keys, "line_no", "definition").where("definition IS NOT NULL")
+    return W.comma_stream(rows, keys, "line_no", "definition").groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT CASE WHEN NOT contains(x, '|') THEN 'no_delimiter' WHEN trim(string_split(x, '|')[1], ' ') NOT IN ('noun', 'verb', 'n', 'v') THEN 'unknown_code'
+ WHEN trim(regexp_replace(x, '^[^|]*\|', ''), ' ') = '' THEN 'empty_term' WHEN regexp_matches(regexp_replace(x, '^[^|]*\|', ''), '[㐀-鿿]') THEN 'wrong_script' ELSE 'entry' END AS outcome, count(*) AS n
+FROM (SELECT coalesce(pos, '') || CASE WHEN row_id % 9 = 0 THEN '' ELSE '|' END || coalesce(topic_or_section, '') AS x FROM source_rows) WHERE trim(x, ' ') <> '' GROUP BY 1""")
+def coded_line_outcomes(s, d):
+    bar = F.when(F.col("row_id") % 9 == 0, "").otherwise("|")
+    rows = load(s, d, "source_rows", "row_id", "pos", "topic_or_section")
+    lines = rows.select(F.concat(F.coalesce("pos", F.lit("")), bar, F.coalesce("topic_or_section", F.lit(""))).alias("line"))
+    out = W.coded_lines(lines, {"noun": "noun", "n": "noun", "verb": "verb", "v": "verb"})
+    return out.groupBy(F.coalesce("problem", F.lit("entry")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query(r"""SELECT s.page, s.term FROM (SELECT DISTINCT lower(source) || '#' || pdf_page AS page, lower(headword) AS term FROM target_rows WHERE source IS NOT NULL AND pdf_page IS NOT NULL AND headword IS NOT NULL) s
+WHERE NOT EXISTS (SELECT 1 FROM source_rows r WHERE lower(r.source) || '#' || r.pdf_page = s.page AND contains(lower(r.raw_term), s.term))""")
+def plan_not_visible(s, d):
+    page = F.concat_ws("#", F.lower("source"), "pdf_page").alias("page")
+    known = "source IS NOT NULL AND pdf_page IS NOT NULL"
+    plan = load(s, d, "target_rows", "source", "pdf_page", "headword").where(known).select(page, F.lower("headword").alias("term")).dropna().distinct()
+    pages = load(s, d, "source_rows", "source", "pdf_page", "raw_term").where(known).select(page, F.lower("raw_term").alias("body")).dropna()
+    return W.missing_from_pages(plan, pages, F.col("body").contains(F.col("term")))
+
+
+@query()
+def online_predictions(s, d):
+    events = load(s, d, "events", "user_id", "event_id", "ts", "event_type")
+    answer = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "error", 0)
+    rows = events.select("user_id", "event_id", "ts", answer.alias("y"), (F.unix_micros("ts") / 1e6).alias("at"))
+    return predictions(rows, ["user_id"], ["ts", "event_id"], "y", "at")
