@@ -12,11 +12,13 @@ from __future__ import annotations
 import base64
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,19 +175,31 @@ def encode_corpus(documents: DataFrame, directory: str = TOKENIZER_DIR, name: st
     come together again. A chunk that very many texts share is one row of the encoded chunks; its uses are many
     rows of the other side of the join, which adaptive execution splits.
     """
-    piece = T.ArrayType(
-        T.StructType([T.StructField("chunk", T.StringType()), T.StructField("sure", T.BooleanType())])
-    )
-
-    @F.pandas_udf(piece)
-    def cut(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"chunk": c, "sure": s} for c, s in chunks(t)])
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, places, texts, sure, unsure = [], [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                parts = chunks(text)
+                docs += [i] * len(parts)
+                places += range(len(parts))
+                texts += [c for c, _ in parts]
+                sure += [s for _, s in parts]
+                unsure += [not all(s for _, s in parts)] * len(parts)
+            take = pa.array(docs, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(unsure, pa.bool_()), pa.array(places, pa.int32()), pa.array(texts, pa.string()), pa.array(sure, pa.bool_())],
+                ["doc_id", "text_key", "unsure", "pos", "chunk", "sure"],
+            )
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(directory, name)
         for batch in batches:
-            yield pd.Series(tool.encode_ordinary_batch(batch.tolist(), num_threads=1), dtype=object)
+            flat, ends = array("i"), array("i", [0])
+            for text in batch.column("chunk").to_pylist():
+                flat.extend(tool.encode_ordinary(text))
+                ends.append(len(flat))
+            ids = pa.ListArray.from_arrays(pa.array(np.asarray(ends)), pa.array(np.asarray(flat, dtype=np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), ids], ["key", "ids"])
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def repair(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -198,13 +212,14 @@ def encode_corpus(documents: DataFrame, directory: str = TOKENIZER_DIR, name: st
             yield pd.Series(out, dtype=object)
 
     text = F.coalesce("text", F.lit(""))
-    key = F.unhex(F.md5("chunk"))
+    kind = dict(documents.dtypes)["doc_id"]
     uses = (
-        documents.select("doc_id", F.unhex(F.md5(text)).alias("text_key"), cut(text).alias("pieces"))
-        .select("doc_id", "text_key", F.size("pieces").alias("n_pieces"), F.exists("pieces", lambda p: ~p["sure"]).alias("unsure"), F.posexplode("pieces").alias("pos", "p"))
-        .select("doc_id", "text_key", "unsure", "pos", "p.chunk", "p.sure", key.alias("key"))
+        documents.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("text_key"))
+        .mapInArrow(cut, f"doc_id {kind}, text_key binary, unsure boolean, pos int, chunk string, sure boolean")
+        .withColumn("key", F.unhex(F.md5("chunk")))
     )
-    encoded = uses.groupBy("key").agg(F.first("chunk").alias("chunk")).select("key", encode("chunk").alias("ids"))
+    distinct = uses.groupBy("key").agg(F.first("chunk").alias("chunk"))
+    encoded = distinct.mapInArrow(encode, "key binary, ids array<int>")
     # a chunk's text goes along only where a join has to be repaired
     refs = uses.withColumn("chunk", F.when(F.col("unsure"), F.col("chunk")))
     part = F.struct("pos", "sure", "chunk", "ids")
