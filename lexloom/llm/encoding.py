@@ -218,7 +218,7 @@ def encode_corpus(documents: DataFrame, directory: str = TOKENIZER_DIR, name: st
         .mapInArrow(cut, f"doc_id {kind}, text_key binary, unsure boolean, pos int, chunk string, sure boolean")
         .withColumn("key", F.unhex(F.md5("chunk")))
     )
-    distinct = uses.groupBy("key").agg(F.first("chunk").alias("chunk"))
+    distinct = uses.select("key", "chunk").distinct()  # a hash aggregate; taking a first chunk by key would sort
     encoded = distinct.mapInArrow(encode, "key binary, ids array<int>")
     # a chunk's text goes along only where a join has to be repaired
     refs = uses.withColumn("chunk", F.when(F.col("unsure"), F.col("chunk")))
