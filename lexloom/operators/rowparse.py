@@ -141,7 +141,7 @@ def _parse(lines: list[str], header: tuple[str, ...], keep: tuple[str, ...], out
 
 
 def parse_lines(
-    lines: DataFrame, files: DataFrame, registry: DataFrame, keep: tuple[str, ...] = ()
+    lines: DataFrame, files: DataFrame, registry: DataFrame, keep: tuple[str, ...] | None = ()
 ) -> DataFrame:
     """One row (line_id, file_id, line_no, reason, fields) for every line; reason is null for a valid row.
 
@@ -151,7 +151,7 @@ def parse_lines(
     Repeated lines give repeated rows; of a file listed twice the smaller header counts. The join with ``files`` is left to Catalyst (broadcast while small, else a
     skew-adapted shuffle), the check of ``source`` is a join with the distinct registry names.
     """
-    wanted = tuple(dict.fromkeys(("source", *keep))) if keep else ()
+    wanted = tuple(dict.fromkeys(("source", *(keep or ())))) if keep or keep is None else ()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,7 +180,7 @@ def parse_lines(
                     "source_key": pd.Series(
                         [r.get("source", "").strip().casefold() if r else None for r in rows], index=batch.index, dtype=object
                     ),
-                    "fields": pd.Series(rows, index=batch.index, dtype=object),
+                    "fields": pd.Series(rows if keep is not None else [None] * len(rows), index=batch.index, dtype=object),
                 }
             )
 

@@ -25,7 +25,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """Every raw line that fails, with the first reason."""
-    return rejected(_parsed(spark, d, ("headword",)))
+    return rejected(_parsed(spark, d, None))
 
 
 def p6_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +33,7 @@ def p6_rows(spark: SparkSession, d: str) -> DataFrame:
     return accepted(_parsed(spark, d, ()), TSV_COLUMNS)
 
 
-def _parsed(spark: SparkSession, d: str, keep: tuple[str, ...]) -> DataFrame:
+def _parsed(spark: SparkSession, d: str, keep: tuple[str, ...] | None) -> DataFrame:
     return parse_lines(
         load(spark, d, "raw_lines"), load(spark, d, "raw_files"), load(spark, d, "source_registry"), keep
     )
