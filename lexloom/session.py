@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = os.path.join(tempfile.gettempdir(), "lexloom-checkpoints")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, for Python workers that don't have it on their path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="lexloom-"), "lexloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, files in os.walk(here):
+            for name in files:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
