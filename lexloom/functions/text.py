@@ -201,3 +201,52 @@ def same_spelling(a: Column, b: Column) -> Column:
 def has_text_layer(x: Column, least: int = 80) -> Column:
     """``native`` with at least so many letters and digits, else ``ocr``."""
     return F.when(F.length(F.regexp_replace(x, r"[^\p{L}\p{N}]", "")) >= least, F.lit("native")).otherwise(F.lit("ocr"))
+
+
+def valid_candidate(x: Column, most: int = 100) -> Column:
+    """Whether a text can be a word-list candidate: short, no formula or arrow, letters and plain marks only."""
+    return F.coalesce(
+        (F.length(x) <= most) & ~x.rlike(r" \+ |[=/→]") & ~F.lower(x).contains("infinitive") & x.rlike(r"^[\p{L}][\p{L}\p{M}0-9 '’.,!?()-]*\z"), F.lit(False)
+    )
+
+
+def target_problem(x: Column, most: int = 48) -> Column:
+    """Why a text is no teaching target; null if it is one."""
+    return (
+        F.when(x.isNull() | (F.btrim(x) == ""), "empty").when(F.length(x) > most, "too_long").when(x.rlike(r"[.!?;:]"), "sentence_mark")
+        .when(~x.rlike(r"^[\p{L}][\p{L} '-]*\z"), "other_character")
+    )
+
+
+def definition_sides(x: Column) -> tuple[Column, Column]:
+    """(left, right) of ``term – definition``; a text without a spaced dash has no right side."""
+    pattern = r"^(.*?)\s+[–—-]\s+(.*)$"
+    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1)).otherwise(x), F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 2))
+
+
+def without_sense(x: Column) -> tuple[Column, Column]:
+    """(headword, sense number) of a headword with trailing sense digits."""
+    return F.regexp_replace(x, r"\s*\d+$", ""), F.nullif(F.regexp_extract(x, r"(\d+)$", 1), F.lit("")).cast("int")
+
+
+def joined_breaks(x: Column) -> Column:
+    """Words divided at a line end joined, other line ends as spaces, no final period."""
+    return F.regexp_replace(collapse(F.regexp_replace(x, r"(\p{L})-\s*\n\s*(\p{Ll})", "$1$2")), r"\.$", "")
+
+
+def ipa_part(x: Column) -> tuple[Column, Column]:
+    """(term, transcription) of ``term /…/``."""
+    pattern = r"^(.*?)\s*/([^/]+)/\s*$"
+    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1)).otherwise(x), F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 2))
+
+
+def locator_problem(x: Column, groups: int = 14, units: int = 25) -> Column:
+    """Whether every part of a comma-separated locator is ``G`` and 1..groups, or 1..units; null if so."""
+    part = lambda p: ((p.rlike(r"^G\d{1,2}$")) & F.regexp_extract(p, r"(\d+)", 1).cast("int").between(1, groups)) | (p.rlike(r"^\d{1,2}$") & F.regexp_extract(p, r"(\d+)", 1).cast("int").between(1, units))
+    return F.when(x.isNull() | (F.btrim(x) == ""), "empty").when(~F.forall(F.transform(F.split(x, ","), lambda p: F.btrim(p)), lambda p: F.coalesce(part(p), F.lit(False))), "bad_part")
+
+
+def sentence_use(sentence: Column, word: Column) -> Column:
+    """``needs_revision`` unless a sentence of three words or more holds the word as a whole word; never judged right."""
+    long_enough = F.size(F.split(collapse(sentence), " ")) >= 3
+    return F.when(long_enough & visible(sentence, word), "pending_human_review").otherwise("needs_revision")
