@@ -95,7 +95,7 @@ def catalogue_browse(s, d):
     ).select("row_id", "headword")
 
 
-@query("""SELECT user_id, round(sum(seconds), 3) AS seconds, count(*) FILTER (running <= 720) AS in_budget FROM (SELECT user_id, day, seconds, sum(seconds) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running
+@query("""SELECT user_id, round(sum(seconds), 3)::DOUBLE AS seconds, count(*) FILTER (running <= 720) AS in_budget FROM (SELECT user_id, day, seconds, sum(seconds) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running
 FROM (SELECT *, date_trunc('day', ts) AS day, 30.0 + event_id % 60 AS seconds FROM events)) GROUP BY 1""")
 def daily_budget(s, d):
     events = load(s, d, "events", "user_id", "event_id", "ts").withColumn("day", F.date_trunc("day", "ts")).withColumn("seconds", F.lit(30.0) + F.col("event_id") % 60)

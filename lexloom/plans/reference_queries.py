@@ -427,7 +427,7 @@ def grouping_sets_inventory(s, d):
     return table.groupingSets([["format"], ["source_role"], ["corpus_policy"], []], "format", "source_role", "corpus_policy").agg(F.count("*").alias("n"))
 
 
-@query("SELECT lang, kind, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY ROLLUP (lang, kind)")
+@query("SELECT lang, kind, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, kind)")
 def rollup_documents(s, d):
     return load(s, d, "documents", "lang", "kind", "n_chars").rollup("lang", "kind").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
@@ -486,7 +486,7 @@ def forward_fill(s, d):
     return R.forward_fill(events, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), "mark", "section").select("event_id", "section")
 
 
-@query("""WITH i AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM events)
+@query("""WITH i AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM events)
 SELECT user_id, island, min(event_id) AS first, count(*) AS n_lines, string_agg(event_type, ' ' ORDER BY ts, event_id) AS text FROM i GROUP BY 1, 2""")
 def gap_island_assemble(s, d):
     events = load(s, d, "events", "event_id", "user_id", "ts", "event_type")
@@ -503,8 +503,8 @@ def compact_ranges(s, d):
 
 
 @query("""WITH h AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS hit, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS miss FROM events),
-m AS (SELECT *, sum(miss) OVER w AS misses, sum(hit) OVER w AS hits FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
-SELECT event_id, hits, misses, sum(hit) OVER (PARTITION BY user_id, misses ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS combo FROM m""")
+m AS (SELECT *, (sum(miss) OVER w)::BIGINT AS misses, (sum(hit) OVER w)::BIGINT AS hits FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+SELECT event_id, hits, misses, sum(hit) OVER (PARTITION BY user_id, misses ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS combo FROM m""")
 def running_combo(s, d):
     events = load(s, d, "events", "event_id", "user_id", "ts", "event_type")
     hit, miss = F.when(F.col("event_type") == "purchase", 1).otherwise(0), F.when(F.col("event_type") == "error", 1).otherwise(0)
@@ -541,7 +541,7 @@ def round_robin_batch(s, d):
     return R.round_robin(part, "n", 10, part.count(), 750).select("p_partkey", "batch", "place")
 
 
-@query("""WITH r AS (SELECT event_id, user_id, sum(cost) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running_cost FROM (SELECT *, 60 + event_id % 90 AS cost FROM events))
+@query("""WITH r AS (SELECT event_id, user_id, sum(cost) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS running_cost FROM (SELECT *, 60 + event_id % 90 AS cost FROM events))
 SELECT event_id, running_cost FROM r WHERE running_cost <= 720""")
 def budgeted_plan(s, d):
     events = load(s, d, "events", "event_id", "user_id", "ts").withColumn("cost", 60 + F.col("event_id") % 90)
@@ -657,8 +657,8 @@ _HEAD = r"^(.+ \([a-z ]+\.?\)) – "
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE kind = 'glossary' AND NOT contains(text, chr(13))),
 m AS (SELECT *, regexp_matches(line, '^(.+ \([a-z ]+\.?\)) – ') AS h FROM l),
-e AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS entry FROM m)
-SELECT doc_id, entry, min(CASE WHEN h THEN regexp_extract(line, '^(.+ \([a-z ]+\.?\)) – ', 1) END) AS head, min(line_no) AS first_line, count(*) AS n_lines,
+e AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS entry FROM m)
+SELECT doc_id, entry, min(CASE WHEN h THEN regexp_extract(line, '^(.+ \([a-z ]+\.?\)) – ', 1) END) AS head, min(line_no)::INT AS first_line, count(*) AS n_lines,
  coalesce(string_agg(trim(line, ' '), ' ' ORDER BY line_no) FILTER (NOT h AND trim(line, ' ') <> ''), '') AS rest FROM e GROUP BY 1, 2""")
 def glossary_entries(s, d):
     docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'glossary'").where(~F.col("text").contains("\r"))
@@ -666,8 +666,8 @@ def glossary_entries(s, d):
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE kind = 'dialogue' AND NOT contains(text, chr(13))),
-e AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(line, '\?\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS entry FROM l)
-SELECT doc_id, entry, min(line_no) AS first_line, trim(regexp_replace(string_agg(trim(line, ' '), ' ' ORDER BY line_no), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS text, bool_or(regexp_matches(line, '\?\s*$')) AS complete FROM e GROUP BY 1, 2""")
+e AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(line, '\?\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS entry FROM l)
+SELECT doc_id, entry, min(line_no)::INT AS first_line, trim(regexp_replace(string_agg(trim(line, ' '), ' ' ORDER BY line_no), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS text, bool_or(regexp_matches(line, '\?\s*$')) AS complete FROM e GROUP BY 1, 2""")
 def turns_until_question(s, d):
     docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'dialogue'").where(~F.col("text").contains("\r"))
     return W.entries_until(W.lines_of(docs, "doc_id", "text"), ["doc_id"], r"\?\s*$")
