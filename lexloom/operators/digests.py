@@ -17,10 +17,21 @@ def row_digest(*columns: str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
-def sequence_digest(df: DataFrame, keys: list[str], order: str, digest: str) -> DataFrame:
-    """(keys, n, digest) over the rows of each key in order. For keys of bounded size, such as one page or file."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda r: r[digest])
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.sha2(F.array_join(ordered, ""), 256).alias("sequence_digest"))
+def sequence_digest(df: DataFrame, keys: list[str], order: str, digest: str, block: int = 10_000) -> DataFrame:
+    """(keys, n, digest) over the rows of each key in order.
+
+    A tree of two levels: rows of the same ``block`` numbers of the order are digested together, then the digests of
+    a key's blocks, so that a key of very many rows is the work of many tasks.
+    """
+
+    def in_order(x: str, by: str) -> Column:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct(by, x))), lambda r: r[x])
+        return F.sha2(F.array_join(ordered, ""), 256)
+
+    blocks = df.withColumn("_block", F.floor(F.col(order) / block)).groupBy(*keys, "_block").agg(
+        F.count("*").alias("_n"), in_order(digest, order).alias("_digest")
+    )
+    return blocks.groupBy(*keys).agg(F.sum("_n").alias("n"), in_order("_digest", "_block").alias("sequence_digest"))
 
 
 def multiset_digest(df: DataFrame, keys: list[str], digest: str) -> DataFrame:

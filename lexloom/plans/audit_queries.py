@@ -26,8 +26,10 @@ def query(sql: str | None = None):
     return register
 
 
-@query("""WITH f AS (SELECT file_id, count(*) AS found FROM raw_lines GROUP BY 1), e AS (SELECT file_id, 100 AS expected FROM raw_files)
-SELECT coalesce(f.file_id, e.file_id) AS file_id, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found FROM f FULL JOIN e ON f.file_id = e.file_id WHERE coalesce(expected, 0) <> coalesce(found, 0)""")
+@query("""WITH f AS (SELECT file_id, count(*) AS found FROM raw_lines GROUP BY 1), e AS (SELECT file_id, 100 AS expected
+  FROM raw_files)
+SELECT coalesce(f.file_id, e.file_id) AS file_id, coalesce(expected, 0) AS expected, coalesce(found, 0) AS found FROM f
+  FULL JOIN e ON f.file_id = e.file_id WHERE coalesce(expected, 0) <> coalesce(found, 0)""")
 def distribution_gate(s, d):
     expected = load(s, d, "raw_files", "file_id").withColumn("expected", F.lit(100))
     return U.distribution(load(s, d, "raw_lines", "file_id"), ["file_id"], expected)
@@ -38,15 +40,19 @@ def count_range_gate(s, d):
     return U.within(load(s, d, "source_rows", "registry_source_id"), ["registry_source_id"], 50, 400)
 
 
-@query("""WITH e AS (SELECT DISTINCT doc_id FROM documents WHERE kind = 'glossary'), o AS (SELECT doc_id, count(*) AS n FROM subject_labels GROUP BY 1)
-SELECT coalesce(e.doc_id, o.doc_id) AS doc_id, CASE WHEN e.doc_id IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'unseen' ELSE 'repeated' END AS state
+@query("""WITH e AS (SELECT DISTINCT doc_id FROM documents WHERE kind = 'glossary'), o AS (SELECT doc_id, count(*) AS n
+  FROM subject_labels GROUP BY 1)
+SELECT coalesce(e.doc_id, o.doc_id) AS doc_id,
+  CASE WHEN e.doc_id IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'unseen' ELSE 'repeated' END AS state
 FROM e FULL JOIN o ON e.doc_id = o.doc_id WHERE e.doc_id IS NULL OR n IS NULL OR n > 1""")
 def correction_audit(s, d):
     return U.correction_audit(load(s, d, "documents", "doc_id", "kind").where("kind = 'glossary'"), load(s, d, "subject_labels", "doc_id"), "doc_id")
 
 
-@query("""WITH a AS (SELECT file_id, line_no, string_split(raw_line, chr(9))[1] AS v FROM raw_lines), b AS (SELECT file_id + 1 AS file_id, line_no, v FROM a),
-j AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(a.line_no, b.line_no) AS "at", a.v AS l, b.v AS r FROM a FULL JOIN b ON a.file_id = b.file_id AND a.line_no = b.line_no
+@query("""WITH a AS (SELECT file_id, line_no, string_split(raw_line, chr(9))[1] AS v
+  FROM raw_lines), b AS (SELECT file_id + 1 AS file_id, line_no, v FROM a),
+j AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(a.line_no, b.line_no) AS "at", a.v AS l, b.v AS r FROM a
+  FULL JOIN b ON a.file_id = b.file_id AND a.line_no = b.line_no
  WHERE a.v IS DISTINCT FROM b.v OR a.file_id IS NULL OR b.file_id IS NULL)
 SELECT file_id, min("at") AS "at", arg_min([l], "at")[1] AS "left", arg_min([r], "at")[1] AS "right" FROM j GROUP BY 1""")
 def first_mismatch(s, d):
@@ -60,7 +66,9 @@ def duplicate_statistics(s, d):
 
 
 @query("""WITH r AS (SELECT registry_source_id AS id, count(*) AS n, count(DISTINCT source_file) AS files, count(*) FILTER (cefr IS NULL) AS unlevelled FROM source_rows GROUP BY 1),
-c AS (SELECT g.id, [x FOR x IN [CASE WHEN coalesce(n > 100, false) THEN NULL ELSE 'few_rows' END, CASE WHEN coalesce(unlevelled * 2 < n, false) THEN NULL ELSE 'unlevelled' END, CASE WHEN search_root_key IS NOT NULL THEN NULL ELSE 'no_root' END,
+c AS (SELECT g.id, [x FOR x IN [CASE WHEN coalesce(n > 100, false) THEN NULL ELSE 'few_rows' END,
+  CASE WHEN coalesce(unlevelled * 2 < n, false) THEN NULL ELSE 'unlevelled' END,
+  CASE WHEN search_root_key IS NOT NULL THEN NULL ELSE 'no_root' END,
  CASE WHEN coalesce(regexp_matches(expected_sha256, '^[0-9a-f]{64}$'), false) THEN NULL ELSE 'no_digest' END] IF x IS NOT NULL] AS f FROM source_registry g LEFT JOIN r USING (id))
 SELECT id, array_to_string(f, ',') AS failures, len(f) = 0 AS passed FROM c""")
 def completion_evidence(s, d):
@@ -74,7 +82,9 @@ def completion_evidence(s, d):
     return U.evidence_codes(joined, codes).select("id", F.array_join("failures", ",").alias("failures"), "passed")
 
 
-@query("""SELECT k, string_agg(cefr || '=' || r, ',' ORDER BY cefr) AS entries FROM (SELECT lower(trim(headword, ' ')) AS k, cefr, min(row_id) AS r FROM target_rows WHERE headword IS NOT NULL AND cefr IS NOT NULL GROUP BY 1, 2) GROUP BY k""")
+@query("""SELECT k, string_agg(cefr || '=' || r, ',' ORDER BY cefr) AS entries
+  FROM (SELECT lower(trim(headword, ' ')) AS k, cefr, min(row_id) AS r FROM target_rows
+  WHERE headword IS NOT NULL AND cefr IS NOT NULL GROUP BY 1, 2) GROUP BY k""")
 def links_as_map(s, d):
     rows = load(s, d, "target_rows", "row_id", "headword", "cefr").where("headword IS NOT NULL").withColumn("k", F.lower(F.btrim("headword")))
     out = U.keyed_map(rows, ["k"], "cefr", "row_id")
@@ -87,7 +97,8 @@ def recent_history(s, d):
     return U.recent(load(s, d, "events", "user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20)
 
 
-@query("""SELECT row_id, headword FROM source_rows WHERE (contains(lower(headword), 'fund') OR contains(lower(topic_or_section), 'market')) AND cefr = 'B2' AND source_format = 'pdf'""")
+@query("""SELECT row_id, headword FROM source_rows
+  WHERE (contains(lower(headword), 'fund') OR contains(lower(topic_or_section), 'market')) AND cefr = 'B2' AND source_format = 'pdf'""")
 def catalogue_browse(s, d):
     rows = load(s, d, "source_rows", "row_id", "headword", "topic_or_section", "cefr", "source_format")
     return U.browse(rows, "Fund", ["headword"], {"cefr": "B2", "source_format": "pdf"}, {}).unionByName(
@@ -95,7 +106,8 @@ def catalogue_browse(s, d):
     ).select("row_id", "headword")
 
 
-@query("""SELECT user_id, round(sum(seconds), 3)::DOUBLE AS seconds, count(*) FILTER (running <= 720) AS in_budget FROM (SELECT user_id, day, seconds, sum(seconds) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running
+@query("""SELECT user_id, round(sum(seconds), 3)::DOUBLE AS seconds, count(*) FILTER (running <= 720) AS in_budget
+  FROM (SELECT user_id, day, seconds, sum(seconds) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running
 FROM (SELECT *, date_trunc('day', ts) AS day, 30.0 + event_id % 60 AS seconds FROM events)) GROUP BY 1""")
 def daily_budget(s, d):
     events = load(s, d, "events", "user_id", "event_id", "ts").withColumn("day", F.date_trunc("day", "ts")).withColumn("seconds", F.lit(30.0) + F.col("event_id") % 60)

@@ -82,7 +82,8 @@ def lexical_forms(s, d):
     return clean.select("row_id", X.lexical_form(F.col("clean")).alias("form"), X.lexical_key(F.col("clean")).alias("key"))
 
 
-@query(r"""WITH c AS (SELECT row_id, trim(regexp_replace(lower(definition), '\s+', ' ', 'g')) AS x FROM source_rows WHERE definition IS NOT NULL)
+@query(r"""WITH c AS (SELECT row_id, trim(regexp_replace(lower(definition), '\s+', ' ', 'g')) AS x FROM source_rows
+  WHERE definition IS NOT NULL)
 SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x,
  '^[•·▪◦*-]+\s*', ''), '\b(somebody|someone)\b', 'sb', 'g'), '\bsomething\b', 'sth', 'g'), '\s*/\s*', '/', 'g'), '\s*-\s*', '-', 'g'), '\s+', ' ', 'g'), ' ,;:.') AS key FROM c""")
 def definition_keys(s, d):
@@ -183,7 +184,8 @@ def visible_terms(s, d):
 @query(r"""SELECT row_id, unnest([x FOR x IN [CASE WHEN regexp_matches(raw_term, '\.\s*$') THEN 'ends_with_period' END,
  CASE WHEN lower(left(headword, 1)) <> lower(left(raw_term, 1)) THEN 'first_letter' END,
  CASE WHEN lower(trim(raw_term, ' ')) <> lower(trim(headword, ' ')) THEN 'term_differs' END,
- CASE WHEN cefr IS NOT NULL AND NOT regexp_matches(cefr, '^[ABC][12]$') THEN 'level' END] IF x IS NOT NULL]) AS issue FROM source_rows""")
+ CASE WHEN cefr IS NOT NULL AND NOT regexp_matches(cefr, '^[ABC][12]$') THEN 'level' END] IF x IS NOT NULL]) AS issue
+  FROM source_rows""")
 def quality_issues(s, d):
     rules = [
         G.Rule("ends_with_period", F.col("raw_term").rlike(r"\.\s*$")),
@@ -203,11 +205,13 @@ def role_policy_fd(s, d):
     return G.dependency_broken(rows, "source_role", "corpus_policy", ROLE_POLICY)
 
 
-@query("""SELECT r.row_id, CASE WHEN g.id IS NULL THEN 'unknown_id' WHEN r.source_role IS DISTINCT FROM g.source_role THEN 'source_role_differs'
+@query("""SELECT r.row_id, CASE WHEN g.id IS NULL THEN 'unknown_id' WHEN r.source_role IS DISTINCT
+  FROM g.source_role THEN 'source_role_differs'
  WHEN r.corpus_policy IS DISTINCT FROM g.corpus_policy THEN 'corpus_policy_differs' END AS issue
 FROM source_rows r LEFT JOIN source_registry g ON r.registry_source_id = g.id
 WHERE g.id IS NULL OR r.source_role IS DISTINCT FROM g.source_role OR r.corpus_policy IS DISTINCT FROM g.corpus_policy
-UNION ALL SELECT -t.row_id, 'unknown_id' FROM target_rows t LEFT JOIN source_registry g ON t.source = g.display_name WHERE g.id IS NULL""")
+UNION ALL SELECT -t.row_id, 'unknown_id' FROM target_rows t LEFT JOIN source_registry g ON t.source = g.display_name
+  WHERE g.id IS NULL""")
 def fk_gate(s, d):
     registry = load(s, d, "source_registry")
     rows = load(s, d, "source_rows", "row_id", "registry_source_id", "source_role", "corpus_policy")
@@ -218,13 +222,15 @@ def fk_gate(s, d):
 
 
 @query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN b.doc_id IS NULL THEN 'missing' ELSE 'unexpected' END AS state
-FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM subject_labels) b USING (doc_id) WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")
+FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM subject_labels) b USING (doc_id)
+  WHERE a.doc_id IS NULL OR b.doc_id IS NULL""")
 def coverage_missing_unexpected(s, d):
     return G.coverage(load(s, d, "documents", "doc_id"), load(s, d, "subject_labels", "doc_id"), "doc_id")
 
 
 @query("""SELECT 'with_orders' AS side, count(*) AS n FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
-UNION ALL SELECT 'without', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)""")
+UNION ALL SELECT 'without', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders
+  WHERE o_custkey IS NOT NULL)""")
 def semi_anti(s, d):
     customer, orders = load(s, d, "customer", "c_custkey"), load(s, d, "orders", "o_custkey")
     on = customer["c_custkey"] == orders["o_custkey"]
@@ -232,14 +238,17 @@ def semi_anti(s, d):
     return count(customer.join(orders, on, "left_semi"), "with_orders").unionByName(count(customer.join(orders, on, "left_anti"), "without"))
 
 
-@query("""(SELECT 'left' AS side, source, n FROM (SELECT lower(source) AS source, count(*) AS n FROM target_rows GROUP BY 1 EXCEPT ALL SELECT lower(source), count(*) FROM source_rows GROUP BY 1))
-UNION ALL (SELECT 'right', source, n FROM (SELECT lower(source) AS source, count(*) AS n FROM source_rows GROUP BY 1 EXCEPT ALL SELECT lower(source), count(*) FROM target_rows GROUP BY 1))""")
+@query("""(SELECT 'left' AS side, source, n FROM (SELECT lower(source) AS source, count(*) AS n FROM target_rows
+  GROUP BY 1 EXCEPT ALL SELECT lower(source), count(*) FROM source_rows GROUP BY 1))
+UNION ALL (SELECT 'right', source, n FROM (SELECT lower(source) AS source, count(*) AS n FROM source_rows
+  GROUP BY 1 EXCEPT ALL SELECT lower(source), count(*) FROM target_rows GROUP BY 1))""")
 def set_equality(s, d):
     count = lambda t: load(s, d, t, "source").groupBy(F.lower("source").alias("source")).agg(F.count("*").alias("n"))
     return G.set_difference(count("target_rows"), count("source_rows"))
 
 
-@query("""SELECT source FROM (SELECT DISTINCT source FROM target_rows INTERSECT SELECT display_name FROM source_registry) WHERE source IS NOT NULL""")
+@query("""SELECT source FROM (SELECT DISTINCT source FROM target_rows INTERSECT SELECT display_name FROM source_registry)
+  WHERE source IS NOT NULL""")
 def intersect_sources(s, d):
     return load(s, d, "target_rows", "source").intersect(load(s, d, "source_registry", F.col("display_name").alias("source"))).where("source IS NOT NULL")
 
@@ -247,9 +256,12 @@ def intersect_sources(s, d):
 # --- joins ----------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH a AS (SELECT lower(trim(headword, ' ')) AS k, max(row_id) AS id FROM source_rows WHERE corpus_policy = 'target' GROUP BY 1),
-c AS (SELECT lower(trim(headword, ' ')) AS k, max(row_id) AS id FROM source_rows WHERE corpus_policy = 'candidate_only' GROUP BY 1)
-SELECT t.row_id, coalesce(a.id, c.id) AS match_id, CASE WHEN a.id IS NOT NULL THEN 'active' WHEN c.id IS NOT NULL THEN 'candidate' ELSE 'unmatched' END AS status
+@query("""WITH a AS (SELECT lower(trim(headword, ' ')) AS k, max(row_id) AS id FROM source_rows
+  WHERE corpus_policy = 'target' GROUP BY 1),
+c AS (SELECT lower(trim(headword, ' ')) AS k, max(row_id) AS id FROM source_rows WHERE corpus_policy = 'candidate_only'
+  GROUP BY 1)
+SELECT t.row_id, coalesce(a.id, c.id) AS match_id,
+  CASE WHEN a.id IS NOT NULL THEN 'active' WHEN c.id IS NOT NULL THEN 'candidate' ELSE 'unmatched' END AS status
 FROM target_rows t LEFT JOIN a ON lower(trim(t.headword, ' ')) = a.k LEFT JOIN c ON lower(trim(t.headword, ' ')) = c.k""")
 def priority_lookup(s, d):
     key = F.lower(F.btrim("headword")).alias("k")
@@ -265,7 +277,8 @@ def priority_lookup(s, d):
     )
 
 
-@query("""SELECT l_orderkey, l_linenumber, o_orderpriority, CASE WHEN o_orderkey IS NULL THEN 'generated' ELSE 'reviewed' END AS asset
+@query("""SELECT l_orderkey, l_linenumber, o_orderpriority,
+  CASE WHEN o_orderkey IS NULL THEN 'generated' ELSE 'reviewed' END AS asset
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND (l_returnflag = 'R') = (o_orderstatus = 'F')""")
 def composite_key_left_join(s, d):
     lines = load(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").withColumn("k", F.col("l_returnflag") == "R")
@@ -286,7 +299,8 @@ def cross_expand(s, d):
 n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN upper(p_brand) || '!' ELSE p_brand END AS b, p_retailprice + CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 0.05 END AS v FROM part WHERE p_partkey % 11 <> 0),
 j AS (SELECT coalesce(a.k, n.k) AS k, a.k AS ak, n.k AS nk, a.b AS ab, n.b AS nb, CAST(CAST(a.v AS VARCHAR) AS DECIMAL(28,6)) AS av, CAST(CAST(n.v AS VARCHAR) AS DECIMAL(28,6)) AS nv FROM a FULL JOIN n ON a.k = n.k)
 SELECT k, CASE WHEN ak IS NULL THEN 'added' WHEN nk IS NULL THEN 'removed' ELSE 'changed' END AS state,
- CASE WHEN ak IS NULL OR nk IS NULL THEN '' ELSE concat_ws(',', CASE WHEN ab <> nb THEN 'b' END, CASE WHEN abs(av - nv) > 0.1 THEN 'v' END) END AS changed
+ CASE WHEN ak IS NULL OR nk IS NULL THEN '' ELSE concat_ws(',', CASE WHEN ab <> nb THEN 'b' END,
+  CASE WHEN abs(av - nv) > 0.1 THEN 'v' END) END AS changed
 FROM j WHERE ak IS NULL OR nk IS NULL OR ab <> nb OR abs(av - nv) > 0.1""")
 def manifest_diff_tolerance(s, d):
     part = load(s, d, "part", "p_partkey", "p_brand", "p_retailprice")
@@ -300,14 +314,16 @@ def manifest_diff_tolerance(s, d):
 
 
 @query("""WITH t AS (SELECT source_file, line_no, row_id, headword FROM target_rows)
-SELECT a.row_id, b.row_id AS next_row_id, a.headword IS NOT DISTINCT FROM b.headword AS same FROM t a JOIN t b ON a.source_file = b.source_file AND b.line_no = a.line_no + 1""")
+SELECT a.row_id, b.row_id AS next_row_id, a.headword IS NOT DISTINCT FROM b.headword AS same
+  FROM t a JOIN t b ON a.source_file = b.source_file AND b.line_no = a.line_no + 1""")
 def positional_diff(s, d):
     a = load(s, d, "target_rows", "source_file", "line_no", "row_id", "headword")
     b = a.select("source_file", (F.col("line_no") - 1).alias("line_no"), F.col("row_id").alias("next_row_id"), F.col("headword").alias("_h"))
     return a.join(b, ["source_file", "line_no"]).select("row_id", "next_row_id", F.col("headword").eqNullSafe(F.col("_h")).alias("same"))
 
 
-@query("""WITH b AS (SELECT user_id, event_id AS band_id, epoch(ts) AS lo, epoch(ts) + 3600 AS hi FROM events WHERE event_type = 'signup')
+@query("""WITH b AS (SELECT user_id, event_id AS band_id, epoch(ts) AS lo, epoch(ts) + 3600 AS hi FROM events
+  WHERE event_type = 'signup')
 SELECT e.event_id, b.band_id FROM events e JOIN b ON e.user_id = b.user_id AND epoch(e.ts) >= b.lo AND epoch(e.ts) < b.hi""")
 def range_band_join(s, d):
     events = load(s, d, "events", "event_id", "user_id", "ts", "event_type").withColumn("at", F.unix_micros("ts") / 1e6)
@@ -315,7 +331,8 @@ def range_band_join(s, d):
     return R.band_join(events.select("event_id", "user_id", "at"), bands, ["user_id"], "at", "lo", "hi", 3600.0).select("event_id", "band_id")
 
 
-@query("""SELECT s_name AS name, 'base' AS origin FROM supplier UNION ALL SELECT c_name, 'batch' FROM customer WHERE c_name NOT IN (SELECT s_name FROM supplier)""")
+@query("""SELECT s_name AS name, 'base' AS origin FROM supplier UNION ALL SELECT c_name, 'batch' FROM customer
+  WHERE c_name NOT IN (SELECT s_name FROM supplier)""")
 def insert_if_absent(s, d):
     base = load(s, d, "supplier", F.col("s_name").alias("name")).withColumn("origin", F.lit("base"))
     return D.insert_if_absent(base, load(s, d, "customer", F.col("c_name").alias("name")).withColumn("origin", F.lit("batch")), "name")
@@ -330,7 +347,8 @@ def corrections_override(s, d):
     return out.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-@query("""WITH r AS (SELECT registry_source_id AS id, count(*) AS evidence FROM source_rows GROUP BY 1), t AS (SELECT source AS display_name, count(*) AS targets FROM target_rows GROUP BY 1),
+@query("""WITH r AS (SELECT registry_source_id AS id, count(*) AS evidence FROM source_rows
+  GROUP BY 1), t AS (SELECT source AS display_name, count(*) AS targets FROM target_rows GROUP BY 1),
 dd AS (SELECT source AS id, count(*) AS documents FROM documents GROUP BY 1)
 SELECT g.id, coalesce(evidence, 0) AS evidence, coalesce(targets, 0) AS targets, coalesce(documents, 0) AS documents,
  CASE WHEN coalesce(evidence, 0) > 0 AND coalesce(documents, 0) > 0 THEN 'both' WHEN coalesce(evidence, 0) > 0 THEN 'evidence_only' ELSE 'pending' END AS state
@@ -356,16 +374,20 @@ def _keyed(s, d):
 _KEYED = r"(SELECT *, trim(regexp_replace(regexp_replace(lower(headword), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')) AS key FROM source_rows WHERE headword IS NOT NULL)"
 
 
-@query(f"""WITH k AS (SELECT * FROM {_KEYED} WHERE key <> ''), f AS (SELECT key, headword, count(*) AS n, min(row_id) AS first FROM k GROUP BY 1, 2),
+@query(f"""WITH k AS (SELECT * FROM {_KEYED}
+  WHERE key <> ''), f AS (SELECT key, headword, count(*) AS n, min(row_id) AS first FROM k GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, headword <> lower(headword), length(headword), lower(headword), first) AS rn FROM f)
-SELECT key, headword AS display, t.n_rows, t.n_sources, t.first_row FROM r JOIN (SELECT key, count(*) AS n_rows, count(DISTINCT source) AS n_sources, min(row_id) AS first_row FROM k GROUP BY key) t USING (key) WHERE rn = 1""")
+SELECT key, headword AS display, t.n_rows, t.n_sources, t.first_row
+  FROM r JOIN (SELECT key, count(*) AS n_rows, count(DISTINCT source) AS n_sources, min(row_id) AS first_row FROM k
+  GROUP BY key) t USING (key) WHERE rn = 1""")
 def lexeme_census(s, d):
     rows = _keyed(s, d)
     totals = rows.groupBy("key").agg(F.count("*").alias("n_rows"), F.count_distinct("source").alias("n_sources"), F.min("row_id").alias("first_row"))
     return A.display_form(rows, "key", "headword", "row_id").join(totals, "key")
 
 
-@query(f"""WITH k AS (SELECT *, CASE corpus_policy WHEN 'target' THEN 0 WHEN 'candidate_only' THEN 1 ELSE 2 END AS rk FROM {_KEYED} WHERE key <> ''),
+@query(f"""WITH k AS (SELECT *, CASE corpus_policy WHEN 'target' THEN 0 WHEN 'candidate_only' THEN 1 ELSE 2 END AS rk
+  FROM {_KEYED} WHERE key <> ''),
 b AS (SELECT key, min(rk) AS best FROM k GROUP BY key)
 SELECT k.key, arg_min(headword, row_id) FILTER (rk = best) AS headword, CASE best WHEN 0 THEN 'active' WHEN 1 THEN 'candidate_only' ELSE 'support_only' END AS status,
  count(*) FILTER (rk = 0) AS n_target, count(*) FILTER (rk = 1) AS n_candidate, count(*) FILTER (rk = 2) AS n_other,
@@ -401,19 +423,24 @@ def conditional_stats(s, d):
     )
 
 
-@query(r"""SELECT w AS value, count(*) AS n FROM (SELECT unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')), ' ')) AS w FROM documents WHERE text IS NOT NULL) WHERE w <> '' GROUP BY 1""")
+@query(r"""SELECT w AS value, count(*) AS n
+  FROM (SELECT unnest(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9'' ]+', ' ', 'g'), ' +', ' ', 'g')), ' ')) AS w FROM documents WHERE text IS NOT NULL) WHERE w <> '' GROUP BY 1""")
 def exploded_histogram(s, d):
     return A.histogram(load(s, d, "documents", "text"), F.split(X.normalize_answer("text"), " ")).where("value <> ''")
 
 
-@query("""SELECT 'large' AS flag, count(*) FILTER (p_size > 25) AS n FROM part UNION ALL SELECT 'costly', count(*) FILTER (p_retailprice > 1500) FROM part UNION ALL SELECT 'first_brand', count(*) FILTER (p_brand LIKE 'Brand#1%') FROM part""")
+@query("""SELECT 'large' AS flag, count(*) FILTER (p_size > 25) AS n FROM part
+  UNION ALL SELECT 'costly', count(*) FILTER (p_retailprice > 1500) FROM part
+  UNION ALL SELECT 'first_brand', count(*) FILTER (p_brand LIKE 'Brand#1%') FROM part""")
 def flag_counts_unpivot(s, d):
     flags = {"large": F.col("p_size") > 25, "costly": F.col("p_retailprice") > 1500, "first_brand": F.col("p_brand").startswith("Brand#1")}
     return A.unpivot_counts(load(s, d, "part", "p_size", "p_retailprice", "p_brand"), flags)
 
 
-@query("""WITH f AS (SELECT definition, min(headword) AS o FROM source_rows WHERE headword IS NOT NULL AND definition IS NOT NULL GROUP BY 1 HAVING count(DISTINCT headword) = 1
- UNION ALL SELECT topic_or_section, min(headword) FROM source_rows WHERE headword IS NOT NULL AND topic_or_section IS NOT NULL GROUP BY 1 HAVING count(DISTINCT headword) = 1)
+@query("""WITH f AS (SELECT definition, min(headword) AS o FROM source_rows
+  WHERE headword IS NOT NULL AND definition IS NOT NULL GROUP BY 1 HAVING count(DISTINCT headword) = 1
+ UNION ALL SELECT topic_or_section, min(headword) FROM source_rows
+  WHERE headword IS NOT NULL AND topic_or_section IS NOT NULL GROUP BY 1 HAVING count(DISTINCT headword) = 1)
 SELECT min(definition) AS item, o AS headword FROM f GROUP BY o HAVING count(*) = 1""")
 def single_owner_rule(s, d):
     rows = load(s, d, "source_rows", "definition", "topic_or_section", "headword").where("headword IS NOT NULL")
@@ -421,7 +448,8 @@ def single_owner_rule(s, d):
     return A.single_owner(items, "item", "headword")
 
 
-@query("""SELECT format, source_role, corpus_policy, count(*) AS n FROM source_registry GROUP BY GROUPING SETS ((format), (source_role), (corpus_policy), ())""")
+@query("""SELECT format, source_role, corpus_policy, count(*) AS n FROM source_registry
+  GROUP BY GROUPING SETS ((format), (source_role), (corpus_policy), ())""")
 def grouping_sets_inventory(s, d):
     table = load(s, d, "source_registry", "format", "source_role", "corpus_policy")
     return table.groupingSets([["format"], ["source_role"], ["corpus_policy"], []], "format", "source_role", "corpus_policy").agg(F.count("*").alias("n"))
@@ -438,7 +466,8 @@ def keep_first_dedup(s, d):
     return docs.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
-@query("""WITH t AS (SELECT lower(trim(headword, ' ')) AS k, row_id, headword, source, cefr FROM target_rows WHERE headword IS NOT NULL)
+@query("""WITH t AS (SELECT lower(trim(headword, ' ')) AS k, row_id, headword, source, cefr FROM target_rows
+  WHERE headword IS NOT NULL)
 SELECT k, arg_min(headword, row_id) AS headword, coalesce(array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), '|'), '') AS sources, coalesce(array_to_string(list_sort(list(DISTINCT cefr) FILTER (cefr IS NOT NULL)), '|'), '') AS levels FROM t GROUP BY k""")
 def dedup_union_attrs(s, d):
     rows = load(s, d, "target_rows", "row_id", "headword", "source", "cefr").where("headword IS NOT NULL")
@@ -447,7 +476,8 @@ def dedup_union_attrs(s, d):
     )
 
 
-@query("""SELECT row_id, row_number() OVER (PARTITION BY lower(headword) ORDER BY row_id) AS nth FROM target_rows WHERE headword IS NOT NULL""")
+@query("""SELECT row_id, row_number() OVER (PARTITION BY lower(headword) ORDER BY row_id) AS nth FROM target_rows
+  WHERE headword IS NOT NULL""")
 def dup_ordinal(s, d):
     rows = load(s, d, "target_rows", "row_id", "headword").where("headword IS NOT NULL").withColumn("k", F.lower("headword"))
     return R.blocked(rows, ["k"], ["row_id"], F.floor(F.col("row_id") / 100_000), {"nth": ("sum", F.lit(1))}).select("row_id", "nth")
@@ -471,7 +501,9 @@ def argmax_with_tie_order(s, d):
     return sums.select("l_partkey", best.alias("best"), margin.alias("margin"))
 
 
-@query("""SELECT label, count(*) AS n, round(avg((p - y) * (p - y)), 9) AS brier FROM (SELECT label, (vec_id % 100) / 100.0 AS p, CASE WHEN label % 2 = 0 THEN 1.0 ELSE 0.0 END AS y FROM embeddings) GROUP BY label""")
+@query("""SELECT label, count(*) AS n, round(avg((p - y) * (p - y)), 9) AS brier
+  FROM (SELECT label, (vec_id % 100) / 100.0 AS p, CASE WHEN label % 2 = 0 THEN 1.0 ELSE 0.0 END AS y FROM embeddings)
+  GROUP BY label""")
 def brier_score(s, d):
     rows = load(s, d, "embeddings", "vec_id", "label")
     out = P.brier(rows, ["label"], (F.col("vec_id") % 100) / 100.0, F.when(F.col("label") % 2 == 0, 1.0).otherwise(0.0))
@@ -495,15 +527,20 @@ def gap_island_assemble(s, d):
     return marked.groupBy("user_id", "island").agg(F.min("event_id").alias("first"), F.count("*").alias("n_lines"), F.array_join(ordered, " ").alias("text"))
 
 
-@query("""WITH dd AS (SELECT DISTINCT l_orderkey // 1000 AS book, l_orderkey AS n FROM lineitem), g AS (SELECT book, n, n - row_number() OVER (PARTITION BY book ORDER BY n) AS g FROM dd),
-r AS (SELECT book, g, min(n) AS a, max(n) AS z FROM g GROUP BY 1, 2) SELECT book, string_agg(CASE WHEN a = z THEN a::VARCHAR ELSE a || '-' || z END, '、' ORDER BY a) AS pages FROM r GROUP BY book""")
+@query("""WITH dd AS (SELECT DISTINCT l_orderkey // 1000 AS book, l_orderkey AS n
+  FROM lineitem), g AS (SELECT book, n, n - row_number() OVER (PARTITION BY book ORDER BY n) AS g FROM dd),
+r AS (SELECT book, g, min(n) AS a, max(n) AS z FROM g
+  GROUP BY 1, 2) SELECT book, string_agg(CASE WHEN a = z THEN a::VARCHAR ELSE a || '-' || z END, '、' ORDER BY a) AS pages
+  FROM r GROUP BY book""")
 def compact_ranges(s, d):
     rows = load(s, d, "lineitem", "l_orderkey").select(F.floor(F.col("l_orderkey") / 1000).alias("book"), F.col("l_orderkey").alias("n"))
     return R.compact_ranges(rows, ["book"], "n")
 
 
-@query("""WITH h AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS hit, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS miss FROM events),
-m AS (SELECT *, (sum(miss) OVER w)::BIGINT AS misses, (sum(hit) OVER w)::BIGINT AS hits FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+@query("""WITH h AS (SELECT *, CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS hit,
+  CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS miss FROM events),
+m AS (SELECT *, (sum(miss) OVER w)::BIGINT AS misses, (sum(hit) OVER w)::BIGINT AS hits
+  FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
 SELECT event_id, hits, misses, sum(hit) OVER (PARTITION BY user_id, misses ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS combo FROM m""")
 def running_combo(s, d):
     events = load(s, d, "events", "event_id", "user_id", "ts", "event_type")
@@ -516,13 +553,15 @@ def running_combo(s, d):
     return out.select("event_id", "hits", "misses", (F.col("hits") - F.coalesce("before", F.lit(0))).alias("combo"))
 
 
-@query("""SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events WHERE event_type IN ('purchase', 'error') GROUP BY 1, 2""")
+@query("""SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events
+  WHERE event_type IN ('purchase', 'error') GROUP BY 1, 2""")
 def latest_state_wins(s, d):
     core = load(s, d, "events", "event_id", "user_id", "ts", "event_type", "value").where(F.col("event_type").isin("purchase", "error"))
     return A.latest(core, ["user_id", "event_type"], ["ts", "event_id"], ["value", "ts"])
 
 
-@query("""SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS micros FROM events""")
+@query("""SELECT event_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS micros
+  FROM events""")
 def days_since_last(s, d):
     events = load(s, d, "events", "event_id", "user_id", "ts")
     # the row before, in blocks: the last (ts, id) inside the block or of the block before
@@ -535,7 +574,9 @@ def days_since_last(s, d):
     return marked.join(prior, ["user_id", "_b"], "left").select("event_id", (F.col("_at") - F.coalesce("_lag", "_prior")).alias("micros"))
 
 
-@query("""SELECT p_partkey, ((p_partkey - 1 - 750 + 100 * (SELECT count(*) FROM part)) % (SELECT count(*) FROM part)) // 10 AS batch, ((p_partkey - 1 - 750 + 100 * (SELECT count(*) FROM part)) % (SELECT count(*) FROM part)) % 10 AS place FROM part""")
+@query("""SELECT p_partkey, ((p_partkey - 1 - 750 + 100 * (SELECT count(*) FROM part)) % (SELECT count(*)
+  FROM part)) // 10 AS batch, ((p_partkey - 1 - 750 + 100 * (SELECT count(*) FROM part)) % (SELECT count(*)
+  FROM part)) % 10 AS place FROM part""")
 def round_robin_batch(s, d):
     part = load(s, d, "part", "p_partkey").withColumn("n", F.col("p_partkey") - 1)
     return R.round_robin(part, "n", 10, part.count(), 750).select("p_partkey", "batch", "place")
@@ -567,10 +608,12 @@ def row_digest(s, d):
     return load(s, d, "nation").select("n_nationkey", D.row_digest("n_nationkey", "n_name", "n_regionkey").alias("digest"))
 
 
-@query("""SELECT file_id, count(*) AS n, sha256(string_agg(sha256('v' || raw_line), '' ORDER BY line_no)) AS sequence_digest FROM raw_lines GROUP BY 1""")
+@query("""WITH b AS (SELECT file_id, line_no // 100 AS block, count(*) AS n, sha256(string_agg(sha256('v' || raw_line), '' ORDER BY line_no)) AS g
+  FROM raw_lines GROUP BY 1, 2)
+SELECT file_id, sum(n)::BIGINT AS n, sha256(string_agg(g, '' ORDER BY block)) AS sequence_digest FROM b GROUP BY 1""")
 def sequence_digest(s, d):
     lines = load(s, d, "raw_lines", "file_id", "line_no", "raw_line").withColumn("digest", D.row_digest("raw_line"))
-    return D.sequence_digest(lines, ["file_id"], "line_no", "digest")
+    return D.sequence_digest(lines, ["file_id"], "line_no", "digest", 100)
 
 
 @query("""SELECT id, sha256('{"format":' || coalesce('"' || format || '"', 'null') || ',"id":"' || id || '","trust_rank":' || trust_rank || '}') AS binding FROM source_registry""")
@@ -585,7 +628,8 @@ def multiset_digests(s, d):
     return D.multiset_digest(rows, ["registry_source_id"], "digest")
 
 
-@query("""SELECT a.row_id FROM target_rows a WHERE NOT EXISTS (SELECT 1 FROM source_rows b WHERE a.headword = b.headword AND a.source = b.source)""")
+@query("""SELECT a.row_id FROM target_rows a WHERE NOT EXISTS (SELECT 1 FROM source_rows b
+  WHERE a.headword = b.headword AND a.source = b.source)""")
 def stale_specs(s, d):
     specs = load(s, d, "target_rows", "row_id", "headword", "source")
     return D.stale(specs, load(s, d, "source_rows", "headword", "source"), "headword", "source").select("row_id")
@@ -607,7 +651,9 @@ def first_answers(s, d):
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 a AS (SELECT user_id, event_id, ts, event_type, lead(n, 3) OVER (PARTITION BY user_id ORDER BY n) AS by_task, min(n) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 300 SECONDS FOLLOWING AND UNBOUNDED FOLLOWING) AS by_time FROM e)
-SELECT a.user_id, a.event_id, e.event_id AS release_id FROM a LEFT JOIN e ON e.user_id = a.user_id AND by_task IS NOT NULL AND by_time IS NOT NULL AND e.n = greatest(by_task, by_time) WHERE a.event_type = 'error'""")
+SELECT a.user_id, a.event_id, e.event_id AS release_id FROM a
+  LEFT JOIN e ON e.user_id = a.user_id AND by_task IS NOT NULL AND by_time IS NOT NULL AND e.n = greatest(by_task, by_time)
+  WHERE a.event_type = 'error'""")
 def retest_release(s, d):
     return P.retests(load(s, d, "events", "user_id", "event_id", "ts", "event_type"), "user_id", F.col("event_type") == "error")
 
@@ -624,7 +670,8 @@ def best_value_upsert(s, d):
     return load(s, d, "events", "user_id", "event_type", "value").groupBy("user_id", "event_type").agg(F.max("value").alias("best"))
 
 
-@query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events GROUP BY 1, 2""")
+@query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events
+  GROUP BY 1, 2""")
 def windowed_counts(s, d):
     events = load(s, d, "events", "ts", "event_type", "value")
     return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value")).select(F.col("w.start").alias("day"), "event_type", "n", "value")
@@ -659,7 +706,8 @@ _HEAD = r"^(.+ \([a-z ]+\.?\)) – "
 m AS (SELECT *, regexp_matches(line, '^(.+ \([a-z ]+\.?\)) – ') AS h FROM l),
 e AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS entry FROM m)
 SELECT doc_id, entry, min(CASE WHEN h THEN regexp_extract(line, '^(.+ \([a-z ]+\.?\)) – ', 1) END) AS head, min(line_no)::INT AS first_line, count(*) AS n_lines,
- coalesce(string_agg(trim(line, ' '), ' ' ORDER BY line_no) FILTER (NOT h AND trim(line, ' ') <> ''), '') AS rest FROM e GROUP BY 1, 2""")
+ coalesce(string_agg(trim(line, ' '), ' ' ORDER BY line_no) FILTER (NOT h AND trim(line, ' ') <> ''), '') AS rest FROM e
+  GROUP BY 1, 2""")
 def glossary_entries(s, d):
     docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'glossary'").where(~F.col("text").contains("\r"))
     return W.entries_by_head(W.lines_of(docs, "doc_id", "text"), ["doc_id"], _HEAD)
@@ -675,7 +723,8 @@ def turns_until_question(s, d):
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE NOT contains(text, chr(13))),
 e AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^Unit (\d+) ') THEN regexp_extract(line, '^Unit (\d+) ', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM l)
-SELECT section, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM e WHERE NOT regexp_matches(line, '^Unit (\d+) ') GROUP BY 1""")
+SELECT section, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM e WHERE NOT regexp_matches(line, '^Unit (\d+) ')
+  GROUP BY 1""")
 def section_lines(s, d):
     docs = load(s, d, "documents", "doc_id", "text").where(~F.col("text").contains("\r"))
     lines = W.with_sections(W.lines_of(docs, "doc_id", "text"), ["doc_id"], r"^Unit (\d+) ")
@@ -693,7 +742,8 @@ def comma_stream_terms(s, d):
 
 @query(r"""SELECT CASE WHEN NOT contains(x, '|') THEN 'no_delimiter' WHEN trim(string_split(x, '|')[1], ' ') NOT IN ('noun', 'verb', 'n', 'v') THEN 'unknown_code'
  WHEN trim(regexp_replace(x, '^[^|]*\|', ''), ' ') = '' THEN 'empty_term' WHEN regexp_matches(regexp_replace(x, '^[^|]*\|', ''), '[㐀-鿿]') THEN 'wrong_script' ELSE 'entry' END AS outcome, count(*) AS n
-FROM (SELECT coalesce(pos, '') || CASE WHEN row_id % 9 = 0 THEN '' ELSE '|' END || coalesce(topic_or_section, '') AS x FROM source_rows) WHERE trim(x, ' ') <> '' GROUP BY 1""")
+FROM (SELECT coalesce(pos, '') || CASE WHEN row_id % 9 = 0 THEN '' ELSE '|' END || coalesce(topic_or_section, '') AS x
+  FROM source_rows) WHERE trim(x, ' ') <> '' GROUP BY 1""")
 def coded_line_outcomes(s, d):
     bar = F.when(F.col("row_id") % 9 == 0, "").otherwise("|")
     rows = load(s, d, "source_rows", "row_id", "pos", "topic_or_section")
@@ -702,8 +752,10 @@ def coded_line_outcomes(s, d):
     return out.groupBy(F.coalesce("problem", F.lit("entry")).alias("outcome")).agg(F.count("*").alias("n"))
 
 
-@query(r"""SELECT s.page, s.term FROM (SELECT DISTINCT lower(source) || '#' || pdf_page AS page, lower(headword) AS term FROM target_rows WHERE source IS NOT NULL AND pdf_page IS NOT NULL AND headword IS NOT NULL) s
-WHERE NOT EXISTS (SELECT 1 FROM source_rows r WHERE lower(r.source) || '#' || r.pdf_page = s.page AND contains(lower(r.raw_term), s.term))""")
+@query(r"""SELECT s.page, s.term FROM (SELECT DISTINCT lower(source) || '#' || pdf_page AS page, lower(headword) AS term
+  FROM target_rows WHERE source IS NOT NULL AND pdf_page IS NOT NULL AND headword IS NOT NULL) s
+WHERE NOT EXISTS (SELECT 1 FROM source_rows r
+  WHERE lower(r.source) || '#' || r.pdf_page = s.page AND contains(lower(r.raw_term), s.term))""")
 def plan_not_visible(s, d):
     page = F.concat_ws("#", F.lower("source"), "pdf_page").alias("page")
     known = "source IS NOT NULL AND pdf_page IS NOT NULL"
