@@ -186,10 +186,15 @@ def encode_corpus(documents: DataFrame, directory: str = TOKENIZER_DIR, name: st
                 sure += [s for _, s in parts]
                 unsure += [not all(s for _, s in parts)] * len(parts)
             take = pa.array(docs, pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(take), batch.column("text_key").take(take), pa.array(unsure, pa.bool_()), pa.array(places, pa.int32()), pa.array(texts, pa.string()), pa.array(sure, pa.bool_())],
-                ["doc_id", "text_key", "unsure", "pos", "chunk", "sure"],
-            )
+            columns = {
+                "doc_id": batch.column("doc_id").take(take),
+                "text_key": batch.column("text_key").take(take),
+                "unsure": pa.array(unsure, pa.bool_()),
+                "pos": pa.array(places, pa.int32()),
+                "chunk": pa.array(texts, pa.string()),
+                "sure": pa.array(sure, pa.bool_()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(directory, name)
@@ -226,8 +231,14 @@ def encode_corpus(documents: DataFrame, directory: str = TOKENIZER_DIR, name: st
     whole = (
         refs.join(encoded, "key")
         .groupBy("doc_id", "text_key")
-        .agg(F.array_distinct(F.collect_list(part)).alias("parts"), F.sum(F.when(F.col("pos") == 0, 1)).alias("copies"), F.max("unsure").alias("unsure"))
+        .agg(
+            F.array_distinct(F.collect_list(part)).alias("parts"),
+            F.sum(F.when(F.col("pos") == 0, 1)).alias("copies"),
+            F.max("unsure").alias("unsure"),
+        )
     )
-    plain = whole.where(~F.col("unsure")).select("doc_id", "copies", F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"])).alias("ids"))
+    in_order = F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"]))
+    plain = whole.where(~F.col("unsure")).select("doc_id", "copies", in_order.alias("ids"))
     mended = whole.where("unsure").select("doc_id", "copies", repair("parts").alias("ids"))
-    return plain.unionByName(mended).select("doc_id", "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
+    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return plain.unionByName(mended).select("doc_id", "ids", each).drop("copy")

@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Letters that imitate a Latin letter, "imitation latin" (a subset of Unicode's confusables).
-CYRILLIC = "а a|е e|о o|р p|с c|у y|х x|ѕ s|і i|ј j|һ h|ӏ l|ԁ d|ԛ q|ԝ w|ү y|ѵ v|А A|В B|Е E|К K|М M|Н H|О O|Р P|С C|Т T|У Y|Х X|Ѕ S|І I|Ј J|Һ h|Ӏ I|Ԛ Q|Ԝ W|Ү Y|Ѵ V"
+CYRILLIC = (
+    "а a|е e|о o|р p|с c|у y|х x|ѕ s|і i|ј j|һ h|ӏ l|ԁ d|ԛ q|ԝ w|ү y|ѵ v|А A|В B|Е E|К K|М M|Н H|О O|Р P|С C|Т T"
+    "|У Y|Х X|Ѕ S|І I|Ј J|Һ h|Ӏ I|Ԛ Q|Ԝ W|Ү Y|Ѵ V"
+)
 GREEK = "ο o|ν v|ρ p|ϳ j|ϲ c|Α A|Β B|Ε E|Ζ Z|Η H|Ι I|Κ K|Μ M|Ν N|Ο O|Ρ P|Τ T|Υ Y|Χ X|Ϲ C|Ϳ J"
 ARMENIAN = "օ o|Օ O|ո n|ս u|Ս U|հ h|ց g|զ q|յ j|Լ L"
 LATIN = "ɑ a|ɡ g|ɩ i|ᴄ c|ᴏ o|ᴠ v|ᴡ w|ᴢ z"
@@ -31,7 +34,10 @@ TO_GREEK = "o ο|v ν|p ρ|A Α|B Β|E Ε|Z Ζ|H Η|I Ι|K Κ|M Μ|N Ν|O Ο|P 
 #: Invisible characters: formatting, joiners, marks of direction, the soft hyphen.
 INVISIBLE = regex.compile(r"[\p{Cf}\u115F\u1160\u17B4\u17B5\u180B-\u180F\u3164\uFFA0\u034F]")
 EMOJI_JOINED = regex.compile(r"\u200D(?=\p{Extended_Pictographic})")
-NEEDS_JOINERS = regex.compile(r"[\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Tamil}\p{Telugu}\p{Kannada}\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Myanmar}\p{Mongolian}]")
+NEEDS_JOINERS = regex.compile(
+    r"[\p{Arabic}\p{Syriac}\p{Devanagari}\p{Bengali}\p{Gurmukhi}\p{Gujarati}\p{Tamil}\p{Telugu}\p{Kannada}"
+    r"\p{Malayalam}\p{Sinhala}\p{Khmer}\p{Myanmar}\p{Mongolian}]"
+)
 SPACE = regex.compile(r"[\p{Zs}  ]")
 CLUSTER = regex.compile(r"\X")
 MEMO = 65_536

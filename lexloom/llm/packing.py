@@ -105,7 +105,9 @@ def pieces(items: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
     )
 
 
-def fill_containers(items: DataFrame, kinds: list[tuple[str, int]], partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def fill_containers(
+    items: DataFrame, kinds: list[tuple[str, int]], partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS
+) -> DataFrame:
     """(container_kind, capacity, container_id, doc_id, piece, start_token, tokens) of every item, for every kind.
 
     ``items`` are (doc_id, tokens). An item of size 0 or null takes no room and goes to any container of its

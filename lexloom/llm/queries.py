@@ -40,7 +40,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Every term and topic that isn't in the consistent form, in that form."""
-    return inconsistent_texts(load(spark, d, "source_rows", "row_id", "raw_term", "topic_or_section"), "row_id", ["raw_term", "topic_or_section"])
+    fields = ["raw_term", "topic_or_section"]
+    return inconsistent_texts(load(spark, d, "source_rows", "row_id", *fields), "row_id", fields)
 
 
 def _target_layers(spark: SparkSession, d: str) -> DataFrame:
@@ -78,7 +79,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_entries(spark: SparkSession, d: str) -> DataFrame:
     """One entry for each headword of the target rows, every field from its surviving row."""
-    chosen = survivors(_target_layers(spark, d), "key").where(F.col("id").isNotNull()).select("key", "first_id", "size", "field", F.col("id").alias("row_id"))
+    best = survivors(_target_layers(spark, d), "key").where(F.col("id").isNotNull())
+    chosen = best.select("key", "first_id", "size", "field", F.col("id").alias("row_id"))
     rows = load(spark, d, "target_rows", "row_id", "source", "headword", "pos", "cefr")
     value = F.coalesce(*[F.when(F.col("field") == f, F.col(f)) for f in ("headword", "pos", "cefr", "source")])
     return (

@@ -21,7 +21,13 @@ def candidates(df: DataFrame, key: str, id_column: str, trust: str, recency: str
     A record that this drops is dominated by the one kept, or ties with it and has the larger id.
     """
     fields = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(ok, F.lit(False)).alias("complete")) for f, ok in usable.items()])
-    rows = df.select(key, F.col(id_column).alias("id"), F.coalesce(F.col(trust), F.lit(NO_TRUST)).alias("trust"), F.col(recency).alias("recency"), F.explode(fields).alias("f"))
+    rows = df.select(
+        key,
+        F.col(id_column).alias("id"),
+        F.coalesce(F.col(trust), F.lit(NO_TRUST)).alias("trust"),
+        F.col(recency).alias("recency"),
+        F.explode(fields).alias("f"),
+    )
     # nulls first in max: a record of unknown date counts as the oldest
     best = F.max(F.struct(F.col("recency"), (-F.col("id")).alias("minus_id")))
     return (
@@ -37,7 +43,9 @@ def layers(candidate: DataFrame, key: str) -> DataFrame:
     The records of one key and field are at most two for each trust rank, so the arrays stay small.
     """
     record = F.struct("complete", "trust", "recency", "id")
-    grouped = candidate.groupBy(key, "field").agg(F.collect_list(record).alias("all"), F.sum("n").alias("size"), F.min("first_id").alias("first_id"))
+    grouped = candidate.groupBy(key, "field").agg(
+        F.collect_list(record).alias("all"), F.sum("n").alias("size"), F.min("first_id").alias("first_id")
+    )
 
     def beats(a: Column, b: Column) -> Column:
         newer = F.coalesce(a["recency"] > b["recency"], a["recency"].isNotNull() & b["recency"].isNull())
@@ -47,10 +55,11 @@ def layers(candidate: DataFrame, key: str) -> DataFrame:
         return at_least & strictly
 
     # depth: how many records beat this one; 0 is the skyline, and a beaten record is never above its beater
-    ranked = F.transform(
-        F.col("all"),
-        lambda r: F.struct(F.size(F.filter(F.col("all"), lambda o: beats(o, r))).alias("depth"), r["complete"].alias("complete"), r["trust"].alias("trust"), r["recency"].alias("recency"), r["id"].alias("id")),
-    )
+    def with_depth(r: Column) -> Column:
+        depth = F.size(F.filter(F.col("all"), lambda o: beats(o, r))).alias("depth")
+        return F.struct(depth, *[r[c].alias(c) for c in ("complete", "trust", "recency", "id")])
+
+    ranked = F.transform(F.col("all"), with_depth)
     return grouped.select(key, "field", "size", "first_id", ranked.alias("records"))
 
 
