@@ -87,7 +87,9 @@ def lexical_form(text: Column) -> Column:
         )
 
     brackets = F.length(text) - F.length(F.replace(text, F.lit("("), F.lit("")))
-    trimmed = F.when(brackets > 0, F.reduce(F.sequence(F.lit(1), F.greatest(brackets, F.lit(1))), text, lambda acc, _: shorter(acc))).otherwise(text)
+    trimmed = F.when(brackets > 0, F.reduce(F.sequence(F.lit(1), F.greatest(brackets, F.lit(1))), text, lambda acc, _: shorter(acc))).otherwise(
+        text
+    )
     no_suffix = F.regexp_replace(trimmed, r"(\w)\((?:" + "|".join(OPTIONAL_SUFFIXES) + r")\)", "$1")
     opened = F.regexp_replace(no_suffix, r"(\s)\((sb|sth)\)(\s)", "$1$2$3")
     return collapse(F.regexp_replace(opened, r"\s+\([^()]+\)(\s)", "$1"))
@@ -162,7 +164,9 @@ def source_title(file_name: Column) -> Column:
     """``NameOfBook_WLM_ExtendedUnit7.tsv`` as ``Name Of Book Extended Unit 07``; other names without their ending."""
     stem = F.regexp_replace(file_name, r"\.[A-Za-z0-9]+$", "")
     pattern = r"^([A-Za-z]+)_(?:[A-Z]+_)?([A-Za-z]*?)Unit(\d+)$"
-    spaced = lambda c: F.regexp_replace(F.regexp_replace(c, r"([a-z])([A-Z])", "$1 $2"), r"([A-Z])([A-Z][a-z])", "$1 $2")
+    spaced = lambda c: F.regexp_replace(
+        F.regexp_replace(c, r"([a-z])([A-Z])", "$1 $2"), r"([A-Z])([A-Z][a-z])", "$1 $2"
+    )
     parts = F.concat_ws(
         " ",
         spaced(F.regexp_extract(stem, pattern, 1)),
@@ -206,14 +210,19 @@ def has_text_layer(x: Column, least: int = 80) -> Column:
 def valid_candidate(x: Column, most: int = 100) -> Column:
     """Whether a text can be a word-list candidate: short, no formula or arrow, letters and plain marks only."""
     return F.coalesce(
-        (F.length(x) <= most) & ~x.rlike(r" \+ |[=/→]") & ~F.lower(x).contains("infinitive") & x.rlike(r"^[\p{L}][\p{L}\p{M}0-9 '’.,!?()-]*\z"), F.lit(False)
+        (F.length(x) <= most) & ~x.rlike(r" \+ |[=/→]") & ~F.lower(x).contains("infinitive") & x.rlike(
+            r"^[\p{L}][\p{L}\p{M}0-9 '’.,!?()-]*\z"
+        ),
+        F.lit(False)
     )
 
 
 def target_problem(x: Column, most: int = 48) -> Column:
     """Why a text is no teaching target; null if it is one."""
     return (
-        F.when(x.isNull() | (F.btrim(x) == ""), "empty").when(F.length(x) > most, "too_long").when(x.rlike(r"[.!?;:]"), "sentence_mark")
+        F.when(x.isNull() | (F.btrim(x) == ""), "empty").when(F.length(x) > most, "too_long").when(
+            x.rlike(r"[.!?;:]"), "sentence_mark"
+        )
         .when(~x.rlike(r"^[\p{L}][\p{L} '-]*\z"), "other_character")
     )
 
@@ -221,7 +230,9 @@ def target_problem(x: Column, most: int = 48) -> Column:
 def definition_sides(x: Column) -> tuple[Column, Column]:
     """(left, right) of ``term – definition``; a text without a spaced dash has no right side."""
     pattern = r"^(.*?)\s+[–—-]\s+(.*)$"
-    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1)).otherwise(x), F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 2))
+    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1)).otherwise(x), F.when(
+        x.rlike(pattern), F.regexp_extract(x, pattern, 2)
+    )
 
 
 def without_sense(x: Column) -> tuple[Column, Column]:
@@ -237,13 +248,20 @@ def joined_breaks(x: Column) -> Column:
 def ipa_part(x: Column) -> tuple[Column, Column]:
     """(term, transcription) of ``term /…/``."""
     pattern = r"^(.*?)\s*/([^/]+)/\s*$"
-    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1)).otherwise(x), F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 2))
+    return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1)).otherwise(x), F.when(
+        x.rlike(pattern), F.regexp_extract(x, pattern, 2)
+    )
 
 
 def locator_problem(x: Column, groups: int = 14, units: int = 25) -> Column:
     """Whether every part of a comma-separated locator is ``G`` and 1..groups, or 1..units; null if so."""
-    part = lambda p: ((p.rlike(r"^G\d{1,2}$")) & F.regexp_extract(p, r"(\d+)", 1).cast("int").between(1, groups)) | (p.rlike(r"^\d{1,2}$") & F.regexp_extract(p, r"(\d+)", 1).cast("int").between(1, units))
-    return F.when(x.isNull() | (F.btrim(x) == ""), "empty").when(~F.forall(F.transform(F.split(x, ","), lambda p: F.btrim(p)), lambda p: F.coalesce(part(p), F.lit(False))), "bad_part")
+    part = lambda p: ((p.rlike(r"^G\d{1,2}$")) & F.regexp_extract(p, r"(\d+)", 1).cast("int").between(1, groups)) | (
+        p.rlike(r"^\d{1,2}$") & F.regexp_extract(p, r"(\d+)", 1).cast("int").between(1, units)
+    )
+    return F.when(x.isNull() | (F.btrim(x) == ""), "empty").when(
+        ~F.forall(F.transform(F.split(x, ","), lambda p: F.btrim(p)), lambda p: F.coalesce(part(p), F.lit(False))),
+        "bad_part",
+    )
 
 
 def sentence_use(sentence: Column, word: Column) -> Column:

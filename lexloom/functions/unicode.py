@@ -19,7 +19,9 @@ def _nfkd_ascii(text: str) -> str:
 
 def letters_digits(text: str) -> str:
     """Composed, case-folded letters and digits of ``text``; accents count, all else is dropped."""
-    folded = text.casefold() if text.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    folded = text.casefold() if text.isascii() else unicodedata.normalize(
+        "NFC", unicodedata.normalize("NFC", text).casefold()
+    )
     return folded if folded.isalnum() else "".join(filter(str.isalnum, folded))
 
 

@@ -47,15 +47,21 @@ def unpivot_counts(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
 
 def argmax_with_margin(scores: dict[str, Column]) -> tuple[Column, Column]:
     """(name of the largest score, margin to the second); of equal scores the one named first wins."""
-    entries = [F.struct(s.alias("s"), F.lit(-i).alias("r"), F.lit(n).alias("n")) for i, (n, s) in enumerate(scores.items())]
+    entries = [
+        F.struct(s.alias("s"), F.lit(-i).alias("r"), F.lit(n).alias("n")) for i, (n, s) in enumerate(scores.items())
+    ]
     ranked = F.sort_array(F.array(*[s for s in scores.values()]), asc=False)
     return F.array_max(F.array(*entries))["n"], ranked[0] - ranked[1]
 
 
 def single_owner(df: DataFrame, item: str, owner: str) -> DataFrame:
     """(item, owner) where the item has one owner and the owner has one such item."""
-    sole = df.groupBy(item).agg(F.min(owner).alias(owner), F.max(owner).alias("_last")).where(F.col(owner) == F.col("_last"))
-    return sole.groupBy(owner).agg(F.min(item).alias(item), F.count("*").alias("_n")).where("_n = 1").select(item, owner)
+    sole = df.groupBy(item).agg(F.min(owner).alias(owner), F.max(owner).alias("_last")).where(
+        F.col(owner) == F.col("_last")
+    )
+    return sole.groupBy(owner).agg(F.min(item).alias(item), F.count("*").alias("_n")).where("_n = 1").select(
+        item, owner
+    )
 
 
 def policy_entry(df: DataFrame, key: str, policy: str, order: str, headword: str, values: list[str]) -> DataFrame:
@@ -67,7 +73,9 @@ def policy_entry(df: DataFrame, key: str, policy: str, order: str, headword: str
     def of(name: str) -> Column:
         return F.count_if(F.col(policy) == name)
 
-    ranked = df.withColumn("_rank", F.when(F.col(policy) == "target", 0).when(F.col(policy) == "candidate_only", 1).otherwise(2))
+    ranked = df.withColumn(
+        "_rank", F.when(F.col(policy) == "target", 0).when(F.col(policy) == "candidate_only", 1).otherwise(2)
+    )
     by_rank = ranked.groupBy(key, "_rank").agg(
         F.count("*").alias("n"),
         F.min_by(headword, F.col(order)).alias("headword"),
@@ -85,7 +93,9 @@ def policy_entry(df: DataFrame, key: str, policy: str, order: str, headword: str
         )
         .select(
             key, F.col("b.headword").alias("headword"),
-            F.when(F.col("b._rank") == 0, "active").when(F.col("b._rank") == 1, "candidate_only").otherwise("support_only").alias("status"),
+            F.when(F.col("b._rank") == 0, "active").when(F.col("b._rank") == 1, "candidate_only").otherwise("support_only").alias(
+                "status"
+            ),
             "n_target", "n_candidate", "n_other", *[F.col(f"b.{v}").alias(v) for v in values],
         )
     )

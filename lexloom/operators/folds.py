@@ -13,7 +13,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def sorted_fold(df: DataFrame, keys: list[str], order: list[str], start: Callable[[], dict], step: Callable[[dict, dict], dict], schema: str) -> DataFrame:
+def sorted_fold(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    start: Callable[[], dict],
+    step: Callable[[dict, dict], dict],
+    schema: str,
+) -> DataFrame:
     """One output row for each row: ``step(state, row)`` returns it and changes ``state``; ``start`` makes a key's state."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -65,4 +65,6 @@ def coverage(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
 
 def set_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of either side that the other doesn't have, with their side; empty for equal multisets."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(
+        b.exceptAll(a).withColumn("side", F.lit("right"))
+    )

@@ -57,4 +57,6 @@ def nearest_column(left: str, bases: list[float]):
 def assemble(lines: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
     """Text of each entry: its lines in order, joined by spaces. For entries of bounded length."""
     parts = F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda r: r[text])
-    return lines.groupBy(*keys).agg(F.min(order).alias("first"), F.count("*").alias("n_lines"), F.array_join(parts, " ").alias("text"))
+    return lines.groupBy(*keys).agg(
+        F.min(order).alias("first"), F.count("*").alias("n_lines"), F.array_join(parts, " ").alias("text")
+    )

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def blocked(df: DataFrame, keys: list[str], order: list[str], block: Column, running: dict[str, tuple[str, Column]]) -> DataFrame:
+def blocked(
+    df: DataFrame, keys: list[str], order: list[str], block: Column, running: dict[str, tuple[str, Column]]
+) -> DataFrame:
     """``df`` with running values up to and including each row.
 
     ``running`` maps a name to (kind, expression); kinds are ``sum``, ``max``, ``last`` (last non-null value).
@@ -41,7 +43,9 @@ def blocked(df: DataFrame, keys: list[str], order: list[str], block: Column, run
             result[name] = F.coalesce(f"_{name}", f"_p_{name}")
         else:
             raise ValueError(kind)
-    totals = marked.groupBy(*keys, "_block").agg(*total).select(*keys, "_block", *[c.alias(n) for n, c in prefix.items()])
+    totals = marked.groupBy(*keys, "_block").agg(*total).select(
+        *keys, "_block", *[c.alias(n) for n, c in prefix.items()]
+    )
     renamed = totals.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate([*keys, "_block"])], *prefix)
     same = F.lit(True)
     for i, c in enumerate([*keys, "_block"]):
@@ -56,7 +60,9 @@ def forward_fill(df: DataFrame, keys: list[str], order: list[str], block: Column
     return blocked(df, keys, order, block, {name: ("last", F.col(value))})
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], block: Column, starts: Column, name: str = "island") -> DataFrame:
+def islands(
+    df: DataFrame, keys: list[str], order: list[str], block: Column, starts: Column, name: str = "island"
+) -> DataFrame:
     """Number of the run each row belongs to; ``starts`` holds where a new run begins."""
     return blocked(df, keys, order, block, {name: ("sum", F.when(starts, 1).otherwise(0))})
 
@@ -88,14 +94,20 @@ def ranges(df: DataFrame, keys: list[str], number: str, block_size: int = 100_00
 
 def compact_ranges(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     """(keys, pages) with runs written as ``1-3、5``. The text of a key is as long as it has runs."""
-    text = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(F.concat_ws("-", "first", "last"))
+    text = F.when(F.col("first") == F.col("last"), F.col("first").cast("string")).otherwise(
+        F.concat_ws("-", "first", "last")
+    )
     runs = ranges(df, keys, number).select(*keys, "first", text.alias("t"))
     return runs.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "t"))), lambda r: r["t"]), "、").alias("pages")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "t"))), lambda r: r["t"]), "、").alias(
+            "pages"
+        )
     )
 
 
-def band_join(points: DataFrame, bands: DataFrame, keys: list[str], at: str, low: str, high: str, width: float) -> DataFrame:
+def band_join(
+    points: DataFrame, bands: DataFrame, keys: list[str], at: str, low: str, high: str, width: float
+) -> DataFrame:
     """Points with every band [low, high) that holds them.
 
     The number line is cut into cells of ``width``; a band goes to each cell it touches and a point to one, so the

@@ -86,7 +86,9 @@ class Segmenter:
         folded = text.casefold()
         if len(folded) == len(text):
             for start, end, kind in self._matcher.hits(folded):
-                if kind == "expression" and (end == len(text) or text[end] != "/") and (not start or text[start - 1] != "/"):
+                if kind == "expression" and (end == len(text) or text[end] != "/") and (
+                    not start or text[start - 1] != "/"
+                ):
                     spans.append((start, end))
                 elif kind == "value" and any(c in STRONG for c in text[start:end]):
                     spans.append((start, end))  # a legitimate value that holds delimiters

@@ -54,7 +54,10 @@ def retests(events: DataFrame, user: str, failed: Column) -> DataFrame:
 
 def interval_days(level: Column) -> Column:
     """Days until the next practice of a level (0 and up)."""
-    return F.element_at(F.array(*map(F.lit, INTERVAL_DAYS)), F.least(F.greatest(level, F.lit(0)), F.lit(len(INTERVAL_DAYS) - 1)).cast("int") + 1)
+    return F.element_at(
+        F.array(*map(F.lit, INTERVAL_DAYS)),
+        F.least(F.greatest(level, F.lit(0)), F.lit(len(INTERVAL_DAYS) - 1)).cast("int") + 1,
+    )
 
 
 def brier(df: DataFrame, keys: list[str], p: Column, y: Column) -> DataFrame:

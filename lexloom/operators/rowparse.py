@@ -178,9 +178,13 @@ def parse_lines(
                     "line_no": batch["line_no"],
                     "broken": pd.Series(reasons, index=batch.index, dtype=object),
                     "source_key": pd.Series(
-                        [r.get("source", "").strip().casefold() if r else None for r in rows], index=batch.index, dtype=object
+                        [r.get("source", "").strip().casefold() if r else None for r in rows],
+                        index=batch.index,
+                        dtype=object
+                    ),
+                    "fields": pd.Series(
+                        rows if keep is not None else [None] * len(rows), index=batch.index, dtype=object
                     ),
-                    "fields": pd.Series(rows if keep is not None else [None] * len(rows), index=batch.index, dtype=object),
                 }
             )
 

@@ -19,7 +19,9 @@ LINE_BLOCK = 10_000
 
 def lines_of(df: DataFrame, id_column: str, text: str) -> DataFrame:
     """(id, line_no, line) of every line of a text; no rows for a null text, one empty line for an empty one."""
-    return df.where(F.col(text).isNotNull()).select(id_column, F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line"))
+    return df.where(F.col(text).isNotNull()).select(
+        id_column, F.posexplode(F.split(text, "\r?\n")).alias("line_no", "line")
+    )
 
 
 def entries_by_head(lines: DataFrame, keys: list[str], head: str, group: int = 1) -> DataFrame:
@@ -29,7 +31,13 @@ def entries_by_head(lines: DataFrame, keys: list[str], head: str, group: int = 1
     the lines after a head are its notes, in order.
     """
     starts = F.col("line").rlike(head)
-    marked = blocked(lines, keys, ["line_no"], F.floor(F.col("line_no") / LINE_BLOCK), {"entry": ("sum", F.when(starts, 1).otherwise(0))})
+    marked = blocked(
+        lines,
+        keys,
+        ["line_no"],
+        F.floor(F.col("line_no") / LINE_BLOCK),
+        {"entry": ("sum", F.when(starts, 1).otherwise(0))},
+    )
     is_head = F.col("line").rlike(head)
     notes = F.array_compact(F.collect_list(F.when(~is_head & (F.btrim("line") != ""), F.struct("line_no", "line"))))
     return marked.groupBy(*keys, "entry").agg(
@@ -69,7 +77,9 @@ def comma_stream(blocks: DataFrame, keys: list[str], order: str, text: str) -> D
     For streams of bounded length, such as one section of a book.
     """
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda b: b[text]), " ")
-    terms = F.filter(F.transform(F.split(joined, ","), lambda t: F.btrim(F.regexp_replace(t, r"\s+", " "))), lambda t: t != "")
+    terms = F.filter(
+        F.transform(F.split(joined, ","), lambda t: F.btrim(F.regexp_replace(t, r"\s+", " "))), lambda t: t != ""
+    )
     return blocks.groupBy(*keys).agg(terms.alias("terms")).select(*keys, F.posexplode("terms").alias("n", "term"))
 
 
@@ -83,7 +93,9 @@ def coded_lines(lines: DataFrame, codes: dict[str, str]) -> DataFrame:
         .when(term == "", "empty_term")
         .when(term.rlike("[㐀-鿿]"), "wrong_script")
     )
-    return lines.where(F.btrim("line") != "").select("*", F.try_element_at(known, code).alias("label"), term.alias("term"), problem.alias("problem"))
+    return lines.where(F.btrim("line") != "").select(
+        "*", F.try_element_at(known, code).alias("label"), term.alias("term"), problem.alias("problem")
+    )
 
 
 def ordered_unique(text: str) -> list[str]:

@@ -46,7 +46,11 @@ SELECT coalesce(e.doc_id, o.doc_id) AS doc_id,
   CASE WHEN e.doc_id IS NULL THEN 'unexpected' WHEN n IS NULL THEN 'unseen' ELSE 'repeated' END AS state
 FROM e FULL JOIN o ON e.doc_id = o.doc_id WHERE e.doc_id IS NULL OR n IS NULL OR n > 1""")
 def correction_audit(s, d):
-    return U.correction_audit(load(s, d, "documents", "doc_id", "kind").where("kind = 'glossary'"), load(s, d, "subject_labels", "doc_id"), "doc_id")
+    return U.correction_audit(
+        load(s, d, "documents", "doc_id", "kind").where("kind = 'glossary'"),
+        load(s, d, "subject_labels", "doc_id"),
+        "doc_id",
+    )
 
 
 @query("""WITH a AS (SELECT file_id, line_no, string_split(raw_line, chr(9))[1] AS v
@@ -56,13 +60,21 @@ j AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(a.line_no, b.li
  WHERE a.v IS DISTINCT FROM b.v OR a.file_id IS NULL OR b.file_id IS NULL)
 SELECT file_id, min("at") AS "at", arg_min([l], "at")[1] AS "left", arg_min([r], "at")[1] AS "right" FROM j GROUP BY 1""")
 def first_mismatch(s, d):
-    a = load(s, d, "raw_lines", "file_id", "line_no", "raw_line").select("file_id", "line_no", F.split("raw_line", "\t")[0].alias("v"))
-    return U.first_mismatch(a, a.select((F.col("file_id") + 1).alias("file_id"), "line_no", "v"), ["file_id"], "line_no", "v")
+    a = load(s, d, "raw_lines", "file_id", "line_no", "raw_line").select(
+        "file_id", "line_no", F.split("raw_line", "\t")[0].alias("v")
+    )
+    return U.first_mismatch(
+        a, a.select((F.col("file_id") + 1).alias("file_id"), "line_no", "v"), ["file_id"], "line_no", "v"
+    )
 
 
-@query("""SELECT registry_source_id, count(*) AS n_rows, count(DISTINCT lower(headword)) AS unique_terms, count(*) - count(DISTINCT lower(headword)) - max(CASE WHEN headword IS NULL THEN 1 ELSE 0 END) AS duplicates FROM source_rows GROUP BY 1""")
+@query(
+    """SELECT registry_source_id, count(*) AS n_rows, count(DISTINCT lower(headword)) AS unique_terms, count(*) - count(DISTINCT lower(headword)) - max(CASE WHEN headword IS NULL THEN 1 ELSE 0 END) AS duplicates FROM source_rows GROUP BY 1"""
+)
 def duplicate_statistics(s, d):
-    return U.duplicate_statistics(load(s, d, "source_rows", "registry_source_id", "headword"), "registry_source_id", F.lower("headword"))
+    return U.duplicate_statistics(
+        load(s, d, "source_rows", "registry_source_id", "headword"), "registry_source_id", F.lower("headword")
+    )
 
 
 @query("""WITH r AS (SELECT registry_source_id AS id, count(*) AS n, count(DISTINCT source_file) AS files, count(*) FILTER (cefr IS NULL) AS unlevelled FROM source_rows GROUP BY 1),
@@ -76,7 +88,9 @@ def completion_evidence(s, d):
     counted = rows.groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("cefr").isNull()).alias("unlevelled"))
     joined = load(s, d, "source_registry", "id", "search_root_key", "expected_sha256").join(counted, "id", "left")
     codes = {
-        "few_rows": F.col("n") > 100, "unlevelled": F.col("unlevelled") * 2 < F.col("n"), "no_root": F.col("search_root_key").isNotNull(),
+        "few_rows": F.col("n") > 100,
+        "unlevelled": F.col("unlevelled") * 2 < F.col("n"),
+        "no_root": F.col("search_root_key").isNotNull(),
         "no_digest": F.col("expected_sha256").rlike("^[0-9a-f]{64}$"),
     }
     return U.evidence_codes(joined, codes).select("id", F.array_join("failures", ",").alias("failures"), "passed")
@@ -86,15 +100,21 @@ def completion_evidence(s, d):
   FROM (SELECT lower(trim(headword, ' ')) AS k, cefr, min(row_id) AS r FROM target_rows
   WHERE headword IS NOT NULL AND cefr IS NOT NULL GROUP BY 1, 2) GROUP BY k""")
 def links_as_map(s, d):
-    rows = load(s, d, "target_rows", "row_id", "headword", "cefr").where("headword IS NOT NULL").withColumn("k", F.lower(F.btrim("headword")))
+    rows = load(s, d, "target_rows", "row_id", "headword", "cefr").where("headword IS NOT NULL").withColumn(
+        "k", F.lower(F.btrim("headword"))
+    )
     out = U.keyed_map(rows, ["k"], "cefr", "row_id")
     pairs = F.transform(F.map_entries("entries"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
     return out.select("k", F.array_join(pairs, ",").alias("entries"))
 
 
-@query("SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20")
+@query(
+    "SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 20"
+)
 def recent_history(s, d):
-    return U.recent(load(s, d, "events", "user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20)
+    return U.recent(
+        load(s, d, "events", "user_id", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20
+    )
 
 
 @query("""SELECT row_id, headword FROM source_rows
@@ -102,7 +122,13 @@ def recent_history(s, d):
 def catalogue_browse(s, d):
     rows = load(s, d, "source_rows", "row_id", "headword", "topic_or_section", "cefr", "source_format")
     return U.browse(rows, "Fund", ["headword"], {"cefr": "B2", "source_format": "pdf"}, {}).unionByName(
-        U.browse(rows.where("NOT coalesce(contains(lower(headword), 'fund'), false)"), "MARKET", ["topic_or_section"], {"cefr": "B2", "source_format": "pdf"}, {})
+        U.browse(
+            rows.where("NOT coalesce(contains(lower(headword), 'fund'), false)"),
+            "MARKET",
+            ["topic_or_section"],
+            {"cefr": "B2", "source_format": "pdf"},
+            {},
+        )
     ).select("row_id", "headword")
 
 
@@ -110,21 +136,42 @@ def catalogue_browse(s, d):
   FROM (SELECT user_id, day, seconds, sum(seconds) OVER (PARTITION BY user_id, day ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS running
 FROM (SELECT *, date_trunc('day', ts) AS day, 30.0 + event_id % 60 AS seconds FROM events)) GROUP BY 1""")
 def daily_budget(s, d):
-    events = load(s, d, "events", "user_id", "event_id", "ts").withColumn("day", F.date_trunc("day", "ts")).withColumn("seconds", F.lit(30.0) + F.col("event_id") % 60)
-    running = blocked(events, ["user_id", "day"], ["ts", "event_id"], F.date_trunc("hour", "ts"), {"running": ("sum", F.col("seconds"))})
-    return running.groupBy("user_id").agg(F.round(F.sum("seconds"), 3).alias("seconds"), F.count_if(F.col("running") <= 720).alias("in_budget"))
+    events = load(s, d, "events", "user_id", "event_id", "ts").withColumn("day", F.date_trunc("day", "ts")).withColumn(
+        "seconds", F.lit(30.0) + F.col("event_id") % 60
+    )
+    running = blocked(
+        events,
+        ["user_id", "day"],
+        ["ts", "event_id"],
+        F.date_trunc("hour", "ts"),
+        {"running": ("sum", F.col("seconds"))},
+    )
+    return running.groupBy("user_id").agg(
+        F.round(F.sum("seconds"), 3).alias("seconds"), F.count_if(F.col("running") <= 720).alias("in_budget")
+    )
 
 
 @query(r"""SELECT row_id, coalesce(length(definition) <= 100 AND NOT regexp_matches(definition, ' \+ |[=/→]') AND NOT contains(lower(definition), 'infinitive') AND regexp_matches(definition, '^[\p{L}][\p{L}\p{M}0-9 ''’.,!?()-]*\z'), false) AS valid,
  CASE WHEN headword IS NULL OR trim(headword, ' ') = '' THEN 'empty' WHEN length(headword) > 48 THEN 'too_long' WHEN regexp_matches(headword, '[.!?;:]') THEN 'sentence_mark' WHEN NOT regexp_matches(headword, '^[\p{L}][\p{L} ''-]*\z') THEN 'other_character' END AS problem FROM source_rows""")
 def candidate_checks(s, d):
     return load(s, d, "source_rows", "row_id", "definition", "headword").select(
-        "row_id", X.valid_candidate(F.col("definition")).alias("valid"), X.target_problem(F.col("headword")).alias("problem")
+        "row_id",
+        X.valid_candidate(F.col("definition")).alias("valid"),
+        X.target_problem(F.col("headword")).alias("problem")
     )
 
 
-@query(r"""SELECT row_id, CASE WHEN regexp_matches(raw_term, '(?s)^[^\n\r]*?\s+[–—-]\s+[^\n\r]*$') THEN 1 ELSE 0 END AS has_sides, regexp_replace(topic_or_section, '\s*\d+$', '') AS topic, try_cast(nullif(regexp_extract(topic_or_section, '(\d+)$', 1), '') AS INT) AS sense FROM source_rows WHERE raw_term IS NOT NULL AND topic_or_section IS NOT NULL AND NOT regexp_matches(raw_term, '[\n\r]') AND regexp_matches(raw_term || topic_or_section, '^[ -~]*$')""")
+@query(
+    r"""SELECT row_id, CASE WHEN regexp_matches(raw_term, '(?s)^[^\n\r]*?\s+[–—-]\s+[^\n\r]*$') THEN 1 ELSE 0 END AS has_sides, regexp_replace(topic_or_section, '\s*\d+$', '') AS topic, try_cast(nullif(regexp_extract(topic_or_section, '(\d+)$', 1), '') AS INT) AS sense FROM source_rows WHERE raw_term IS NOT NULL AND topic_or_section IS NOT NULL AND NOT regexp_matches(raw_term, '[\n\r]') AND regexp_matches(raw_term || topic_or_section, '^[ -~]*$')"""
+)
 def sides_and_senses(s, d):
-    rows = load(s, d, "source_rows", "row_id", "raw_term", "topic_or_section").dropna().where(~F.col("raw_term").rlike("[\n\r]") & F.concat("raw_term", "topic_or_section").rlike("^[ -~]*$"))
+    rows = load(s, d, "source_rows", "row_id", "raw_term", "topic_or_section").dropna().where(
+        ~F.col("raw_term").rlike("[\n\r]") & F.concat("raw_term", "topic_or_section").rlike("^[ -~]*$")
+    )
     topic, sense = X.without_sense(F.col("topic_or_section"))
-    return rows.select("row_id", X.definition_sides(F.col("raw_term"))[1].isNotNull().cast("int").alias("has_sides"), topic.alias("topic"), sense.alias("sense"))
+    return rows.select(
+        "row_id",
+        X.definition_sides(F.col("raw_term"))[1].isNotNull().cast("int").alias("has_sides"),
+        topic.alias("topic"),
+        sense.alias("sense"),
+    )

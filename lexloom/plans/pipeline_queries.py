@@ -20,7 +20,9 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Every value of the packed ``pos`` and ``headword`` fields, with its place."""
     labels = small_rows(load(spark, d, "pos_labels", "label", "short_form"), MOST_LABELS)
     names = tuple(sorted({x for row in labels for x in row if x}))
-    return split_packed(load(spark, d, "source_rows", "row_id", "pos", "headword"), "row_id", {"pos": names, "headword": ()})
+    return split_packed(
+        load(spark, d, "source_rows", "row_id", "pos", "headword"), "row_id", {"pos": names, "headword": ()}
+    )
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

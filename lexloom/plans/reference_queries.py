@@ -57,14 +57,18 @@ def _stripped(x: str) -> str:
   f"lower({_stripped('raw_term')}) = lower({_stripped('headword')}) AS same FROM source_rows")
 def normalize_answer(s, d):
     return load(s, d, "source_rows", "row_id", "raw_term", "headword").select(
-        "row_id", X.normalize_answer("raw_term").alias("answer"), X.same_spelling(F.col("raw_term"), F.col("headword")).alias("same")
+        "row_id",
+        X.normalize_answer("raw_term").alias("answer"),
+        X.same_spelling(F.col("raw_term"), F.col("headword")).alias("same")
     )
 
 
 _CLEAN = r"trim(regexp_replace(translate({0}, chr(160)||'‘’‚‛“”„´–—―', ' ''''''''''''''''---'), '[\s\x{{0b}}\x{{85}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+', ' ', 'g'))"
 
 
-@query("SELECT row_id, " + _CLEAN.format("topic_or_section") + " AS topic FROM source_rows WHERE topic_or_section IS NOT NULL")
+@query(
+    "SELECT row_id, " + _CLEAN.format("topic_or_section") + " AS topic FROM source_rows WHERE topic_or_section IS NOT NULL"
+)
 def clean_marks(s, d):
     return load(s, d, "source_rows", "row_id", "topic_or_section").where(F.col("topic_or_section").isNotNull()).select(
         "row_id", X.collapse(X.plain_marks("topic_or_section")).alias("topic")
@@ -73,13 +77,17 @@ def clean_marks(s, d):
 
 @query()
 def nfkc_clean(s, d):
-    return load(s, d, "source_rows", "row_id", "raw_term").where(F.col("raw_term").isNotNull()).select("row_id", X.clean_text("raw_term").alias("clean"))
+    return load(s, d, "source_rows", "row_id", "raw_term").where(F.col("raw_term").isNotNull()).select(
+        "row_id", X.clean_text("raw_term").alias("clean")
+    )
 
 
 @query()
 def lexical_forms(s, d):
     clean = load(s, d, "source_rows", "row_id", "raw_term").select("row_id", X.clean_text("raw_term").alias("clean"))
-    return clean.select("row_id", X.lexical_form(F.col("clean")).alias("form"), X.lexical_key(F.col("clean")).alias("key"))
+    return clean.select(
+        "row_id", X.lexical_form(F.col("clean")).alias("form"), X.lexical_key(F.col("clean")).alias("key")
+    )
 
 
 @query(r"""WITH c AS (SELECT row_id, trim(regexp_replace(lower(definition), '\s+', ' ', 'g')) AS x FROM source_rows
@@ -97,15 +105,23 @@ def stable_slug(s, d):
     return load(s, d, "part", "p_partkey", "p_name").select("p_partkey", X.stable_slug(F.col("p_name")).alias("slug"))
 
 
-@query(r"""SELECT c_custkey, 'hard-word-' || regexp_replace(lower(c_name), '\s+', '-', 'g') || '-' || left(sha256(c_name), 8) AS public_id FROM customer""")
+@query(
+    r"""SELECT c_custkey, 'hard-word-' || regexp_replace(lower(c_name), '\s+', '-', 'g') || '-' || left(sha256(c_name), 8) AS public_id FROM customer"""
+)
 def public_id_sha256(s, d):
-    return load(s, d, "customer", "c_custkey", "c_name").select("c_custkey", X.public_id(F.col("c_name")).alias("public_id"))
+    return load(s, d, "customer", "c_custkey", "c_name").select(
+        "c_custkey", X.public_id(F.col("c_name")).alias("public_id")
+    )
 
 
-@query(r"""SELECT row_id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(concat_ws(' ', cefr, notes, definition)), '\b[ABC][12]\b'))), '|') AS levels FROM source_rows""")
+@query(
+    r"""SELECT row_id, array_to_string(list_sort(list_distinct(regexp_extract_all(upper(concat_ws(' ', cefr, notes, definition)), '\b[ABC][12]\b'))), '|') AS levels FROM source_rows"""
+)
 def level_extract(s, d):
     text = F.concat_ws(" ", "cefr", "notes", "definition")
-    return load(s, d, "source_rows", "row_id", "cefr", "notes", "definition").select("row_id", F.array_join(X.cefr_levels(text), "|").alias("levels"))
+    return load(s, d, "source_rows", "row_id", "cefr", "notes", "definition").select(
+        "row_id", F.array_join(X.cefr_levels(text), "|").alias("levels")
+    )
 
 
 def _pos_sql() -> str:
@@ -120,7 +136,9 @@ def _pos_sql() -> str:
 
 @query(_pos_sql())
 def pos_multi_label(s, d):
-    return load(s, d, "source_rows", "row_id", "pos").select("row_id", F.array_join(X.pos_labels(F.col("pos")), "|").alias("labels"))
+    return load(s, d, "source_rows", "row_id", "pos").select(
+        "row_id", F.array_join(X.pos_labels(F.col("pos")), "|").alias("labels")
+    )
 
 
 @query(r"""WITH p AS (SELECT row_id, unnest(regexp_extract_all(headword, '(?:[^,(]|\([^()]*\))+')) AS v FROM source_rows)
@@ -129,7 +147,9 @@ def comma_split_explode(s, d):
     return A.histogram(load(s, d, "source_rows", "row_id", "headword"), X.comma_groups(F.col("headword")), "part")
 
 
-@query(r"""SELECT p_partkey, lower(trim(regexp_replace(p_brand, '[123]$', ''))) AS word, coalesce(try_cast(nullif(regexp_extract(p_brand, '([123])$', 1), '') AS INT), 1) AS code FROM part""")
+@query(
+    r"""SELECT p_partkey, lower(trim(regexp_replace(p_brand, '[123]$', ''))) AS word, coalesce(try_cast(nullif(regexp_extract(p_brand, '([123])$', 1), '') AS INT), 1) AS code FROM part"""
+)
 def trailing_code_parse(s, d):
     word, code = X.code_at_end(F.col("p_brand"))
     return load(s, d, "part", "p_partkey", "p_brand").select("p_partkey", word.alias("word"), code.alias("code"))
@@ -141,20 +161,30 @@ def trailing_code_parse(s, d):
  WHEN regexp_matches(headword, '\p{Cc}') THEN 'control_character' WHEN regexp_matches(headword, '[|\\]') THEN 'stray_delimiter' ELSE 'sound' END AS problem, count(*) AS n FROM source_rows GROUP BY 1""")
 def headword_problems(s, d):
     rows = load(s, d, "source_rows", "headword")
-    return rows.groupBy(F.coalesce(X.headword_problem(F.col("headword")), F.lit("sound")).alias("problem")).agg(F.count("*").alias("n"))
+    return rows.groupBy(F.coalesce(X.headword_problem(F.col("headword")), F.lit("sound")).alias("problem")).agg(
+        F.count("*").alias("n")
+    )
 
 
-@query(r"""SELECT line_id, replace(replace(replace(replace(replace(raw_line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html FROM raw_lines""")
+@query(
+    r"""SELECT line_id, replace(replace(replace(replace(replace(raw_line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html FROM raw_lines"""
+)
 def escape_html(s, d):
-    return load(s, d, "raw_lines", "line_id", "raw_line").select("line_id", X.escape_html(F.col("raw_line")).alias("html"))
+    return load(s, d, "raw_lines", "line_id", "raw_line").select(
+        "line_id", X.escape_html(F.col("raw_line")).alias("html")
+    )
 
 
 @query(r"""SELECT row_id, concat_ws('; ', nullif(notes, ''), nullif(definition, '')) AS joined FROM target_rows""")
 def append_notes(s, d):
-    return load(s, d, "target_rows", "row_id", "notes", "definition").select("row_id", X.joined_notes(F.col("notes"), F.col("definition")).alias("joined"))
+    return load(s, d, "target_rows", "row_id", "notes", "definition").select(
+        "row_id", X.joined_notes(F.col("notes"), F.col("definition")).alias("joined")
+    )
 
 
-@query(r"""SELECT CASE WHEN length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 80 THEN 'native' ELSE 'ocr' END AS route, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1""")
+@query(
+    r"""SELECT CASE WHEN length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) >= 80 THEN 'native' ELSE 'ocr' END AS route, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1"""
+)
 def text_route(s, d):
     texts = load(s, d, "documents", "text").where(F.col("text").isNotNull())
     return texts.groupBy(X.has_text_layer(F.col("text")).alias("route")).agg(F.count("*").alias("n"))
@@ -168,7 +198,9 @@ def slash_expansions(s, d):
 
 @query()
 def folded_terms(s, d):
-    return load(s, d, "target_rows", "row_id", "headword").select("row_id", casefold("headword").alias("folded"), nfkd_ascii("headword").alias("ascii"))
+    return load(s, d, "target_rows", "row_id", "headword").select(
+        "row_id", casefold("headword").alias("folded"), nfkd_ascii("headword").alias("ascii")
+    )
 
 
 @query(r"""WITH t AS (SELECT row_id, lower(trim(regexp_replace(headword, '\s+', ' ', 'g'))) AS w, lower(trim(regexp_replace(raw_term, '\s+', ' ', 'g'))) AS p FROM target_rows)
@@ -199,7 +231,9 @@ def quality_issues(s, d):
 _EXPECTED = "CASE source_role " + " ".join(f"WHEN '{r}' THEN '{p}'" for r, p in ROLE_POLICY.items()) + " END"
 
 
-@query(f"SELECT row_id, source_role, corpus_policy, {_EXPECTED} AS expected FROM source_rows WHERE corpus_policy IS DISTINCT FROM {_EXPECTED}")
+@query(
+    f"SELECT row_id, source_role, corpus_policy, {_EXPECTED} AS expected FROM source_rows WHERE corpus_policy IS DISTINCT FROM {_EXPECTED}"
+)
 def role_policy_fd(s, d):
     rows = load(s, d, "source_rows", "row_id", "source_role", "corpus_policy")
     return G.dependency_broken(rows, "source_role", "corpus_policy", ROLE_POLICY)
@@ -235,7 +269,9 @@ def semi_anti(s, d):
     customer, orders = load(s, d, "customer", "c_custkey"), load(s, d, "orders", "o_custkey")
     on = customer["c_custkey"] == orders["o_custkey"]
     count = lambda df, side: df.agg(F.lit(side).alias("side"), F.count("*").alias("n"))
-    return count(customer.join(orders, on, "left_semi"), "with_orders").unionByName(count(customer.join(orders, on, "left_anti"), "without"))
+    return count(customer.join(orders, on, "left_semi"), "with_orders").unionByName(
+        count(customer.join(orders, on, "left_anti"), "without")
+    )
 
 
 @query("""(SELECT 'left' AS side, source, n FROM (SELECT lower(source) AS source, count(*) AS n FROM target_rows
@@ -243,14 +279,18 @@ def semi_anti(s, d):
 UNION ALL (SELECT 'right', source, n FROM (SELECT lower(source) AS source, count(*) AS n FROM source_rows
   GROUP BY 1 EXCEPT ALL SELECT lower(source), count(*) FROM target_rows GROUP BY 1))""")
 def set_equality(s, d):
-    count = lambda t: load(s, d, t, "source").groupBy(F.lower("source").alias("source")).agg(F.count("*").alias("n"))
+    count = lambda t: load(s, d, t, "source").groupBy(F.lower("source").alias("source")).agg(
+        F.count("*").alias("n")
+    )
     return G.set_difference(count("target_rows"), count("source_rows"))
 
 
 @query("""SELECT source FROM (SELECT DISTINCT source FROM target_rows INTERSECT SELECT display_name FROM source_registry)
   WHERE source IS NOT NULL""")
 def intersect_sources(s, d):
-    return load(s, d, "target_rows", "source").intersect(load(s, d, "source_registry", F.col("display_name").alias("source"))).where("source IS NOT NULL")
+    return load(s, d, "target_rows", "source").intersect(load(s, d, "source_registry", F.col("display_name").alias("source"))).where(
+        "source IS NOT NULL"
+    )
 
 
 # --- joins ----------------------------------------------------------------------------------------------------------
@@ -265,13 +305,17 @@ SELECT t.row_id, coalesce(a.id, c.id) AS match_id,
 FROM target_rows t LEFT JOIN a ON lower(trim(t.headword, ' ')) = a.k LEFT JOIN c ON lower(trim(t.headword, ' ')) = c.k""")
 def priority_lookup(s, d):
     key = F.lower(F.btrim("headword")).alias("k")
-    rows = load(s, d, "source_rows", "row_id", "headword", "corpus_policy").where(F.col("corpus_policy").isin("target", "candidate_only"))
+    rows = load(s, d, "source_rows", "row_id", "headword", "corpus_policy").where(
+        F.col("corpus_policy").isin("target", "candidate_only")
+    )
     # one build side for both lookups; the last duplicate wins
     known = rows.groupBy(key).agg(
         F.max(F.when(F.col("corpus_policy") == "target", F.col("row_id"))).alias("active"),
         F.max(F.when(F.col("corpus_policy") == "candidate_only", F.col("row_id"))).alias("candidate"),
     )
-    status = F.when(F.col("active").isNotNull(), "active").when(F.col("candidate").isNotNull(), "candidate").otherwise("unmatched")
+    status = F.when(F.col("active").isNotNull(), "active").when(F.col("candidate").isNotNull(), "candidate").otherwise(
+        "unmatched"
+    )
     return load(s, d, "target_rows", "row_id", "headword").select("row_id", key).join(known, "k", "left").select(
         "row_id", F.coalesce("active", "candidate").alias("match_id"), status.alias("status")
     )
@@ -281,17 +325,30 @@ def priority_lookup(s, d):
   CASE WHEN o_orderkey IS NULL THEN 'generated' ELSE 'reviewed' END AS asset
 FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey AND (l_returnflag = 'R') = (o_orderstatus = 'F')""")
 def composite_key_left_join(s, d):
-    lines = load(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").withColumn("k", F.col("l_returnflag") == "R")
-    orders = load(s, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").withColumn("ok", F.col("o_orderstatus") == "F")
+    lines = load(s, d, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").withColumn(
+        "k", F.col("l_returnflag") == "R"
+    )
+    orders = load(s, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus").withColumn(
+        "ok", F.col("o_orderstatus") == "F"
+    )
     joined = lines.join(orders, (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("k") == F.col("ok")), "left")
-    return joined.select("l_orderkey", "l_linenumber", "o_orderpriority", F.when(F.col("o_orderkey").isNull(), "generated").otherwise("reviewed").alias("asset"))
+    return joined.select(
+        "l_orderkey",
+        "l_linenumber",
+        "o_orderpriority",
+        F.when(F.col("o_orderkey").isNull(), "generated").otherwise("reviewed").alias("asset"),
+    )
 
 
-@query("SELECT label_id, accent, kind, label || '/' || accent || '/' || kind AS path FROM pos_labels, (VALUES ('en-GB'), ('en-US')) a(accent), (VALUES ('word'), ('sentence')) k(kind)")
+@query(
+    "SELECT label_id, accent, kind, label || '/' || accent || '/' || kind AS path FROM pos_labels, (VALUES ('en-GB'), ('en-US')) a(accent), (VALUES ('word'), ('sentence')) k(kind)"
+)
 def cross_expand(s, d):
     # a product with two short literal lists is an explode, not a join
     accents, kinds = F.array(F.lit("en-GB"), F.lit("en-US")), F.array(F.lit("word"), F.lit("sentence"))
-    rows = load(s, d, "pos_labels", "label_id", "label").select("*", F.explode(accents).alias("accent")).select("*", F.explode(kinds).alias("kind"))
+    rows = load(s, d, "pos_labels", "label_id", "label").select("*", F.explode(accents).alias("accent")).select(
+        "*", F.explode(kinds).alias("kind")
+    )
     return rows.select("label_id", "accent", "kind", F.concat_ws("/", "label", "accent", "kind").alias("path"))
 
 
@@ -307,7 +364,8 @@ def manifest_diff_tolerance(s, d):
     k = F.col("p_partkey")
     old = part.where(k % 7 != 0).select(k.alias("k"), F.col("p_brand").alias("b"), F.col("p_retailprice").alias("v"))
     new = part.where(k % 11 != 0).select(
-        k.alias("k"), F.when(k % 5 == 0, F.concat(F.upper("p_brand"), F.lit("!"))).otherwise(F.col("p_brand")).alias("b"),
+        k.alias("k"),
+        F.when(k % 5 == 0, F.concat(F.upper("p_brand"), F.lit("!"))).otherwise(F.col("p_brand")).alias("b"),
         (F.col("p_retailprice") + F.when(k % 3 == 0, 0.5).otherwise(0.05)).alias("v"),
     )
     return D.diff(old, new, "k", ["b"], {"v": 0.1})
@@ -318,8 +376,15 @@ SELECT a.row_id, b.row_id AS next_row_id, a.headword IS NOT DISTINCT FROM b.head
   FROM t a JOIN t b ON a.source_file = b.source_file AND b.line_no = a.line_no + 1""")
 def positional_diff(s, d):
     a = load(s, d, "target_rows", "source_file", "line_no", "row_id", "headword")
-    b = a.select("source_file", (F.col("line_no") - 1).alias("line_no"), F.col("row_id").alias("next_row_id"), F.col("headword").alias("_h"))
-    return a.join(b, ["source_file", "line_no"]).select("row_id", "next_row_id", F.col("headword").eqNullSafe(F.col("_h")).alias("same"))
+    b = a.select(
+        "source_file",
+        (F.col("line_no") - 1).alias("line_no"),
+        F.col("row_id").alias("next_row_id"),
+        F.col("headword").alias("_h"),
+    )
+    return a.join(b, ["source_file", "line_no"]).select(
+        "row_id", "next_row_id", F.col("headword").eqNullSafe(F.col("_h")).alias("same")
+    )
 
 
 @query("""WITH b AS (SELECT user_id, event_id AS band_id, epoch(ts) AS lo, epoch(ts) + 3600 AS hi FROM events
@@ -327,23 +392,33 @@ def positional_diff(s, d):
 SELECT e.event_id, b.band_id FROM events e JOIN b ON e.user_id = b.user_id AND epoch(e.ts) >= b.lo AND epoch(e.ts) < b.hi""")
 def range_band_join(s, d):
     events = load(s, d, "events", "event_id", "user_id", "ts", "event_type").withColumn("at", F.unix_micros("ts") / 1e6)
-    bands = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("band_id"), F.col("at").alias("lo"), (F.col("at") + 3600).alias("hi"))
-    return R.band_join(events.select("event_id", "user_id", "at"), bands, ["user_id"], "at", "lo", "hi", 3600.0).select("event_id", "band_id")
+    bands = events.where("event_type = 'signup'").select(
+        "user_id", F.col("event_id").alias("band_id"), F.col("at").alias("lo"), (F.col("at") + 3600).alias("hi")
+    )
+    return R.band_join(events.select("event_id", "user_id", "at"), bands, ["user_id"], "at", "lo", "hi", 3600.0).select(
+        "event_id", "band_id"
+    )
 
 
 @query("""SELECT s_name AS name, 'base' AS origin FROM supplier UNION ALL SELECT c_name, 'batch' FROM customer
   WHERE c_name NOT IN (SELECT s_name FROM supplier)""")
 def insert_if_absent(s, d):
     base = load(s, d, "supplier", F.col("s_name").alias("name")).withColumn("origin", F.lit("base"))
-    return D.insert_if_absent(base, load(s, d, "customer", F.col("c_name").alias("name")).withColumn("origin", F.lit("batch")), "name")
+    return D.insert_if_absent(
+        base, load(s, d, "customer", F.col("c_name").alias("name")).withColumn("origin", F.lit("batch")), "name"
+    )
 
 
 @query("""WITH c(event_type, fixed) AS (VALUES ('error', 'failure'), ('error', 'retry'), ('signup', 'enrol'))
 SELECT coalesce(c.fixed, e.event_type) AS outcome, count(*) AS n FROM events e LEFT JOIN c USING (event_type) GROUP BY 1""")
 def corrections_override(s, d):
-    fixes = F.create_map(F.lit("error"), F.array(F.lit("failure"), F.lit("retry")), F.lit("signup"), F.array(F.lit("enrol")))
+    fixes = F.create_map(
+        F.lit("error"), F.array(F.lit("failure"), F.lit("retry")), F.lit("signup"), F.array(F.lit("enrol"))
+    )
     events = load(s, d, "events", "event_type")
-    out = events.select(F.explode(F.coalesce(F.try_element_at(fixes, F.col("event_type")), F.array("event_type"))).alias("outcome"))
+    out = events.select(
+        F.explode(F.coalesce(F.try_element_at(fixes, F.col("event_type")), F.array("event_type"))).alias("outcome")
+    )
     return out.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
@@ -354,12 +429,18 @@ SELECT g.id, coalesce(evidence, 0) AS evidence, coalesce(targets, 0) AS targets,
  CASE WHEN coalesce(evidence, 0) > 0 AND coalesce(documents, 0) > 0 THEN 'both' WHEN coalesce(evidence, 0) > 0 THEN 'evidence_only' ELSE 'pending' END AS state
 FROM source_registry g LEFT JOIN r USING (id) LEFT JOIN t USING (display_name) LEFT JOIN dd USING (id)""")
 def multi_source_ledger(s, d):
-    count = lambda t, key, name, to: load(s, d, t, key).groupBy(F.col(key).alias(to)).agg(F.count("*").alias(name))
+    count = lambda t, key, name, to: load(s, d, t, key).groupBy(F.col(key).alias(to)).agg(
+        F.count("*").alias(name)
+    )
     out = load(s, d, "source_registry", "id", "display_name")
     out = out.join(count("source_rows", "registry_source_id", "evidence", "id"), "id", "left")
     out = out.join(count("target_rows", "source", "targets", "display_name"), "display_name", "left")
-    out = out.join(count("documents", "source", "documents", "id"), "id", "left").na.fill(0, ["evidence", "targets", "documents"])
-    state = F.when((F.col("evidence") > 0) & (F.col("documents") > 0), "both").when(F.col("evidence") > 0, "evidence_only").otherwise("pending")
+    out = out.join(count("documents", "source", "documents", "id"), "id", "left").na.fill(
+        0, ["evidence", "targets", "documents"]
+    )
+    state = F.when((F.col("evidence") > 0) & (F.col("documents") > 0), "both").when(F.col("evidence") > 0, "evidence_only").otherwise(
+        "pending"
+    )
     return out.select("id", "evidence", "targets", "documents", state.alias("state"))
 
 
@@ -367,7 +448,9 @@ def multi_source_ledger(s, d):
 
 
 def _keyed(s, d):
-    rows = load(s, d, "source_rows", "row_id", "headword", "source", "cefr", "corpus_policy").where("headword IS NOT NULL")
+    rows = load(s, d, "source_rows", "row_id", "headword", "source", "cefr", "corpus_policy").where(
+        "headword IS NOT NULL"
+    )
     return rows.withColumn("key", X.normalize_answer("headword")).where("key <> ''")
 
 
@@ -382,7 +465,9 @@ SELECT key, headword AS display, t.n_rows, t.n_sources, t.first_row
   GROUP BY key) t USING (key) WHERE rn = 1""")
 def lexeme_census(s, d):
     rows = _keyed(s, d)
-    totals = rows.groupBy("key").agg(F.count("*").alias("n_rows"), F.count_distinct("source").alias("n_sources"), F.min("row_id").alias("first_row"))
+    totals = rows.groupBy("key").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("source").alias("n_sources"), F.min("row_id").alias("first_row")
+    )
     return A.display_form(rows, "key", "headword", "row_id").join(totals, "key")
 
 
@@ -405,11 +490,18 @@ def source_manifest(s, d):
     page = F.expr("try_cast(pdf_page AS int)")
     # two levels, so that one source with a third of the rows is counted by many tasks
     by_head = rows.groupBy("registry_source_id", "headword").agg(
-        F.count("*").alias("n"), F.collect_set("source_format").alias("f"), F.collect_set("cefr").alias("c"), F.min(page).alias("lo"), F.max(page).alias("hi")
+        F.count("*").alias("n"),
+        F.collect_set("source_format").alias("f"),
+        F.collect_set("cefr").alias("c"),
+        F.min(page).alias("lo"),
+        F.max(page).alias("hi")
     )
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))), "|")
     return by_head.groupBy("registry_source_id").agg(
-        F.sum("n").alias("n_rows"), F.count("headword").alias("n_headwords"), joined("f").alias("formats"), joined("c").alias("levels"),
+        F.sum("n").alias("n_rows"),
+        F.count("headword").alias("n_headwords"),
+        joined("f").alias("formats"),
+        joined("c").alias("levels"),
         F.min("lo").alias("first_page"), F.max("hi").alias("last_page"),
     )
 
@@ -418,8 +510,13 @@ def source_manifest(s, d):
  round(sum(CASE WHEN l_discount > 0.05 THEN l_extendedprice ELSE 0 END), 2) AS discounted FROM lineitem""")
 def conditional_stats(s, d):
     return load(s, d, "lineitem", "l_returnflag", "l_linestatus", "l_partkey", "l_discount", "l_extendedprice").agg(
-        F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.count_if(F.col("l_linestatus") == "O").alias("open_lines"),
-        F.count_distinct("l_partkey").alias("parts"), F.round(F.sum(F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice")).otherwise(0)), 2).alias("discounted"),
+        F.count("*").alias("n"),
+        F.count_if(F.col("l_returnflag") == "R").alias("returned"),
+        F.count_if(F.col("l_linestatus") == "O").alias("open_lines"),
+        F.count_distinct("l_partkey").alias("parts"),
+        F.round(F.sum(F.when(F.col("l_discount") > 0.05, F.col("l_extendedprice")).otherwise(0)), 2).alias(
+            "discounted"
+        ),
     )
 
 
@@ -433,7 +530,11 @@ def exploded_histogram(s, d):
   UNION ALL SELECT 'costly', count(*) FILTER (p_retailprice > 1500) FROM part
   UNION ALL SELECT 'first_brand', count(*) FILTER (p_brand LIKE 'Brand#1%') FROM part""")
 def flag_counts_unpivot(s, d):
-    flags = {"large": F.col("p_size") > 25, "costly": F.col("p_retailprice") > 1500, "first_brand": F.col("p_brand").startswith("Brand#1")}
+    flags = {
+        "large": F.col("p_size") > 25,
+        "costly": F.col("p_retailprice") > 1500,
+        "first_brand": F.col("p_brand").startswith("Brand#1"),
+    }
     return A.unpivot_counts(load(s, d, "part", "p_size", "p_retailprice", "p_brand"), flags)
 
 
@@ -452,17 +553,25 @@ def single_owner_rule(s, d):
   GROUP BY GROUPING SETS ((format), (source_role), (corpus_policy), ())""")
 def grouping_sets_inventory(s, d):
     table = load(s, d, "source_registry", "format", "source_role", "corpus_policy")
-    return table.groupingSets([["format"], ["source_role"], ["corpus_policy"], []], "format", "source_role", "corpus_policy").agg(F.count("*").alias("n"))
+    return table.groupingSets([["format"], ["source_role"], ["corpus_policy"], []], "format", "source_role", "corpus_policy").agg(
+        F.count("*").alias("n")
+    )
 
 
 @query("SELECT lang, kind, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY ROLLUP (lang, kind)")
 def rollup_documents(s, d):
-    return load(s, d, "documents", "lang", "kind", "n_chars").rollup("lang", "kind").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return load(s, d, "documents", "lang", "kind", "n_chars").rollup("lang", "kind").agg(
+        F.count("*").alias("n"), F.sum("n_chars").alias("chars")
+    )
 
 
-@query("SELECT md5(text) AS text_key, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1")
+@query(
+    "SELECT md5(text) AS text_key, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1"
+)
 def keep_first_dedup(s, d):
-    docs = load(s, d, "documents", "doc_id", "text").where("text IS NOT NULL").select("doc_id", F.md5("text").alias("text_key"))
+    docs = load(s, d, "documents", "doc_id", "text").where("text IS NOT NULL").select(
+        "doc_id", F.md5("text").alias("text_key")
+    )
     return docs.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
@@ -472,21 +581,30 @@ SELECT k, arg_min(headword, row_id) AS headword, coalesce(array_to_string(list_s
 def dedup_union_attrs(s, d):
     rows = load(s, d, "target_rows", "row_id", "headword", "source", "cefr").where("headword IS NOT NULL")
     return rows.groupBy(F.lower(F.btrim("headword")).alias("k")).agg(
-        F.min_by("headword", "row_id").alias("headword"), F.array_join(A.sorted_set("source"), "|").alias("sources"), F.array_join(A.sorted_set("cefr"), "|").alias("levels")
+        F.min_by("headword", "row_id").alias("headword"),
+        F.array_join(A.sorted_set("source"), "|").alias("sources"),
+        F.array_join(A.sorted_set("cefr"), "|").alias("levels")
     )
 
 
 @query("""SELECT row_id, row_number() OVER (PARTITION BY lower(headword) ORDER BY row_id) AS nth FROM target_rows
   WHERE headword IS NOT NULL""")
 def dup_ordinal(s, d):
-    rows = load(s, d, "target_rows", "row_id", "headword").where("headword IS NOT NULL").withColumn("k", F.lower("headword"))
-    return R.blocked(rows, ["k"], ["row_id"], F.floor(F.col("row_id") / 100_000), {"nth": ("sum", F.lit(1))}).select("row_id", "nth")
+    rows = load(s, d, "target_rows", "row_id", "headword").where("headword IS NOT NULL").withColumn(
+        "k", F.lower("headword")
+    )
+    return R.blocked(rows, ["k"], ["row_id"], F.floor(F.col("row_id") / 100_000), {"nth": ("sum", F.lit(1))}).select(
+        "row_id", "nth"
+    )
 
 
-@query("""SELECT user_id, bool_or(event_type = 'purchase') AS bought, bool_or(event_type = 'error') AS failed, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1""")
+@query(
+    """SELECT user_id, bool_or(event_type = 'purchase') AS bought, bool_or(event_type = 'error') AS failed, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1"""
+)
 def or_union_needs(s, d):
     return load(s, d, "events", "user_id", "event_type", "ts").groupBy("user_id").agg(
-        F.bool_or(F.col("event_type") == "purchase").alias("bought"), F.bool_or(F.col("event_type") == "error").alias("failed"),
+        F.bool_or(F.col("event_type") == "purchase").alias("bought"),
+        F.bool_or(F.col("event_type") == "error").alias("failed"),
         F.count("*").alias("n"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"),
     )
 
@@ -496,7 +614,13 @@ z AS (SELECT l_partkey, coalesce(a, 0) AS a, coalesce(n, 0) AS n, coalesce(r, 0)
 SELECT l_partkey, CASE WHEN a >= n AND a >= r THEN 'A' WHEN n >= r THEN 'N' ELSE 'R' END AS best, list_sort([a, n, r], 'DESC')[1] - list_sort([a, n, r], 'DESC')[2] AS margin FROM z""")
 def argmax_with_tie_order(s, d):
     lines = load(s, d, "lineitem", "l_partkey", "l_returnflag", "l_quantity")
-    sums = lines.groupBy("l_partkey").agg(*[F.coalesce(F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))), F.lit(0.0)).alias(f) for f in "ANR"])
+    sums = lines.groupBy("l_partkey").agg(
+        *[
+            F.coalesce(F.sum(F.when(F.col("l_returnflag") == f, F.col("l_quantity"))), F.lit(0.0)).alias(
+                f
+            ) for f in "ANR"
+        ]
+    )
     best, margin = A.argmax_with_margin({f: F.col(f) for f in "ANR"})
     return sums.select("l_partkey", best.alias("best"), margin.alias("margin"))
 
@@ -512,19 +636,31 @@ def brier_score(s, d):
 
 # --- ordered --------------------------------------------------------------------------------------------------------
 
-@query("""SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM events""")
+@query(
+    """SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS section FROM events"""
+)
 def forward_fill(s, d):
-    events = load(s, d, "events", "event_id", "user_id", "ts", "event_type").withColumn("mark", F.when(F.col("event_type") == "signup", F.col("event_id")))
-    return R.forward_fill(events, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), "mark", "section").select("event_id", "section")
+    events = load(s, d, "events", "event_id", "user_id", "ts", "event_type").withColumn(
+        "mark", F.when(F.col("event_type") == "signup", F.col("event_id"))
+    )
+    return R.forward_fill(events, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), "mark", "section").select(
+        "event_id", "section"
+    )
 
 
 @query("""WITH i AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS island FROM events)
 SELECT user_id, island, min(event_id) AS first, count(*) AS n_lines, string_agg(event_type, ' ' ORDER BY ts, event_id) AS text FROM i GROUP BY 1, 2""")
 def gap_island_assemble(s, d):
     events = load(s, d, "events", "event_id", "user_id", "ts", "event_type")
-    marked = R.islands(events, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), F.col("event_type") == "signup")
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda r: r["event_type"])
-    return marked.groupBy("user_id", "island").agg(F.min("event_id").alias("first"), F.count("*").alias("n_lines"), F.array_join(ordered, " ").alias("text"))
+    marked = R.islands(
+        events, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), F.col("event_type") == "signup"
+    )
+    ordered = F.transform(
+        F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda r: r["event_type"]
+    )
+    return marked.groupBy("user_id", "island").agg(
+        F.min("event_id").alias("first"), F.count("*").alias("n_lines"), F.array_join(ordered, " ").alias("text")
+    )
 
 
 @query("""WITH dd AS (SELECT DISTINCT l_orderkey // 1000 AS book, l_orderkey AS n
@@ -533,7 +669,9 @@ r AS (SELECT book, g, min(n) AS a, max(n) AS z FROM g
   GROUP BY 1, 2) SELECT book, string_agg(CASE WHEN a = z THEN a::VARCHAR ELSE a || '-' || z END, '、' ORDER BY a) AS pages
   FROM r GROUP BY book""")
 def compact_ranges(s, d):
-    rows = load(s, d, "lineitem", "l_orderkey").select(F.floor(F.col("l_orderkey") / 1000).alias("book"), F.col("l_orderkey").alias("n"))
+    rows = load(s, d, "lineitem", "l_orderkey").select(
+        F.floor(F.col("l_orderkey") / 1000).alias("book"), F.col("l_orderkey").alias("n")
+    )
     return R.compact_ranges(rows, ["book"], "n")
 
 
@@ -556,7 +694,9 @@ def running_combo(s, d):
 @query("""SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, max(ts) AS ts FROM events
   WHERE event_type IN ('purchase', 'error') GROUP BY 1, 2""")
 def latest_state_wins(s, d):
-    core = load(s, d, "events", "event_id", "user_id", "ts", "event_type", "value").where(F.col("event_type").isin("purchase", "error"))
+    core = load(s, d, "events", "event_id", "user_id", "ts", "event_type", "value").where(
+        F.col("event_type").isin("purchase", "error")
+    )
     return A.latest(core, ["user_id", "event_type"], ["ts", "event_id"], ["value", "ts"])
 
 
@@ -570,8 +710,12 @@ def days_since_last(s, d):
     inside = Window.partitionBy("user_id", "_b").orderBy("ts", "event_id")
     marked = events.withColumn("_b", day).withColumn("_at", at).withColumn("_lag", F.lag("_at").over(inside))
     ends = marked.groupBy("user_id", "_b").agg(F.max("_at").alias("_end"))
-    prior = ends.select("user_id", "_b", F.lag("_end").over(Window.partitionBy("user_id").orderBy("_b")).alias("_prior"))
-    return marked.join(prior, ["user_id", "_b"], "left").select("event_id", (F.col("_at") - F.coalesce("_lag", "_prior")).alias("micros"))
+    prior = ends.select(
+        "user_id", "_b", F.lag("_end").over(Window.partitionBy("user_id").orderBy("_b")).alias("_prior")
+    )
+    return marked.join(prior, ["user_id", "_b"], "left").select(
+        "event_id", (F.col("_at") - F.coalesce("_lag", "_prior")).alias("micros")
+    )
 
 
 @query("""SELECT p_partkey, ((p_partkey - 1 - 750 + 100 * (SELECT count(*) FROM part)) % (SELECT count(*)
@@ -586,12 +730,18 @@ def round_robin_batch(s, d):
 SELECT event_id, running_cost FROM r WHERE running_cost <= 720""")
 def budgeted_plan(s, d):
     events = load(s, d, "events", "event_id", "user_id", "ts").withColumn("cost", 60 + F.col("event_id") % 90)
-    return R.budget(events, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), "cost", 720).select("event_id", "running_cost")
+    return R.budget(events, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), "cost", 720).select(
+        "event_id", "running_cost"
+    )
 
 
-@query("SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, lower(p_name), p_partkey LIMIT 60 OFFSET 60")
+@query(
+    "SELECT p_partkey, p_name, p_retailprice FROM part ORDER BY p_retailprice DESC, lower(p_name), p_partkey LIMIT 60 OFFSET 60"
+)
 def sorted_page(s, d):
-    return load(s, d, "part", "p_partkey", "p_name", "p_retailprice").orderBy(F.desc("p_retailprice"), F.lower("p_name"), "p_partkey").offset(60).limit(60)
+    return load(s, d, "part", "p_partkey", "p_name", "p_retailprice").orderBy(F.desc("p_retailprice"), F.lower("p_name"), "p_partkey").offset(60).limit(
+        60
+    )
 
 
 @query()
@@ -603,9 +753,13 @@ def line_clusters(s, d):
 # --- digests --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, sha256(concat_ws(chr(31), 'v' || n_nationkey, coalesce('v' || n_name, 'n'), coalesce('v' || n_regionkey, 'n'))) AS digest FROM nation")
+@query(
+    "SELECT n_nationkey, sha256(concat_ws(chr(31), 'v' || n_nationkey, coalesce('v' || n_name, 'n'), coalesce('v' || n_regionkey, 'n'))) AS digest FROM nation"
+)
 def row_digest(s, d):
-    return load(s, d, "nation").select("n_nationkey", D.row_digest("n_nationkey", "n_name", "n_regionkey").alias("digest"))
+    return load(s, d, "nation").select(
+        "n_nationkey", D.row_digest("n_nationkey", "n_name", "n_regionkey").alias("digest")
+    )
 
 
 @query("""WITH b AS (SELECT file_id, line_no // 100 AS block, count(*) AS n, sha256(string_agg(sha256('v' || raw_line), '' ORDER BY line_no)) AS g
@@ -616,7 +770,9 @@ def sequence_digest(s, d):
     return D.sequence_digest(lines, ["file_id"], "line_no", "digest", 100)
 
 
-@query("""SELECT id, sha256('{"format":' || coalesce('"' || format || '"', 'null') || ',"id":"' || id || '","trust_rank":' || trust_rank || '}') AS binding FROM source_registry""")
+@query(
+    """SELECT id, sha256('{"format":' || coalesce('"' || format || '"', 'null') || ',"id":"' || id || '","trust_rank":' || trust_rank || '}') AS binding FROM source_registry"""
+)
 def binding_digest(s, d):
     reg = load(s, d, "source_registry", "id", "format", "trust_rank")
     return reg.select("id", F.sha2(D.canonical_json({c: F.col(c) for c in reg.columns}), 256).alias("binding"))
@@ -624,7 +780,9 @@ def binding_digest(s, d):
 
 @query()
 def multiset_digests(s, d):
-    rows = load(s, d, "source_rows", "registry_source_id", "raw_term", "headword", "pos").withColumn("digest", D.row_digest("raw_term", "headword", "pos"))
+    rows = load(s, d, "source_rows", "registry_source_id", "raw_term", "headword", "pos").withColumn(
+        "digest", D.row_digest("raw_term", "headword", "pos")
+    )
     return D.multiset_digest(rows, ["registry_source_id"], "digest")
 
 
@@ -641,12 +799,21 @@ def stale_specs(s, d):
 @query("""SELECT user_id, count(*) FILTER (event_type IN ('purchase', 'error')) AS attempts, count(*) FILTER (event_type = 'purchase') AS correct, count(*) FILTER (event_type = 'error') AS failed,
  count(*) FILTER (event_type NOT IN ('purchase', 'error')) AS exposures, max(ts) AS last_at FROM events GROUP BY 1""")
 def practice_counters(s, d):
-    return P.counters(load(s, d, "events", "user_id", "event_type", "ts"), ["user_id"], F.col("event_type") == "purchase", F.col("event_type") == "error")
+    return P.counters(
+        load(s, d, "events", "user_id", "event_type", "ts"),
+        ["user_id"],
+        F.col("event_type") == "purchase",
+        F.col("event_type") == "error",
+    )
 
 
-@query("""SELECT user_id, event_type, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2""")
+@query(
+    """SELECT user_id, event_type, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1, 2"""
+)
 def first_answers(s, d):
-    return P.first_answers(load(s, d, "events", "user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"])
+    return P.first_answers(
+        load(s, d, "events", "user_id", "event_type", "ts", "event_id"), ["user_id", "event_type"], ["ts", "event_id"]
+    )
 
 
 @query("""WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -655,26 +822,36 @@ SELECT a.user_id, a.event_id, e.event_id AS release_id FROM a
   LEFT JOIN e ON e.user_id = a.user_id AND by_task IS NOT NULL AND by_time IS NOT NULL AND e.n = greatest(by_task, by_time)
   WHERE a.event_type = 'error'""")
 def retest_release(s, d):
-    return P.retests(load(s, d, "events", "user_id", "event_id", "ts", "event_type"), "user_id", F.col("event_type") == "error")
+    return P.retests(
+        load(s, d, "events", "user_id", "event_id", "ts", "event_type"), "user_id", F.col("event_type") == "error"
+    )
 
 
-@query("""SELECT user_id, least(count(*) FILTER (event_type = 'purchase'), 4) AS level, max(ts) + to_days([1, 3, 7, 14, 30][least(count(*) FILTER (event_type = 'purchase'), 4) + 1]) AS due FROM events GROUP BY 1""")
+@query(
+    """SELECT user_id, least(count(*) FILTER (event_type = 'purchase'), 4) AS level, max(ts) + to_days([1, 3, 7, 14, 30][least(count(*) FILTER (event_type = 'purchase'), 4) + 1]) AS due FROM events GROUP BY 1"""
+)
 def interval_schedule(s, d):
     level = F.least(F.count_if(F.col("event_type") == "purchase"), F.lit(4)).alias("level")
     out = load(s, d, "events", "user_id", "event_type", "ts").groupBy("user_id").agg(level, F.max("ts").alias("last"))
-    return out.select("user_id", "level", F.timestamp_add("DAY", P.interval_days(F.col("level")), F.col("last")).alias("due"))
+    return out.select(
+        "user_id", "level", F.timestamp_add("DAY", P.interval_days(F.col("level")), F.col("last")).alias("due")
+    )
 
 
 @query("""SELECT user_id, event_type, max(value) AS best FROM events GROUP BY 1, 2""")
 def best_value_upsert(s, d):
-    return load(s, d, "events", "user_id", "event_type", "value").groupBy("user_id", "event_type").agg(F.max("value").alias("best"))
+    return load(s, d, "events", "user_id", "event_type", "value").groupBy("user_id", "event_type").agg(
+        F.max("value").alias("best")
+    )
 
 
 @query("""SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 6) AS value FROM events
   GROUP BY 1, 2""")
 def windowed_counts(s, d):
     events = load(s, d, "events", "ts", "event_type", "value")
-    return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value")).select(F.col("w.start").alias("day"), "event_type", "n", "value")
+    return events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("value")).select(
+        F.col("w.start").alias("day"), "event_type", "n", "value"
+    )
 
 
 # --- streams --------------------------------------------------------------------------------------------------------
@@ -689,7 +866,9 @@ def stream_retest_release(s, d):
 @query()
 def stream_first_answers_run(s, d):
     events = read_stream(s, d, "events").select("user_id", "event_id", "ts", "event_type")
-    return run_available(stream_first_answers(events, ["user_id", "event_type"])).select("user_id", "event_type", "event_id", "ts")
+    return run_available(stream_first_answers(events, ["user_id", "event_type"])).select(
+        "user_id", "event_type", "event_id", "ts"
+    )
 
 
 @query()
@@ -709,7 +888,9 @@ SELECT doc_id, entry, min(CASE WHEN h THEN regexp_extract(line, '^(.+ \([a-z ]+\
  coalesce(string_agg(trim(line, ' '), ' ' ORDER BY line_no) FILTER (NOT h AND trim(line, ' ') <> ''), '') AS rest FROM e
   GROUP BY 1, 2""")
 def glossary_entries(s, d):
-    docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'glossary'").where(~F.col("text").contains("\r"))
+    docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'glossary'").where(
+        ~F.col("text").contains("\r")
+    )
     return W.entries_by_head(W.lines_of(docs, "doc_id", "text"), ["doc_id"], _HEAD)
 
 
@@ -717,7 +898,9 @@ def glossary_entries(s, d):
 e AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(line, '\?\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS entry FROM l)
 SELECT doc_id, entry, min(line_no)::INT AS first_line, trim(regexp_replace(string_agg(trim(line, ' '), ' ' ORDER BY line_no), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS text, bool_or(regexp_matches(line, '\?\s*$')) AS complete FROM e GROUP BY 1, 2""")
 def turns_until_question(s, d):
-    docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'dialogue'").where(~F.col("text").contains("\r"))
+    docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'dialogue'").where(
+        ~F.col("text").contains("\r")
+    )
     return W.entries_until(W.lines_of(docs, "doc_id", "text"), ["doc_id"], r"\?\s*$")
 
 
@@ -747,7 +930,9 @@ FROM (SELECT coalesce(pos, '') || CASE WHEN row_id % 9 = 0 THEN '' ELSE '|' END
 def coded_line_outcomes(s, d):
     bar = F.when(F.col("row_id") % 9 == 0, "").otherwise("|")
     rows = load(s, d, "source_rows", "row_id", "pos", "topic_or_section")
-    lines = rows.select(F.concat(F.coalesce("pos", F.lit("")), bar, F.coalesce("topic_or_section", F.lit(""))).alias("line"))
+    lines = rows.select(
+        F.concat(F.coalesce("pos", F.lit("")), bar, F.coalesce("topic_or_section", F.lit(""))).alias("line")
+    )
     out = W.coded_lines(lines, {"noun": "noun", "n": "noun", "verb": "verb", "v": "verb"})
     return out.groupBy(F.coalesce("problem", F.lit("entry")).alias("outcome")).agg(F.count("*").alias("n"))
 

@@ -16,7 +16,9 @@ from lexloom.operators.gates import GateError
 
 REQUIRED = ["source", "raw_term", "headword"]
 POLICY = ["source_role", "corpus_policy", "source_format", "registry_source_id"]
-LEGACY = ["source", "raw_term", "headword", "pos", "cefr", "topic_or_section", "pdf_page", "source_ref", "definition", "notes"]
+LEGACY = [
+    "source", "raw_term", "headword", "pos", "cefr", "topic_or_section", "pdf_page", "source_ref", "definition", "notes"
+]
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # The first bytes of a PNG file, and the pattern of a term in a word box.
 PNG = "89504E470D0A1A0A"
@@ -31,18 +33,27 @@ def tsv_evidence(spark: SparkSession, path: str, legacy: bool = False) -> DataFr
     headword, an empty source the file's name; all other nulls become empty texts. Empty files add no rows.
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][sS][vV]").load(path)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][sS][vV]").load(
+            path
+        )
     )
     lines = files.select(
         F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), F.decode("content", "UTF-8").alias("text")
     ).select("source_file", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), "\r?\n")).alias("line_no", "line"))
     headers = lines.where("line_no = 0").select("source_file", F.split("line", "\t").alias("names"))
     wanted = REQUIRED + ([] if legacy else POLICY)
-    lacking = headers.select("source_file", F.array_except(F.array(*map(F.lit, wanted)), "names").alias("lacks")).where(F.size("lacks") > 0)
+    lacking = headers.select("source_file", F.array_except(F.array(*map(F.lit, wanted)), "names").alias("lacks")).where(
+        F.size("lacks") > 0
+    )
     if bad := lacking.limit(20).collect():
         raise GateError("; ".join(f"{r['source_file']} lacks {', '.join(r['lacks'])}" for r in bad))
     rows = lines.where((F.col("line_no") > 0) & (F.col("line") != "")).join(headers, "source_file")
-    cells = F.map_from_arrays("names", F.slice(F.concat(F.split("line", "\t", -1), F.array_repeat(F.lit(""), F.size("names"))), F.lit(1), F.size("names")))
+    cells = F.map_from_arrays(
+        "names",
+        F.slice(
+            F.concat(F.split("line", "\t", -1), F.array_repeat(F.lit(""), F.size("names"))), F.lit(1), F.size("names")
+        ),
+    )
     named = rows.select("source_file", (F.col("line_no") + 1).alias("line_no"), cells.alias("c"))
     value = lambda n: F.btrim(F.coalesce(F.element_at("c", n), F.lit("")))
     stem = F.regexp_replace("source_file", r"\.[^.]+$", "")
@@ -77,14 +88,18 @@ def docx_cells(spark: SparkSession, path: str) -> DataFrame:
                     for t, table in enumerate(root.iter(W + "tbl")):
                         for r, row in enumerate(table.findall(W + "tr")):
                             for c, cell in enumerate(row.findall(W + "tc")):
-                                text = " ".join("".join(x.text or "" for x in p.iter(W + "t")) for p in cell.iter(W + "p"))
+                                text = " ".join(
+                                    "".join(x.text or "" for x in p.iter(W + "t")) for p in cell.iter(W + "p")
+                                )
                                 rows.append((name, t, r, c, " ".join(text.split())))
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as problem:
                     rows.append((name, None, None, None, type(problem).__name__))
             frame = pd.DataFrame(rows, columns=["path", "table", "row", "col", "text"])
             yield frame.astype({"table": "Int32", "row": "Int32", "col": "Int32"})
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.docx").load(
+        path
+    )
     return files.select("path", "content").mapInPandas(run, "path string, table int, row int, col int, text string")
 
 
@@ -93,7 +108,10 @@ def word_boxes(cells: DataFrame, least: int = 5) -> DataFrame:
     filled = cells.where(F.col("table").isNotNull() & (F.col("text") != ""))
     boxes = (
         filled.groupBy("path", "table")
-        .agg(F.count("*").alias("n"), F.bool_and(F.col("text").rlike(BOXED) & ~F.lower("text").contains("marks")).alias("plain"))
+        .agg(
+            F.count("*").alias("n"),
+            F.bool_and(F.col("text").rlike(BOXED) & ~F.lower("text").contains("marks")).alias("plain"),
+        )
         .where(F.col("plain") & (F.col("n") >= least))
     )
     return filled.join(boxes.select("path", "table"), ["path", "table"], "left_semi")
@@ -108,7 +126,11 @@ def xml_fragments(spark: SparkSession, path: str) -> DataFrame:
         .dropDuplicates(["font"])
     )
     text = pages.select(F.col("_number").alias("page"), F.explode("text").alias("t")).select(
-        "page", F.col("t._top").alias("top"), F.col("t._left").alias("left"), F.col("t._font").alias("font"), F.col("t._VALUE").alias("text")
+        "page",
+        F.col("t._top").alias("top"),
+        F.col("t._left").alias("left"),
+        F.col("t._font").alias("font"),
+        F.col("t._VALUE").alias("text")
     )
     return text.join(font, "font", "left").select("page", "top", "left", "font", "size", "family", "text")
 
@@ -116,12 +138,18 @@ def xml_fragments(spark: SparkSession, path: str) -> DataFrame:
 def file_inventory(spark: SparkSession, path: str, registry: DataFrame) -> DataFrame:
     """Registered sources found under ``path``: first by size, then by SHA-256 of the files of a fitting size only."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    sized = files.join(registry.select("expected_byte_size").distinct(), files["length"] == F.col("expected_byte_size"), "left_semi")
+    sized = files.join(
+        registry.select("expected_byte_size").distinct(), files["length"] == F.col("expected_byte_size"), "left_semi"
+    )
     hashed = sized.select("path", "length", F.sha2("content", 256).alias("sha256"))
-    found = hashed.join(registry, (F.col("length") == F.col("expected_byte_size")) & (F.col("sha256") == F.col("expected_sha256")))
+    found = hashed.join(
+        registry, (F.col("length") == F.col("expected_byte_size")) & (F.col("sha256") == F.col("expected_sha256"))
+    )
     first = found.groupBy("id").agg(F.min("path").alias("path"), F.count("*").alias("file_count"))
     status = F.when(F.col("path").isNull(), "missing").otherwise("present")
-    return registry.join(first, "id", "left").select("id", status.alias("status"), "path", F.coalesce("file_count", F.lit(0)).alias("file_count"))
+    return registry.join(first, "id", "left").select(
+        "id", status.alias("status"), "path", F.coalesce("file_count", F.lit(0)).alias("file_count")
+    )
 
 
 def png_size(content: str):
@@ -139,7 +167,9 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         kind = field.dataType.typeName()
         text = F.array_join(column, "|") if kind == "array" else column.cast("string")
         cells.append(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t\r\n]+", " ").alias(field.name))
-    df.select(*cells).write.mode(mode).option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "\u0000").csv(path)
+    df.select(*cells).write.mode(mode).option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "\u0000").csv(
+        path
+    )
 
 
 def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

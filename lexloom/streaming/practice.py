@@ -59,7 +59,9 @@ def stream_retests(events: DataFrame) -> DataFrame:
         state.update((seen, ",".join(f"{e}:{n}:{t!r}" for e, n, t in waiting)))
         yield pd.DataFrame(out, columns=["user_id", "event_id", "release_id"])
 
-    return events.groupBy("user_id").applyInPandasWithState(step, RETEST_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("user_id").applyInPandasWithState(
+        step, RETEST_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def best_scores(batch: DataFrame, table: str) -> None:
