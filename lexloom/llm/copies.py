@@ -50,12 +50,19 @@ def collapse(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
             F.sum("copies").alias("n_copies"),
             F.count("*").alias("n_forms"),
         )
-        .select(F.col("kept.first_id").alias(id_column), *[F.col(f"kept.{f}").alias(f) for f in fields], "n_copies", "n_forms")
+        .select(
+            F.col("kept.first_id").alias(id_column),
+            *[F.col(f"kept.{f}").alias(f) for f in fields],
+            "n_copies",
+            "n_forms",
+        )
     )
     nulls = F.lit(False)
     for f in fields:
         nulls = nulls | F.col(f).isNull()
-    alone = df.where(nulls).select(id_column, *fields, F.lit(1).cast("long").alias("n_copies"), F.lit(1).cast("long").alias("n_forms"))
+    alone = df.where(nulls).select(
+        id_column, *fields, F.lit(1).cast("long").alias("n_copies"), F.lit(1).cast("long").alias("n_forms")
+    )
     return joined.unionByName(alone)
 
 
@@ -64,7 +71,9 @@ def members(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
     forms = _distinct_rows(
         df.select(id_column, *fields), fields, F.count("*").alias("copies"), F.min(id_column).alias("first_id")
     ).withColumn("canonical", canonical_key(fields))
-    sized = forms.groupBy("canonical").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("size")).where("size > 1")
+    sized = forms.groupBy("canonical").agg(F.min("first_id").alias("class_id"), F.sum("copies").alias("size")).where(
+        "size > 1"
+    )
     form_class = forms.select(*fields, "canonical").join(sized, "canonical").select(*fields, "class_id", "size")
     return df.select(id_column, *fields).join(form_class, fields).select("class_id", id_column, "size")
 
@@ -79,7 +88,9 @@ def all_pairs(member: DataFrame, id_column: str) -> DataFrame:
     own = F.pmod(F.xxhash64(id_column), blocks).cast("int")
     rows = member.select("class_id", F.col(id_column).alias("id"), blocks.alias("n"), own.alias("block"))
     # the meeting of blocks i <= j is the key (i, j)
-    meets = rows.select("class_id", "id", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select(
+    meets = rows.select(
+        "class_id", "id", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")
+    ).select(
         "class_id", "id", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
     a = meets.select("class_id", "i", "j", F.col("id").alias("row_id_a"), F.col("block").alias("block_a"))

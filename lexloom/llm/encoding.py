@@ -213,7 +213,9 @@ def encode_corpus(documents: DataFrame, directory: str = TOKENIZER_DIR, name: st
             out = []
             for parts in batch:
                 parts = sorted(parts, key=lambda p: p["pos"])
-                out.append(repaired([(p["chunk"] or "", list(p["ids"])) for p in parts], [p["sure"] for p in parts], tool))
+                out.append(
+                    repaired([(p["chunk"] or "", list(p["ids"])) for p in parts], [p["sure"] for p in parts], tool)
+                )
             yield pd.Series(out, dtype=object)
 
     text = F.coalesce("text", F.lit(""))

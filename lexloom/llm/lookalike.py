@@ -76,8 +76,12 @@ _FOREIGN_ONLY = frozenset("ѕјһӏԁԛԝүϳɑɡօ")  # letters that no word of
 def _plain(c: str) -> str:
     """A character in ordinary width, joined letters taken apart."""
     kind = unicodedata.decomposition(c).partition(" ")[0]
-    joined = 0xFB00 <= ord(c) <= 0xFB17 or ord(c) in (0x132, 0x133) or 0x1C4 <= ord(c) <= 0x1CC or 0x1F1 <= ord(c) <= 0x1F3
-    if unicodedata.category(c)[0] in "LN" and (kind in ("<wide>", "<narrow>", "<font>") or kind == "<compat>" and joined):
+    joined = 0xFB00 <= ord(c) <= 0xFB17 or ord(c) in (0x132, 0x133) or 0x1C4 <= ord(c) <= 0x1CC or 0x1F1 <= ord(
+        c
+    ) <= 0x1F3
+    if unicodedata.category(c)[0] in "LN" and (
+        kind in ("<wide>", "<narrow>", "<font>") or kind == "<compat>" and joined
+    ):
         return unicodedata.normalize("NFKC", c)
     return c
 

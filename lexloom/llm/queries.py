@@ -97,7 +97,10 @@ def p4_entries(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of source rows that are copies of each other in other formatting."""
-    return all_pairs(members(load(spark, d, "source_rows", "row_id", "raw_term", "headword"), "row_id", ["raw_term", "headword"]), "row_id")
+    return all_pairs(
+        members(load(spark, d, "source_rows", "row_id", "raw_term", "headword"), "row_id", ["raw_term", "headword"]),
+        "row_id",
+    )
 
 
 def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +109,9 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_corpus(load(spark, d, "documents", "doc_id", "text"), spark.conf.get(TOKENIZER_SETTING, TOKENIZER_DIR))
+    return encode_corpus(
+        load(spark, d, "documents", "doc_id", "text"), spark.conf.get(TOKENIZER_SETTING, TOKENIZER_DIR)
+    )
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:

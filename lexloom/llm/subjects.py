@@ -171,7 +171,9 @@ def subject_shares(documents: DataFrame, terms: list[tuple[str, str]]) -> DataFr
                 rows += [(doc, s, c, c / n) for s, c in sorted(subject_counts(list(found), weights).items())]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "n_about", "share"])
 
-    return matched.where(F.size("terms") > 0).mapInPandas(score, "doc_id long, subject string, n_about int, share double")
+    return matched.where(F.size("terms") > 0).mapInPandas(
+        score, "doc_id long, subject string, n_about int, share double"
+    )
 
 
 def assign_subjects(

@@ -15,12 +15,16 @@ from pyspark.sql import functions as F
 NO_TRUST = 2**31 - 1
 
 
-def candidates(df: DataFrame, key: str, id_column: str, trust: str, recency: str, usable: dict[str, Column]) -> DataFrame:
+def candidates(
+    df: DataFrame, key: str, id_column: str, trust: str, recency: str, usable: dict[str, Column]
+) -> DataFrame:
     """(key, field, trust, complete, recency, id): of each trust rank and completeness the most recent record.
 
     A record that this drops is dominated by the one kept, or ties with it and has the larger id.
     """
-    fields = F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(ok, F.lit(False)).alias("complete")) for f, ok in usable.items()])
+    fields = F.array(
+        *[F.struct(F.lit(f).alias("field"), F.coalesce(ok, F.lit(False)).alias("complete")) for f, ok in usable.items()]
+    )
     rows = df.select(
         key,
         F.col(id_column).alias("id"),
@@ -33,7 +37,16 @@ def candidates(df: DataFrame, key: str, id_column: str, trust: str, recency: str
     return (
         rows.groupBy(key, "f.field", "f.complete", "trust")
         .agg(best.alias("b"), F.count("*").alias("n"), F.min("id").alias("first_id"))
-        .select(key, "field", "complete", "trust", F.col("b.recency").alias("recency"), (-F.col("b.minus_id")).alias("id"), "n", "first_id")
+        .select(
+            key,
+            "field",
+            "complete",
+            "trust",
+            F.col("b.recency").alias("recency"),
+            (-F.col("b.minus_id")).alias("id"),
+            "n",
+            "first_id",
+        )
     )
 
 
@@ -76,4 +89,6 @@ def survivors(layered: DataFrame, key: str) -> DataFrame:
         return (o["trust"] < r["trust"]) | ((o["trust"] == r["trust"]) & newer)
 
     first = F.filter(skyline, lambda r: ~F.exists(skyline, lambda o: preferred(o, r)))
-    return layered.select(key, "field", "size", "first_id", F.array_min(F.transform(first, lambda r: r["id"])).alias("id"))
+    return layered.select(
+        key, "field", "size", "first_id", F.array_min(F.transform(first, lambda r: r["id"])).alias("id")
+    )
