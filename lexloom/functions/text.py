@@ -229,7 +229,7 @@ def target_problem(x: Column, most: int = 48) -> Column:
 
 def definition_sides(x: Column) -> tuple[Column, Column]:
     """(left, right) of ``term – definition``; a text without a spaced dash has no right side."""
-    pattern = r"^(.*?)\s+[–—-]\s+(.*)$"
+    pattern = r"(?s)^(.*?)\s+[–—-]\s+(.*)\z"
     return F.when(x.rlike(pattern), F.regexp_extract(x, pattern, 1)).otherwise(x), F.when(
         x.rlike(pattern), F.regexp_extract(x, pattern, 2)
     )
@@ -237,7 +237,7 @@ def definition_sides(x: Column) -> tuple[Column, Column]:
 
 def without_sense(x: Column) -> tuple[Column, Column]:
     """(headword, sense number) of a headword with trailing sense digits."""
-    return F.regexp_replace(x, r"\s*\d+$", ""), F.nullif(F.regexp_extract(x, r"(\d+)$", 1), F.lit("")).cast("int")
+    return F.regexp_replace(x, r"\s*\d+\z", ""), F.nullif(F.regexp_extract(x, r"(\d+)\z", 1), F.lit("")).cast("int")
 
 
 def joined_breaks(x: Column) -> Column:

@@ -162,16 +162,12 @@ def candidate_checks(s, d):
 
 
 @query(
-    r"""SELECT row_id, CASE WHEN regexp_matches(raw_term, '(?s)^[^\n\r]*?\s+[–—-]\s+[^\n\r]*$') THEN 1 ELSE 0 END AS has_sides, regexp_replace(topic_or_section, '\s*\d+$', '') AS topic, try_cast(nullif(regexp_extract(topic_or_section, '(\d+)$', 1), '') AS INT) AS sense FROM source_rows WHERE raw_term IS NOT NULL AND topic_or_section IS NOT NULL AND NOT regexp_matches(raw_term, '[\n\r]') AND regexp_matches(raw_term || topic_or_section, '^[ -~]*$')"""
+    r"""SELECT row_id, CASE WHEN regexp_matches(raw_term, '(?s)^(.*?)\s+[–—-]\s+(.*)\z') THEN 1 ELSE 0 END AS has_sides,
+  regexp_replace(topic_or_section, '\s*\d+\z', '') AS topic, try_cast(nullif(regexp_extract(topic_or_section, '(\d+)\z', 1), '') AS INT) AS sense
+FROM source_rows"""
 )
 def sides_and_senses(s, d):
-    rows = load(s, d, "source_rows", "row_id", "raw_term", "topic_or_section").dropna().where(
-        ~F.col("raw_term").rlike("[\n\r]") & F.concat("raw_term", "topic_or_section").rlike("^[ -~]*$")
-    )
     topic, sense = X.without_sense(F.col("topic_or_section"))
-    return rows.select(
-        "row_id",
-        X.definition_sides(F.col("raw_term"))[1].isNotNull().cast("int").alias("has_sides"),
-        topic.alias("topic"),
-        sense.alias("sense"),
-    )
+    right = X.definition_sides(F.col("raw_term"))[1]
+    rows = load(s, d, "source_rows", "row_id", "raw_term", "topic_or_section")
+    return rows.select("row_id", right.isNotNull().cast("int").alias("has_sides"), topic.alias("topic"), sense.alias("sense"))

@@ -352,23 +352,19 @@ def cross_expand(s, d):
     return rows.select("label_id", "accent", "kind", F.concat_ws("/", "label", "accent", "kind").alias("path"))
 
 
-@query("""WITH a AS (SELECT p_partkey AS k, p_brand AS b, p_retailprice AS v FROM part WHERE p_partkey % 7 <> 0),
-n AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN upper(p_brand) || '!' ELSE p_brand END AS b, p_retailprice + CASE WHEN p_partkey % 3 = 0 THEN 0.5 ELSE 0.05 END AS v FROM part WHERE p_partkey % 11 <> 0),
-j AS (SELECT coalesce(a.k, n.k) AS k, a.k AS ak, n.k AS nk, a.b AS ab, n.b AS nb, CAST(CAST(a.v AS VARCHAR) AS DECIMAL(28,6)) AS av, CAST(CAST(n.v AS VARCHAR) AS DECIMAL(28,6)) AS nv FROM a FULL JOIN n ON a.k = n.k)
+@query("""WITH a AS (SELECT lower(headword) AS k, min(cefr) AS b, avg(line_no) AS v FROM target_rows WHERE headword IS NOT NULL GROUP BY 1),
+n AS (SELECT lower(headword) AS k, min(cefr) AS b, avg(line_no) AS v FROM source_rows WHERE headword IS NOT NULL GROUP BY 1),
+j AS (SELECT coalesce(a.k, n.k) AS k, a.k AS ak, n.k AS nk, a.b AS ab, n.b AS nb, round(a.v, 3)::DECIMAL(28,6) AS av, round(n.v, 3)::DECIMAL(28,6) AS nv
+  FROM a FULL JOIN n ON a.k = n.k)
 SELECT k, CASE WHEN ak IS NULL THEN 'added' WHEN nk IS NULL THEN 'removed' ELSE 'changed' END AS state,
- CASE WHEN ak IS NULL OR nk IS NULL THEN '' ELSE concat_ws(',', CASE WHEN ab <> nb THEN 'b' END,
-  CASE WHEN abs(av - nv) > 0.1 THEN 'v' END) END AS changed
-FROM j WHERE ak IS NULL OR nk IS NULL OR ab <> nb OR abs(av - nv) > 0.1""")
+  CASE WHEN ak IS NULL OR nk IS NULL THEN '' ELSE concat_ws(',', CASE WHEN ab IS DISTINCT FROM nb THEN 'b' END, CASE WHEN abs(av - nv) > 2.5 THEN 'v' END) END AS changed
+FROM j WHERE ak IS NULL OR nk IS NULL OR ab IS DISTINCT FROM nb OR abs(av - nv) > 2.5""")
 def manifest_diff_tolerance(s, d):
-    part = load(s, d, "part", "p_partkey", "p_brand", "p_retailprice")
-    k = F.col("p_partkey")
-    old = part.where(k % 7 != 0).select(k.alias("k"), F.col("p_brand").alias("b"), F.col("p_retailprice").alias("v"))
-    new = part.where(k % 11 != 0).select(
-        k.alias("k"),
-        F.when(k % 5 == 0, F.concat(F.upper("p_brand"), F.lit("!"))).otherwise(F.col("p_brand")).alias("b"),
-        (F.col("p_retailprice") + F.when(k % 3 == 0, 0.5).otherwise(0.05)).alias("v"),
-    )
-    return D.diff(old, new, "k", ["b"], {"v": 0.1})
+    def manifest(table):
+        rows = load(s, d, table, "headword", "cefr", "line_no").where("headword IS NOT NULL")
+        return rows.groupBy(F.lower("headword").alias("k")).agg(F.min("cefr").alias("b"), F.round(F.avg("line_no"), 3).alias("v"))
+
+    return D.diff(manifest("target_rows"), manifest("source_rows"), "k", ["b"], {"v": 2.5})
 
 
 @query("""WITH t AS (SELECT source_file, line_no, row_id, headword FROM target_rows)
@@ -881,35 +877,31 @@ def stream_windowed_counts(s, d):
 _HEAD = r"^(.+ \([a-z ]+\.?\)) – "
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE kind = 'glossary' AND NOT contains(text, chr(13))),
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) - 1 AS line_no FROM documents WHERE kind = 'glossary' AND text IS NOT NULL),
 m AS (SELECT *, regexp_matches(line, '^(.+ \([a-z ]+\.?\)) – ') AS h FROM l),
 e AS (SELECT *, sum(CASE WHEN h THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)::BIGINT AS entry FROM m)
 SELECT doc_id, entry, min(CASE WHEN h THEN regexp_extract(line, '^(.+ \([a-z ]+\.?\)) – ', 1) END) AS head, min(line_no)::INT AS first_line, count(*) AS n_lines,
  coalesce(string_agg(trim(line, ' '), ' ' ORDER BY line_no) FILTER (NOT h AND trim(line, ' ') <> ''), '') AS rest FROM e
   GROUP BY 1, 2""")
 def glossary_entries(s, d):
-    docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'glossary'").where(
-        ~F.col("text").contains("\r")
-    )
+    docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'glossary'")
     return W.entries_by_head(W.lines_of(docs, "doc_id", "text"), ["doc_id"], _HEAD)
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE kind = 'dialogue' AND NOT contains(text, chr(13))),
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) - 1 AS line_no FROM documents WHERE kind = 'dialogue' AND text IS NOT NULL),
 e AS (SELECT *, coalesce(sum(CASE WHEN regexp_matches(line, '\?\s*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS entry FROM l)
 SELECT doc_id, entry, min(line_no)::INT AS first_line, trim(regexp_replace(string_agg(trim(line, ' '), ' ' ORDER BY line_no), '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS text, bool_or(regexp_matches(line, '\?\s*$')) AS complete FROM e GROUP BY 1, 2""")
 def turns_until_question(s, d):
-    docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'dialogue'").where(
-        ~F.col("text").contains("\r")
-    )
+    docs = load(s, d, "documents", "doc_id", "text", "kind").where("kind = 'dialogue'")
     return W.entries_until(W.lines_of(docs, "doc_id", "text"), ["doc_id"], r"\?\s*$")
 
 
-@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents WHERE NOT contains(text, chr(13))),
+@query(r"""WITH l AS (SELECT doc_id, unnest(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10))) AS line, generate_subscripts(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)), 1) - 1 AS line_no FROM documents WHERE text IS NOT NULL),
 e AS (SELECT *, last_value(CASE WHEN regexp_matches(line, '^Unit (\d+) ') THEN regexp_extract(line, '^Unit (\d+) ', 1) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM l)
 SELECT section, count(*) AS n_lines, count(DISTINCT doc_id) AS n_docs FROM e WHERE NOT regexp_matches(line, '^Unit (\d+) ')
   GROUP BY 1""")
 def section_lines(s, d):
-    docs = load(s, d, "documents", "doc_id", "text").where(~F.col("text").contains("\r"))
+    docs = load(s, d, "documents", "doc_id", "text")
     lines = W.with_sections(W.lines_of(docs, "doc_id", "text"), ["doc_id"], r"^Unit (\d+) ")
     return lines.groupBy("section").agg(F.count("*").alias("n_lines"), F.count_distinct("doc_id").alias("n_docs"))
 
