@@ -18,6 +18,8 @@ import pyarrow.csv as pacsv
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import strip
+
 #: Lines parsed at once: a block that passes makes the next one larger, a block that fails makes it smaller.
 FIRST_BLOCK, SMALLEST_BLOCK, LARGEST_BLOCK = 64, 8, 4096
 STRICT = 4  # blocks of so few lines go to the strict reader
@@ -178,7 +180,7 @@ def parse_lines(
                     "line_no": batch["line_no"],
                     "broken": pd.Series(reasons, index=batch.index, dtype=object),
                     "source_key": pd.Series(
-                        [r.get("source", "").strip().casefold() if r else None for r in rows],
+                        [r.get("source", "").strip().lower() if r else None for r in rows],
                         index=batch.index,
                         dtype=object
                     ),
@@ -198,7 +200,7 @@ def parse_lines(
     )
     names = (
         registry.where(F.col("display_name").isNotNull())
-        .select(F.lower(F.trim("display_name")).alias("source_key"))
+        .select(F.lower(strip("display_name")).alias("source_key"))
         .distinct()
         .withColumn("registered", F.lit(True))
     )
