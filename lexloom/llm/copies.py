@@ -67,7 +67,10 @@ def collapse(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
 
 
 def members(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
-    """(class id, id, size) of every row that has copies; the class id is the smallest id of the class."""
+    """(class id, id, size) of every row that has copies; the class id is the smallest id of the class.
+
+    Rows with a null in ``fields`` have no canonical text and so no copies; a repeated row is a member each time.
+    """
     forms = _distinct_rows(
         df.select(id_column, *fields), fields, F.count("*").alias("copies"), F.min(id_column).alias("first_id")
     ).withColumn("canonical", canonical_key(fields))
@@ -81,7 +84,7 @@ def members(df: DataFrame, id_column: str, fields: list[str]) -> DataFrame:
 def all_pairs(member: DataFrame, id_column: str) -> DataFrame:
     """Every pair of rows of one class as (a, b), a < b.
 
-    A class of n rows is cut by hash into ceil(n / BLOCK) blocks; a row goes to one copy for each block it has to
+    A row repeated with the same id is no pair with itself. A class of n rows is cut by hash into ceil(n / BLOCK) blocks; a row goes to one copy for each block it has to
     meet, so a task never holds more than about 2 * BLOCK rows of a class, however large the class is.
     """
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")

@@ -20,7 +20,9 @@ def candidates(
 ) -> DataFrame:
     """(key, field, trust, complete, recency, id): of each trust rank and completeness the most recent record.
 
-    A record that this drops is dominated by the one kept, or ties with it and has the larger id.
+    A record that this drops is dominated by the one kept, or ties with it and has the larger id. A record without
+    trust comes last, one without date counts as the oldest, a null or unknown condition as unusable. Records with a
+    null key form a group of their own; repeated records count towards its size. Extra columns aren't read.
     """
     fields = F.array(
         *[F.struct(F.lit(f).alias("field"), F.coalesce(ok, F.lit(False)).alias("complete")) for f, ok in usable.items()]
