@@ -121,9 +121,17 @@ def cefr_levels(x: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(F.upper(x), F.lit(r"\b[ABC][12]\b"), F.lit(0))))
 
 
-def pos_labels(x: Column) -> Column:
-    """Every part of speech a text names; [unspecified] for other text, [] for none."""
-    text = F.lower(collapse(F.coalesce(x, F.lit(""))))
+def pos_text(x: Column | str) -> Column:
+    """A part of speech as typed in the form that :func:`pos_labels` reads."""
+    return F.lower(collapse(F.coalesce(x, F.lit(""))))
+
+
+def pos_labels(text: Column) -> Column:
+    """Every part of speech a text names; [unspecified] for other text, [] for none.
+
+    ``text`` is a column of :func:`pos_text`: two dozen patterns read it, so it should be worked out in a projection
+    of its own before.
+    """
     found = F.array_compact(F.array(*[F.when(text.rlike(pattern), F.lit(label)) for label, pattern in POS_RULES]))
     return (
         F.when(text == "", F.array().cast("array<string>"))
@@ -268,3 +276,44 @@ def sentence_use(sentence: Column, word: Column) -> Column:
     """``needs_revision`` unless a sentence of three words or more holds the word as a whole word; never judged right."""
     long_enough = F.size(F.split(collapse(sentence), " ")) >= 3
     return F.when(long_enough & visible(sentence, word), "pending_human_review").otherwise("needs_revision")
+
+
+def unescape_html(x: Column) -> Column:
+    """The five named marks and no-break spaces of HTML as characters; the ampersand last."""
+    for name, mark in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = F.replace(x, F.lit(name), F.lit(mark))
+    return x
+
+
+def metadata_text(x: Column, most: int = 500) -> Column:
+    """A metadata value without control characters, in single spaces, of at most so many characters by definition."""
+    return F.substring(collapse(F.regexp_replace(x, r"\p{Cc}+", " ")), 1, most)
+
+
+def gate_key(text: Column) -> Column:
+    """As :func:`lexical_key`, but a bracket at the end always goes with what it holds."""
+    return lexical_key(F.regexp_replace(text, r"(\s+\([^()]*\))+$", ""))
+
+
+def key_values(x: Column) -> Column:
+    """``Key: value`` lines as a map; a line without a colon is left out, of a repeated key the first counts."""
+    lines = F.filter(F.split(x, r"\r?\n"), lambda line: line.contains(":"))
+    pairs = F.transform(
+        lines,
+        lambda line: F.struct(
+            F.btrim(F.substring_index(line, ":", 1)).alias("key"),
+            F.btrim(F.regexp_replace(line, r"^[^:]*:", "")).alias("value"),
+        ),
+    )
+    first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == i + 1)
+    return F.map_from_entries(first)
+
+
+def sentence_of(chunks: Column) -> Column:
+    """Chunks joined by spaces, no space before a mark."""
+    return F.regexp_replace(F.array_join(chunks, " "), r"\s+([,.;!?])", "$1")
+
+
+def lesson_number(page: Column, first: int = 6, pages: int = 3) -> Column:
+    """Two-digit number of the lesson of ``pages`` pages each that ``page`` is in, counted from page ``first``."""
+    return F.lpad((F.floor((page - first) / pages) + 1).cast("string"), 2, "0")

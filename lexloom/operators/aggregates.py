@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -99,3 +99,28 @@ def policy_entry(df: DataFrame, key: str, policy: str, order: str, headword: str
             "n_target", "n_candidate", "n_other", *[F.col(f"b.{v}").alias(v) for v in values],
         )
     )
+
+
+def several_of(df: DataFrame, key: str, labels: Column, among: list[str]) -> DataFrame:
+    """(key, labels, several): which labels of ``among`` a key's rows have, and whether more than one.
+
+    With parts of speech this tells homographs.
+    """
+    found = df.select(key, F.explode(F.array_intersect(labels, F.array(*map(F.lit, among)))).alias("label"))
+    return found.groupBy(key).agg(sorted_set("label").alias("labels")).withColumn("several", F.size("labels") > 1)
+
+
+def shuffled(df: DataFrame, id_column: str, base: str, seed: int) -> DataFrame:
+    """``df`` with a reproducible random ``place``: rounds in which each ``base`` comes once, so repeats are far apart.
+
+    Only the last of a round and the first of the next can be neighbours of one base.
+    """
+    order = F.xxhash64(F.lit(seed), F.col(id_column))
+    turn = F.row_number().over(Window.partitionBy(base).orderBy(order, id_column))
+    return df.withColumn("round", turn).withColumn("place", F.xxhash64(F.lit(seed), F.col("round"), F.col(base)))
+
+
+def least_loaded(load: DataFrame, lane: str, seed: int) -> DataFrame:
+    """The lane with the fewest rows; of equal ones a reproducible random one. Null lanes don't count."""
+    counted = load.where(F.col(lane).isNotNull()).groupBy(lane).agg(F.count("*").alias("n"))
+    return counted.agg(F.min_by(lane, F.struct("n", F.xxhash64(F.lit(seed), F.col(lane)))).alias(lane))

@@ -122,3 +122,15 @@ def same_type_and_value(a: Column, b: Column) -> Column:
     return F.coalesce(
         (F.schema_of_variant(x) == F.schema_of_variant(y)) & (F.to_json(x) == F.to_json(y)), a.eqNullSafe(b)
     )
+
+
+def at_distance(df: DataFrame, keys: list[str], order: str, value: str, distance: int) -> DataFrame:
+    """Rows whose value stands exactly ``distance`` places before as well. ``order`` numbers the places of a key."""
+    earlier = df.select(*keys, (F.col(order) + distance).alias(order), F.col(value).alias("_earlier"))
+    return df.join(earlier, [*keys, order]).where(F.col(value) == F.col("_earlier")).drop("_earlier")
+
+
+def pages_state(count: Column, pages: Column, total: Column) -> Column:
+    """``all``, ``some`` or ``none`` from a number of pages or a list of them, whichever is given."""
+    n = F.coalesce(F.when(pages.isNotNull(), F.size(F.array_distinct(pages))), count, F.lit(0))
+    return F.when(n >= total, "all").when(n > 0, "some").otherwise("none")

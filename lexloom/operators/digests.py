@@ -77,3 +77,15 @@ def stale(specs: DataFrame, manifest: DataFrame, key: str, binding: str) -> Data
 
 def insert_if_absent(base: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     return base.unionByName(batch.join(base.select(key).distinct(), key, "left_anti"))
+
+
+def tree_digest(files: DataFrame, keys: list[str], name: str, digest: str, domain: str) -> DataFrame:
+    """(keys, tree_digest) of a folder: SHA-256 over a domain prefix and the files' names and digests in order of name.
+
+    For folders whose listing fits one row.
+    """
+    parts = F.transform(
+        F.array_sort(F.collect_list(F.struct(name, digest))),
+        lambda f: F.concat(f[name], F.lit("\0"), f[digest], F.lit("\0")),
+    )
+    return files.groupBy(*keys).agg(F.sha2(F.concat(F.lit(domain), F.array_join(parts, "")), 256).alias("tree_digest"))

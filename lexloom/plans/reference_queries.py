@@ -136,9 +136,8 @@ def _pos_sql() -> str:
 
 @query(_pos_sql())
 def pos_multi_label(s, d):
-    return load(s, d, "source_rows", "row_id", "pos").select(
-        "row_id", F.array_join(X.pos_labels(F.col("pos")), "|").alias("labels")
-    )
+    typed = load(s, d, "source_rows", "row_id", "pos").select("row_id", X.pos_text("pos").alias("typed"))
+    return typed.select("row_id", F.array_join(X.pos_labels(F.col("typed")), "|").alias("labels"))
 
 
 @query(r"""WITH p AS (SELECT row_id, unnest(regexp_extract_all(headword, '(?:[^,(]|\([^()]*\))+')) AS v FROM source_rows)

@@ -184,3 +184,42 @@ def markdown_table(df: DataFrame, most: int = 1_000) -> str:
     cell = lambda x: re.sub(r"\|", r"\\|", "" if x is None else str(x))
     lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows]) + "\n"
+
+
+def json_with_digest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(path, sha256, the fields of ``schema``) of each JSON file under ``path``; a file that can't be read has null fields."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    parsed = files.select(
+        "path", F.sha2("content", 256).alias("sha256"), F.from_json(F.decode("content", "UTF-8"), schema).alias("j")
+    )
+    return parsed.select("path", "sha256", "j.*")
+
+
+def epub_packages(spark: SparkSession, path: str) -> DataFrame:
+    """(path, package, title, problem) of the EPUB files under ``path``.
+
+    The package file must lie inside the archive: a path that is absolute or climbs out is a problem, as is an archive
+    without one.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"]):
+                package = title = problem = None
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        root = ElementTree.fromstring(z.read("META-INF/container.xml"))
+                        package = next((e.get("full-path") for e in root.iter() if e.tag.endswith("rootfile")), None)
+                        if not package or package.startswith("/") or ".." in package.split("/"):
+                            package, problem = None, "unsafe_package_path"
+                        else:
+                            tree = ElementTree.fromstring(z.read(package))
+                            title = next((" ".join((e.text or "").split()) for e in tree.iter() if e.tag.endswith("}title")), None)
+                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
+                    problem = type(error).__name__
+                rows.append((name, package, title, problem))
+            yield pd.DataFrame(rows, columns=["path", "package", "title", "problem"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.epub").load(path)
+    return files.select("path", "content").mapInPandas(run, "path string, package string, title string, problem string")
