@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -64,13 +64,30 @@ def stream_retests(events: DataFrame) -> DataFrame:
     )
 
 
-def best_scores(batch: DataFrame, table: str) -> None:
-    """For ``foreachBatch``: keeps the best value of each (user, type) in a parquet table, rewritten atomically by rename."""
-    spark = batch.sparkSession
-    fresh = batch.groupBy("user_id", "event_type").agg(F.max("value").alias("best"))
-    if spark.catalog.tableExists(table):
-        fresh = fresh.unionByName(spark.table(table)).groupBy("user_id", "event_type").agg(F.max("best").alias("best"))
-    staged = f"{table}_next"
-    fresh.write.mode("overwrite").saveAsTable(staged)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+def best_scores(folder: str):
+    """A function for ``foreachBatch`` that keeps the best value of each (user, type) in versions under ``folder``.
+
+    Every micro-batch writes a version of its own number from the last one before it, so a batch that runs again
+    after a failure writes the same version again.
+    """
+
+    def merge(batch: DataFrame, number: int) -> None:
+        fresh = batch.groupBy("user_id", "event_type").agg(F.max("value").alias("best"))
+        before = latest_version(batch.sparkSession, folder, number)
+        if before is not None:
+            fresh = fresh.unionByName(before).groupBy("user_id", "event_type").agg(F.max("best").alias("best"))
+        fresh.write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+    return merge
+
+
+def latest_version(spark: SparkSession, folder: str, before: int | None = None) -> DataFrame | None:
+    """The complete version with the largest number (under ``before``), None if there is none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    names = [s.getPath() for s in files.listStatus(path)]
+    done = [int(p.getName()[8:]) for p in names if p.getName().startswith("version=") and files.exists(p.suffix("/_SUCCESS"))]
+    done = [n for n in done if before is None or n < before]
+    return spark.read.parquet(f"{folder}/version={max(done)}") if done else None
