@@ -5,9 +5,11 @@ Batch forms; :mod:`lexloom.streaming.practice` has the same rules over a stream.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.operators.ordered import blocked
+
 # Baseline intervals in days by level, and the gates of a delayed retest.
 INTERVAL_DAYS = (1, 3, 7, 14, 30)
 RETEST_TASKS, RETEST_SECONDS = 3, 300
@@ -31,25 +33,61 @@ def first_answers(events: DataFrame, keys: list[str], order: list[str]) -> DataF
     return events.groupBy(*keys).agg(first).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
 
 
-def retests(events: DataFrame, user: str, failed: Column) -> DataFrame:
+def retests(events: DataFrame, user: str, failed: Column, block_seconds: int = 86_400) -> DataFrame:
     """(user, event_id, release_id): for each failure, the first later event that passes the retest gates.
 
     An event releases a failure that lies at least ``RETEST_TASKS`` events and ``RETEST_SECONDS`` seconds back. Both
-    conditions only become true with time, so the first event to meet them is the later of the first event of
-    either; each comes from a window, not from a join of all pairs of events.
+    conditions only become true with time, so the first event to meet them is the later of the first event of either.
+    The one comes from a join on running numbers, the other from a backward fill over events and probes in order of
+    time. Both work in blocks of time, so no user's rows are one task, and no pairs of events are made.
     """
-    w = Window.partitionBy(user).orderBy("ts", "event_id")
-    seconds = F.col("ts").cast("double")
-    later = w.rowsBetween(RETEST_TASKS, RETEST_TASKS)
-    by_time = Window.partitionBy(user).orderBy("second").rangeBetween(RETEST_SECONDS, Window.unboundedFollowing)
-    me = F.struct("ts", "event_id")
-    marked = (
-        events.withColumn("second", seconds)
-        .withColumn("_tasks", F.first(me).over(later))
-        .withColumn("_time", F.min(me).over(by_time))
+    micros = F.unix_micros("ts")
+    rows = events.select(
+        F.col(user).alias("user"),
+        "ts",
+        "event_id",
+        micros.alias("at"),
+        F.coalesce(failed, F.lit(False)).alias("failed"),
+    )
+    block = block_seconds * 1_000_000
+    numbered = blocked(rows, ["user"], ["at", "event_id"], F.floor(F.col("at") / block), {"n": ("sum", F.lit(1))})
+    failures = numbered.where("failed")
+    nth = numbered.select(
+        F.col("user").alias("_user"),
+        (F.col("n") - RETEST_TASKS).alias("_n"),
+        F.struct("at", "event_id").alias("by_tasks")
+    )
+    by_tasks = failures.join(nth, F.col("user").eqNullSafe(F.col("_user")) & (F.col("n") == F.col("_n")))
+    # backward in time: events come before the probes of their own time, later ids before earlier ones
+    seen = rows.select(
+        "user",
+        (-F.col("at")).alias("back"),
+        F.lit(0).alias("probe"),
+        (-F.col("event_id")).alias("tie"),
+        F.struct("at", "event_id").alias("event"),
+    )
+    probes = failures.select(
+        "user",
+        (-(F.col("at") + RETEST_SECONDS * 1_000_000)).alias("back"),
+        F.lit(1).alias("probe"),
+        (-F.col("event_id")).alias("tie"),
+        F.lit(None).cast(seen.schema["event"].dataType).alias("event"),
+    )
+    order = ["back", "probe", "tie"]
+    filled = blocked(
+        seen.unionByName(probes), ["user"], order, F.floor(F.col("back") / block), {"by_time": ("last", F.col("event"))}
+    )
+    waits = filled.where("probe = 1").select(F.col("user").alias("_user"), (-F.col("tie")).alias("_id"), "by_time")
+    gates = by_tasks.select("user", "event_id", "by_tasks").join(
+        waits, F.col("user").eqNullSafe(F.col("_user")) & (F.col("event_id") == F.col("_id"))
+    )
+    release = F.when(F.col("by_time").isNotNull(), F.greatest("by_tasks", "by_time"))
+    released = gates.select(
+        F.col("user").alias("_u"), F.col("event_id").alias("_e"), release["event_id"].alias("release_id")
     )
-    release = F.when(F.col("_tasks").isNotNull() & F.col("_time").isNotNull(), F.greatest("_tasks", "_time"))
-    return marked.where(failed).select(user, "event_id", release["event_id"].alias("release_id"))
+    return failures.join(
+        released, F.col("user").eqNullSafe(F.col("_u")) & (F.col("event_id") == F.col("_e")), "left"
+    ).select(F.col("user").alias(user), "event_id", "release_id")
 
 
 def interval_days(level: Column) -> Column:

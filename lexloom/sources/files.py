@@ -33,7 +33,9 @@ def tsv_evidence(spark: SparkSession, path: str, legacy: bool = False) -> DataFr
     headword, an empty source the file's name; all other nulls become empty texts. Empty files add no rows.
     """
     files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[tT][sS][vV]").load(
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
+            "pathGlobFilter", "*.[tT][sS][vV]"
+        ).load(
             path
         )
     )
@@ -167,7 +169,9 @@ def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
         kind = field.dataType.typeName()
         text = F.array_join(column, "|") if kind == "array" else column.cast("string")
         cells.append(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\t\r\n]+", " ").alias(field.name))
-    df.select(*cells).write.mode(mode).option("sep", "\t").option("header", True).option("emptyValue", "").option("quote", "\u0000").csv(
+    df.select(*cells).write.mode(mode).option("sep", "\t").option("header", True).option("emptyValue", "").option(
+        "quote", "\u0000"
+    ).csv(
         path
     )
 
@@ -188,7 +192,9 @@ def markdown_table(df: DataFrame, most: int = 1_000) -> str:
 
 def json_with_digest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(path, sha256, the fields of ``schema``) of each JSON file under ``path``; a file that can't be read has null fields."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(
+        path
+    )
     parsed = files.select(
         "path", F.sha2("content", 256).alias("sha256"), F.from_json(F.decode("content", "UTF-8"), schema).alias("j")
     )
@@ -215,11 +221,16 @@ def epub_packages(spark: SparkSession, path: str) -> DataFrame:
                             package, problem = None, "unsafe_package_path"
                         else:
                             tree = ElementTree.fromstring(z.read(package))
-                            title = next((" ".join((e.text or "").split()) for e in tree.iter() if e.tag.endswith("}title")), None)
+                            title = next(
+                                (" ".join((e.text or "").split()) for e in tree.iter() if e.tag.endswith("}title")),
+                                None,
+                            )
                 except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
                     problem = type(error).__name__
                 rows.append((name, package, title, problem))
             yield pd.DataFrame(rows, columns=["path", "package", "title", "problem"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.epub").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.epub").load(
+        path
+    )
     return files.select("path", "content").mapInPandas(run, "path string, package string, title string, problem string")

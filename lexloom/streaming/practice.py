@@ -88,6 +88,10 @@ def latest_version(spark: SparkSession, folder: str, before: int | None = None)
     if not files.exists(path):
         return None
     names = [s.getPath() for s in files.listStatus(path)]
-    done = [int(p.getName()[8:]) for p in names if p.getName().startswith("version=") and files.exists(p.suffix("/_SUCCESS"))]
+    done = [
+        int(p.getName()[8:]) for p in names if p.getName().startswith("version=") and files.exists(
+            p.suffix("/_SUCCESS")
+        )
+    ]
     done = [n for n in done if before is None or n < before]
     return spark.read.parquet(f"{folder}/version={max(done)}") if done else None
