@@ -10,6 +10,7 @@ fewer containers. A few rounds suffice; no task ever holds more than a few parti
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,14 @@ from lexloom.session import checkpointed
 
 PARTITION_ITEMS = 20_000
 ROUNDS = 3
+MOST_BITS = 1 << 16  # capacities up to this are tracked as bits of one number
 _STATE = "container_kind string, capacity int, part long, bin long, doc_id long, piece int, start_token long, tokens int, gap boolean"
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Container number of each item: largest items first, each into the fullest container that takes it."""
+    if capacity > MOST_BITS:
+        return _best_fit_sorted(sizes, capacity)
     order = np.argsort(-sizes, kind="stable")
     place = np.empty(len(sizes), dtype=np.int64)
     by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -46,27 +50,43 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return place
 
 
+def _best_fit_sorted(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """The same for large capacities, with the containers in a list sorted by room."""
+    place = np.empty(len(sizes), dtype=np.int64)
+    open_: list[tuple[int, int]] = []
+    count = 0
+    for item in np.argsort(-sizes, kind="stable").tolist():
+        size = int(sizes[item])
+        k = bisect_left(open_, (size, -1))
+        if k < len(open_):
+            room, bin_ = open_.pop(k)
+        else:
+            room, bin_, count = capacity, count, count + 1
+        insort(open_, (room - size, bin_))
+        place[item] = bin_
+    return place
+
+
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     """Containers needed at least, the best of two families of dual feasible functions."""
-    sizes = sizes[sizes > 0]
-    if not len(sizes):
+    present, copies = np.unique(sizes[sizes > 0].astype(np.int64), return_counts=True)
+    if not len(present):
         return 0
-    best = math.ceil(int(sizes.sum()) / capacity)
-    histogram = np.bincount(sizes, minlength=capacity + 1).astype(np.int64)
-    values = np.arange(capacity + 1, dtype=np.int64)
-    number, total = np.cumsum(histogram), np.cumsum(histogram * values)
-    # items over capacity - k count as whole, items under k as nothing
-    k = np.arange(1, capacity // 2 + 1)
-    whole = number[-1] - number[capacity - k]
-    middle = total[capacity - k] - total[k - 1]
-    best = max(best, int((whole + -(-middle // capacity)).max()) if len(k) else 0)
+    best = math.ceil(int((present * copies).sum()) / capacity)
+    number = np.concatenate([[0], np.cumsum(copies)])
+    total = np.concatenate([[0], np.cumsum(copies * present)])
+    # items over capacity - k count as whole, items under k as nothing; only at these k the sums change
+    k = np.unique(np.concatenate([present, present + 1, capacity - present, capacity - present + 1]))
+    k = k[(k >= 1) & (k <= capacity // 2)]
+    if len(k):
+        over = np.searchsorted(present, capacity - k, side="right")
+        under = np.searchsorted(present, k, side="left")
+        best = max(best, int((number[-1] - number[over] - ((total[under] - total[over]) // capacity)).max()))
     # rounded functions: size s counts floor((k + 1) s / capacity) / k, or s / capacity where (k + 1) s divides evenly
-    present = np.flatnonzero(histogram)
     for k in range(1, 21):
         scaled = (k + 1) * present
-        exact = scaled % capacity == 0
-        worth = np.where(exact, k * present, (scaled // capacity) * capacity)  # in units of 1 / (k * capacity)
-        best = max(best, -(-int((worth * histogram[present]).sum()) // (k * capacity)))
+        worth = np.where(scaled % capacity == 0, k * present, (scaled // capacity) * capacity)  # in 1 / (k * capacity)
+        best = max(best, -(-int((worth * copies).sum()) // (k * capacity)))
     return best
 
 
