@@ -123,9 +123,10 @@ def _target(word: list[str], latin_near: bool, foreign_near: bool) -> str:
         return ""
     if len(scripts) == 1 and scripts <= {"Greek"} and len(bases) == 1:
         return ""  # a Greek letter by itself is a symbol
-    if len(scripts) > 1 or any(b in _FOREIGN_ONLY for b in bases):
-        return "Latin"
-    return "Latin" if latin_near or not foreign_near else ""
+    if len(scripts) > 1 or any(b in _FOREIGN_ONLY for b in bases) or latin_near or not foreign_near:
+        plain = [IMITATIONS["Latin"].get(b, b) for b in bases]
+        return "Latin-sure" if any(b not in _UNSURE and _script(b) == "Latin" for b in plain) else "Latin"
+    return ""
 
 
 def consistent(text: str) -> str:
