@@ -3,7 +3,7 @@
 Curated subject terms are matched with one multi-pattern automaton; a set expression in which a term has another
 sense ("on the board") is a longer pattern without a subject and so hides the term. A sentence is about the subject
 whose terms weigh most in it, a term's weight being its rarity in the corpus divided by the number of its subjects.
-Ties between subjects go to the one with more sentences of its own in the document. A document treats each subject
+Ties between subjects go to the one of the nearest sentence that is settled. A document treats each subject
 that has at least ``least_sentences`` sentences and ``least_share`` of all its sentences.
 """
 
@@ -28,7 +28,8 @@ MOST_TERMS = 50_000
 # Set expressions of classroom English in which a subject's term has another sense.
 OTHER_SENSE = (
     "on the board", "the blackboard", "whiteboard", "train the ear", "score on a scale", "on a scale from",
-    "keep your score", "judge of a good", "tempo is too fast", "plant one", "pitch at the end", "higher pitch",
+    "keep your score", "judge of a good sentence", "sentence without a verb", "sentences of your own", "good sentence",
+    "in a sentence", "whole sentence", "tempo is too fast", "plant one", "pitch at the end", "higher pitch",
     "tablet only to time", "short account of", "on account of", "take into account", "of great interest",
 )
 #: Thresholds, set between the shares of passing mentions and of labelled subjects.
@@ -100,27 +101,38 @@ def _near(blocked: list[tuple[int, int]], start: int) -> list[tuple[int, int]]:
 
 
 def subject_counts(terms: list[list[int]], weights: list[list[tuple[str, float]]]) -> Counter:
-    """Number of sentences about each subject."""
-    counts: Counter = Counter()
-    open_: list[list[str]] = []
+    """Number of sentences about each subject.
+
+    A sentence between several subjects goes to the one that the nearest settled sentence is about, the earlier one
+    at equal distance; subjects of a single passing sentence come after others. If no sentence of the text settles it,
+    it counts for none.
+    """
+    about: list[str | None] = []
+    open_: dict[int, set[str]] = {}
     for numbers in terms:
         evidence: Counter = Counter()
         for n in numbers:
             for subject, weight in weights[n]:
                 evidence[subject] += weight
-        if not evidence:
-            continue
-        most = max(evidence.values())
+        most = max(evidence.values(), default=0)
         best = [s for s, e in evidence.items() if e > most - 1e-9]
-        if len(best) == 1:
-            counts[best[0]] += 1
-        else:
-            open_.append(best)
-    settled = Counter(counts)
-    for best in open_:
-        most = max(settled[s] for s in best)
-        if most:
-            counts[min(s for s in best if settled[s] == most)] += 1
+        if len(best) > 1:
+            open_[len(about)] = set(best)
+        about.append(best[0] if len(best) == 1 else None)
+    counts = Counter(s for s in about if s)
+    places: dict[str, list[int]] = {}
+    for i, subject in enumerate(about):
+        if subject:
+            places.setdefault(subject, []).append(i)
+    for i, best in open_.items():
+        near = []
+        able = best & places.keys()
+        for subject in {s for s in able if len(places[s]) >= LEAST_SENTENCES} or able:
+            own = places[subject]
+            k = bisect_right(own, i)
+            near += [(abs(i - j), j, subject) for j in own[max(0, k - 1) : k + 1]]
+        if near:
+            counts[min(near)[2]] += 1
     return counts
 
 
