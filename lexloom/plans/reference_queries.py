@@ -20,7 +20,7 @@ from lexloom.operators import wordlists as W
 from lexloom.operators.folds import predictions
 from lexloom.sources.tables import load
 from lexloom.streaming.practice import stream_counters, stream_first_answers, stream_retests
-from lexloom.streaming.run import read_stream, run_available
+from lexloom.streaming.run import read_stream, run_available, run_complete
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -866,9 +866,10 @@ def stream_first_answers_run(s, d):
     )
 
 
-@query()
+@query("SELECT day AS from_ts, event_type, n, value FROM (" + ORACLES["windowed_counts"] + ")")
 def stream_windowed_counts(s, d):
-    return run_available(stream_counters(read_stream(s, d, "events").select("ts", "event_type", "value")))
+    counts = run_complete(stream_counters(read_stream(s, d, "events").select("ts", "event_type", "value")))
+    return counts.withColumn("value", F.round("value", 6))
 
 
 # --- word lists and folds -------------------------------------------------------------------------------------------

@@ -17,7 +17,11 @@ _STATE = "seen long, waiting string"
 
 
 def stream_counters(events: DataFrame, window: str = "1 day", lateness: str = "2 hours") -> DataFrame:
-    """Events by type and window of event time; later events than the watermark allows are dropped."""
+    """Events by type and window of event time.
+
+    In append mode later events than the watermark allows are dropped, and a window comes out when the watermark has
+    passed it; in complete mode all events count and all windows come out.
+    """
     return (
         events.withWatermark("ts", lateness)
         .groupBy(F.window("ts", window).alias("w"), "event_type")

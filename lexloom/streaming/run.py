@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.streaming.practice import latest_version
+
 
 def read_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """Table ``name`` as a stream of its files; timestamps without zone are UTC instants."""
@@ -36,7 +38,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def run_available(df: DataFrame) -> DataFrame:
-    """Runs ``df`` over all input that is there, with a checkpoint, into parquet files, and reads these."""
+    """Runs ``df`` over all input that is there, with a checkpoint, into parquet files, and reads these.
+
+    In append mode, so an aggregate gives only the windows that the watermark has passed; those still open when the
+    input ends are not written. :func:`run_complete` has them.
+    """
     spark = df.sparkSession
     folder = shared_folder(spark)
     stream = (
@@ -49,3 +55,27 @@ def run_available(df: DataFrame) -> DataFrame:
     )
     stream.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+def run_complete(df: DataFrame) -> DataFrame:
+    """Runs the aggregate ``df`` over all input that is there, and reads all of its groups, open windows too.
+
+    Every micro-batch writes the whole result as a version of its own number, and the last one is read. State is
+    never dropped and late events count, so the result is that of the batch form; the state is as large as the result.
+    """
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/versions/version={number}")
+
+    stream = (
+        df.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .outputMode("complete")
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+    last = latest_version(spark, f"{folder}/versions")
+    return spark.createDataFrame([], df.schema) if last is None else last
