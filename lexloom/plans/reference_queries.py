@@ -19,7 +19,7 @@ from lexloom.operators import practice as P
 from lexloom.operators import wordlists as W
 from lexloom.operators.folds import predictions
 from lexloom.sources.tables import load
-from lexloom.streaming.practice import stream_counters, stream_first_answers, stream_retests
+from lexloom.streaming.practice import stream_counters, stream_retests
 from lexloom.streaming.run import read_stream, run_available, run_complete
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -858,12 +858,10 @@ def stream_retest_release(s, d):
     return run_available(stream_retests(events))
 
 
-@query()
+@query(ORACLES["first_answers"])
 def stream_first_answers_run(s, d):
     events = read_stream(s, d, "events").select("user_id", "event_id", "ts", "event_type")
-    return run_available(stream_first_answers(events, ["user_id", "event_type"])).select(
-        "user_id", "event_type", "event_id", "ts"
-    )
+    return run_complete(P.first_answers(events, ["user_id", "event_type"], ["ts", "event_id"]))
 
 
 @query("SELECT day AS from_ts, event_type, n, value FROM (" + ORACLES["windowed_counts"] + ")")

@@ -31,7 +31,11 @@ def stream_counters(events: DataFrame, window: str = "1 day", lateness: str = "2
 
 
 def stream_first_answers(events: DataFrame, keys: list[str], lateness: str = "2 hours") -> DataFrame:
-    """The first event of each key that arrives within the watermark."""
+    """One event of each key within the watermark, the first to arrive.
+
+    Which of the events of one micro-batch arrives first is arbitrary. The event that is first in time takes all of the
+    input: the batch form ``first_answers`` over the stream, in complete mode.
+    """
     return events.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(keys)
 
 
