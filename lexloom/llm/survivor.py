@@ -2,8 +2,10 @@
 
 For each field the records of a group are compared on completeness (has the record a usable value), trust and
 recency. Records that no other one beats in all of these are the skyline; the lexicographic policy trust, recency,
-smallest id picks one of them, and a field that the first layer leaves empty is filled from the next dominance
-layer. Before any group comes together, the records of one group, field and trust are reduced to their best one, so
+smallest id picks one of them. As completeness is that of the one field, a usable record is never beaten by an
+unusable one: the first layer has a value if any record has, and layers behind it are neither computed nor needed.
+With the completeness of whole records a field would have to be filled from later layers, and the choice could differ
+from the policy's. Before any group comes together, the records of one group, field and trust are reduced to their best one, so
 that a group holds no more rows than there are trust ranks, however large it is.
 """
 
@@ -53,7 +55,7 @@ def candidates(
 
 
 def layers(candidate: DataFrame, key: str) -> DataFrame:
-    """One row (key, field, size, records) with the records of all dominance layers, best layer first.
+    """One row (key, field, size, records) with the candidates and by how many others each is beaten (depth).
 
     The records of one key and field are at most two for each trust rank, so the arrays stay small.
     """
