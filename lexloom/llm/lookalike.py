@@ -2,8 +2,10 @@
 
 Invisible characters go, spaces become ordinary, letters and digits get their ordinary width, joined letters are
 taken apart, an accented letter becomes one character, and a letter borrowed from another script is replaced by the
-one it imitates in the script of its word. The mapping is precomputed, checked for conflicts and applied over
-grapheme clusters; the longest key at a place wins.
+one it imitates in the script of its word. This takes several passes: a substitution each for invisible characters and
+spaces, a map of single characters for widths and joined letters, and a precomputed, conflict-checked map of single
+characters for imitations within the decomposed grapheme clusters of a word. No key is longer than one character, so
+there is nothing for a longest match to decide.
 """
 
 from __future__ import annotations
@@ -96,7 +98,7 @@ def _script(c: str) -> str:
 
 @lru_cache(maxsize=MEMO)
 def _step(cluster: str, target: str) -> str:
-    """The transducer's output for one cluster in a word of script ``target``."""
+    """The form of one cluster in a word of script ``target``."""
     mapping = IMITATIONS[target]
     if not mapping:
         return unicodedata.normalize("NFC", cluster)
