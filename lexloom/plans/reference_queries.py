@@ -19,8 +19,8 @@ from lexloom.operators import practice as P
 from lexloom.operators import wordlists as W
 from lexloom.operators.folds import predictions
 from lexloom.sources.tables import load
-from lexloom.streaming.practice import stream_counters, stream_retests
-from lexloom.streaming.run import read_stream, run_available, run_complete
+from lexloom.streaming.practice import stream_counters
+from lexloom.streaming.run import read_stream, run_complete, run_retests
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -855,7 +855,7 @@ def windowed_counts(s, d):
 @query("SELECT * FROM (" + ORACLES["retest_release"] + ") WHERE release_id IS NOT NULL")
 def stream_retest_release(s, d):
     events = read_stream(s, d, "events").select("user_id", "event_id", "ts", "event_type")
-    return run_available(stream_retests(events))
+    return run_retests(events)
 
 
 @query(ORACLES["first_answers"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexloom.operators.practice import RETEST_SECONDS, RETEST_TASKS
+from lexloom.operators.practice import RETEST_SECONDS, RETEST_TASKS, retests
 
 RETEST_SCHEMA = "user_id long, event_id long, release_id long"
 _STATE = "seen long, waiting string"
@@ -43,7 +43,8 @@ def stream_retests(events: DataFrame) -> DataFrame:
     """(user_id, event_id, release_id): as the batch form, for events that arrive in order.
 
     State of a user: how many events were seen, and the failures that wait for release. A failure leaves the state
-    when it is released, so the state is as large as the failures of the last few minutes.
+    when it is released, so the state is as large as the failures of the last few minutes. All events of a user in one
+    micro-batch are one frame; :func:`waiting_retests` does without.
     """
 
     def step(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,6 +73,37 @@ def stream_retests(events: DataFrame) -> DataFrame:
     )
 
 
+def waiting_retests(folder: str) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch`` with the rule of :func:`stream_retests`, for any number of events of a user.
+
+    Each micro-batch goes through the batch form, which works in blocks of time, together with the events that wait
+    from before: of each user those since the first failure that isn't released, the last few minutes at most. Versions
+    under ``folder``: ``found`` has (user_id, event_id, release_id) of the failures at hand, ``open`` the waiting events.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(
+            "user_id", "event_id", "ts", F.coalesce(F.col("event_type") == "error", F.lit(False)).alias("failed")
+        )
+        before = latest_version(spark, f"{folder}/open", number)
+        if before is not None:
+            rows = rows.unionByName(before)
+        retests(rows, "user_id", F.col("failed")).write.mode("overwrite").parquet(f"{folder}/found/version={number}")
+        found = spark.read.parquet(f"{folder}/found/version={number}")
+        held = found.where("release_id IS NULL").select(F.col("user_id").alias("_u"), F.col("event_id").alias("_e"))
+        since = (
+            rows.where("failed")
+            .join(held, F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("event_id") == F.col("_e")), "left_semi")
+            .groupBy(F.col("user_id").alias("_u"))
+            .agg(F.min(F.struct("ts", "event_id")).alias("since"))
+        )
+        later = F.col("user_id").eqNullSafe(F.col("_u")) & (F.struct("ts", "event_id") >= F.col("since"))
+        rows.join(since, later, "left_semi").write.mode("overwrite").parquet(f"{folder}/open/version={number}")
+
+    return step
+
+
 def best_scores(folder: str):
     """A function for ``foreachBatch`` that keeps the best value of each (user, type) in versions under ``folder``.
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.streaming.practice import latest_version
+from lexloom.streaming.practice import RETEST_SCHEMA, latest_version, waiting_retests
 
 
 def read_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -69,13 +70,28 @@ def run_complete(df: DataFrame) -> DataFrame:
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/versions/version={number}")
 
+    _run_batches(df, write, folder, "complete")
+    last = latest_version(spark, f"{folder}/versions")
+    return spark.createDataFrame([], df.schema) if last is None else last
+
+
+def run_retests(events: DataFrame) -> DataFrame:
+    """(user_id, event_id, release_id) of the released failures in all ``events`` that are there, in order of arrival."""
+    spark = events.sparkSession
+    folder = shared_folder(spark)
+    _run_batches(events, waiting_retests(folder), folder, "append")
+    if latest_version(spark, f"{folder}/found") is None:
+        return spark.createDataFrame([], RETEST_SCHEMA)
+    found = spark.read.schema(f"{RETEST_SCHEMA}, version long").parquet(f"{folder}/found")
+    return found.where("release_id IS NOT NULL").drop("version")
+
+
+def _run_batches(df: DataFrame, step: Callable[[DataFrame, int], None], folder: str, mode: str) -> None:
     stream = (
-        df.writeStream.foreachBatch(write)
+        df.writeStream.foreachBatch(step)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode("complete")
+        .outputMode(mode)
         .trigger(availableNow=True)
         .start()
     )
     stream.awaitTermination()
-    last = latest_version(spark, f"{folder}/versions")
-    return spark.createDataFrame([], df.schema) if last is None else last
