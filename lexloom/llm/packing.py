@@ -2,19 +2,22 @@
 
 Items larger than the capacity are cut into full pieces and a rest. Items are spread by hash over partitions of
 bounded size and each is packed by best-fit decreasing. Lower bounds from dual feasible functions certify a
-partition whose container count can't be beaten. Partitions with a gap exchange items: two or more of them meet,
+partition whose container count can't be beaten. Partitions with a gap exchange items: two of a kind meet,
 their containers that aren't full are emptied and packed again together, and the new packing is kept if it needs
-fewer containers. A few rounds suffice; no task ever holds more than a few partitions.
+fewer containers. A few rounds suffice; no task holds more than 2 ** rounds of the first partitions, and no meeting
+more than ``MEETING_ITEMS`` pieces.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ from lexloom.session import checkpointed
 
 PARTITION_ITEMS = 20_000
 ROUNDS = 3
+MEETING_ITEMS = 16 * PARTITION_ITEMS  # pieces in a meeting; partitions of over half of it stay as they are
 MOST_BITS = 1 << 16  # capacities up to this are tracked as bits of one number
 _STATE = "container_kind string, capacity int, part long, bin long, doc_id long, piece int, start_token long, tokens int, gap boolean"
 
@@ -112,6 +116,21 @@ def repack(old: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[np.ndarra
     return bin_of, gap
 
 
+def meetings(sizes: list[tuple[str, int, int]], turn: int, most: int = MEETING_ITEMS) -> list[tuple[str, int, int]]:
+    """(kind, part, meet) of the open partitions (kind, part, pieces) that meet, two of a kind at a time.
+
+    Pairs change with the turn; of an odd number one is by itself and waits for the next turn. A partition of over half
+    of ``most`` pieces, or the only one of its kind, is left out.
+    """
+    out: list[tuple[str, int, int]] = []
+    for kind in sorted({k for k, _, _ in sizes}):
+        own = sorted(part for k, part, n in sizes if k == kind and 2 * n <= most)
+        random.Random(turn).shuffle(own)
+        if len(own) > 1:
+            out += [(kind, part, i // 2) for i, part in enumerate(own)]
+    return out
+
+
 def pieces(items: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
     """Every item once for each kind of container, cut where it exceeds the capacity."""
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(int(c)).alias("capacity")) for k, c in kinds])
@@ -158,16 +177,19 @@ def fill_containers(
     state = checkpointed(state)
     done: DataFrame | None = None
     for turn in range(rounds):
-        settled = state.where(~F.col("gap")).withColumn("turn", F.lit(turn))
-        done = settled if done is None else done.unionByName(settled)
-        open_ = state.where("gap")
-        n = open_.select("container_kind", "part").distinct().count()
-        if n < 2:
-            state = open_
+        sizes = state.where("gap").groupBy("container_kind", "part").count().collect()
+        pairs = meetings([tuple(r) for r in sizes], turn)
+        if not pairs:
             break
-        meeting = F.pmod(F.xxhash64("part", F.lit(turn)), F.lit(max(1, n // (2 * max(1, len(kinds))))))
+        kind, part, meet = zip(*pairs)
+        met = state.sparkSession.createDataFrame(
+            pa.table({"container_kind": pa.array(kind), "part": pa.array(part, pa.int64()), "meet": pa.array(meet, pa.int64())})
+        ).withColumn("gap", F.lit(True))
+        keys = ["container_kind", "part", "gap"]
+        settled = state.join(met, keys, "left_anti").select(*_names()).withColumn("turn", F.lit(turn))
+        done = settled if done is None else done.unionByName(settled)
         state = checkpointed(
-            open_.withColumn("meet", meeting).groupBy("container_kind", "capacity", "meet").applyInPandas(again, _STATE)
+            state.join(met, keys).groupBy("container_kind", "capacity", "meet").applyInPandas(again, _STATE)
         )
     rest = state.withColumn("turn", F.lit(rounds))
     done = rest if done is None else done.unionByName(rest)
