@@ -1,8 +1,11 @@
 """Mapping free-entered values to a canonical list.
 
 A multi-pattern automaton over canonical names and their aliases finds embedded mentions; of those that overlap the
-longest wins. Values in which no mention explains everything go to token-set similarity; a value that reaches the
-threshold for no entry, or for two entries alike, is reported as unmatched (-1).
+longest wins, and the longest of all is what the value stands for. Values in which no mention explains everything go to
+token-set similarity: an inverted index from words (and from names written as one word), under all spellings with a few
+letters left out, gives the entries that share a word with the value up to small slips, so the cost of a value
+doesn't depend on how many names there are. A value that reaches the threshold for no entry, or for two entries alike,
+is reported as unmatched (-1).
 """
 
 from __future__ import annotations
@@ -25,12 +28,17 @@ REMARKS = frozenset(
     "countable uncountable transitive intransitive attributive predicative form use type".split()
 )
 BRACKETED = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}")
-#: Edits allowed between a value and a name, by the letters of the name.
-EDITS = ((4, 0), (8, 1), (10_000, 2))
-LONG = 11  # names of at least so many letters in several words may have one edit more
+#: Edits allowed between a word and one of the list, by the letters of the latter.
+EDITS = ((4, 0), (8, 1), (1 << 62, 2))
+#: Token-set similarity from which a value stands for a name.
+LEAST_SIMILAR = 0.7
 MEMO = 65_536
 
 
+def allowed(letters: int) -> int:
+    return next(e for size, e in EDITS if letters < size)
+
+
 def normal(text: str) -> str:
     """Lower-case words with single spaces."""
     text = unicodedata.normalize("NFKC", text).casefold()
@@ -60,12 +68,52 @@ def edits(a: str, b: str, most: int) -> int:
     return min(table[-1][-1], most + 1)
 
 
+def shortened(word: str, most: int) -> set[str]:
+    """``word`` with up to ``most`` letters left out; two words within so many edits have one of these in common."""
+    out = last = {word}
+    for _ in range(most):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+class NearIndex:
+    """Words by their shortened spellings: finds those within the allowed edits of another word."""
+
+    def __init__(self) -> None:
+        self._by_short: dict[str, list[str]] = {}
+        self._words: set[str] = set()
+        self._longest = 0
+
+    def add(self, word: str) -> None:
+        if word not in self._words:
+            self._words.add(word)
+            self._longest = max(self._longest, len(word))
+            for short in shortened(word, allowed(len(word))):
+                self._by_short.setdefault(short, []).append(word)
+
+    def near(self, word: str) -> dict[str, int]:
+        """The indexed words within the edits they allow, with their number of edits."""
+        most = allowed(len(word) + EDITS[-1][1])
+        if len(word) > self._longest + most:
+            return {}
+        found: dict[str, int] = {}
+        for short in shortened(word, most):
+            for other in self._by_short.get(short, ()):
+                if other not in found:
+                    found[other] = edits(word, other, allowed(len(other)))
+        return {other: n for other, n in found.items() if n <= allowed(len(other))}
+
+
 class CanonicalList:
     """``names`` are (id, canonical name, aliases)."""
 
     def __init__(self, names: Iterable[tuple[int, str, tuple[str, ...]]]):
         phrases: dict[str, int] = {}
-        self._names: list[tuple[int, str, str]] = []
+        self._names: list[tuple[int, frozenset[str]]] = []  # id and words of each canonical name
+        self._with_word: dict[str, list[int]] = {}  # inverted index: numbers of the names that hold a word
+        self._as_one: dict[str, list[int]] = {}  # numbers of the names by their words written as one
+        self._near_words, self._near_names = NearIndex(), NearIndex()
         for ident, name, aliases in names:
             for phrase in (name, *aliases):
                 words = normal(phrase)
@@ -76,7 +124,15 @@ class CanonicalList:
                     phrases.setdefault(form, ident)
                     phrases.setdefault(form.replace(" ", ""), ident)
             canonical = normal(name)
-            self._names.append((ident, canonical, canonical.replace(" ", "")))
+            if not canonical:
+                continue
+            number = len(self._names)
+            self._names.append((ident, frozenset(canonical.split())))
+            for word in self._names[-1][1]:
+                self._with_word.setdefault(word, []).append(number)
+                self._near_words.add(word)
+            self._as_one.setdefault(canonical.replace(" ", ""), []).append(number)
+            self._near_names.add(canonical.replace(" ", ""))
         self._exact = phrases
         self._matcher = PhraseMatcher(phrases.items())
 
@@ -94,13 +150,12 @@ class CanonicalList:
         if joined in self._exact:
             return self._exact[joined]
         hits = self._matcher.longest(core)
+        mention = max(hits, key=lambda h: h[1] - h[0])[2] if hits else UNMATCHED  # the first of equal length
         spare = [w for w in self._outside(core, hits) if w not in REMARKS and not w.isdigit()]
         if hits and not spare:
-            return hits[0][2]
+            return mention
         similar = self._similar([w for w in core.split() if w not in REMARKS])
-        if similar != UNMATCHED:
-            return similar
-        return hits[0][2] if hits else UNMATCHED
+        return similar if similar != UNMATCHED else mention
 
     @staticmethod
     def _outside(text: str, hits: list[tuple[int, int, int]]) -> list[str]:
@@ -111,18 +166,37 @@ class CanonicalList:
         return " ".join([*parts, text[at:]]).split()
 
     def _similar(self, words: list[str]) -> int:
-        """Token-set similarity: fewest edits between the sorted or the joined words and those of a name."""
-        joined, ordered = "".join(words), " ".join(sorted(set(words)))
-        best: list[tuple[float, int]] = []
-        for ident, name, compact in self._names:
-            most = next(e for size, e in EDITS if len(compact) < size) + (len(compact) >= LONG and " " in name)
-            if not most or not joined:
-                continue
-            count = min(edits(joined, compact, most), edits(ordered, " ".join(sorted(name.split())), most))
-            if count <= most:
-                best.append((count / len(compact), ident))
-        best.sort()
-        if not best or len(best) > 1 and best[0][0] == best[1][0]:
+        """The entry of the largest token-set similarity.
+
+        Words of the value and of a name that agree up to the allowed edits are common, each for the share of its
+        letters that agree; the similarity is the common letters over all letters of both sets. A value whose words as
+        one agree with a name as one is as similar as their letters agree.
+        """
+        scores: dict[int, float] = {}
+        distinct = set(words)
+        near = {word: self._near_words.near(word) for word in distinct}
+        reached = {n for found in near.values() for other in found for n in self._with_word[other]}
+        for number in reached:
+            own = self._names[number][1]
+            pairs = sorted(
+                (count / len(other), word, other)
+                for word, found in near.items()
+                for other, count in found.items()
+                if other in own
+            )
+            used: set[str] = set()
+            common, both = 0.0, sum(map(len, own)) + sum(map(len, distinct))
+            for share, word, other in pairs:
+                if ("value", word) not in used and ("name", other) not in used:
+                    used |= {("value", word), ("name", other)}
+                    common += len(other) * (1 - share)
+                    both -= len(word)
+            scores[number] = common / both
+        for other, count in self._near_names.near("".join(words)).items():
+            for number in self._as_one[other]:
+                scores[number] = max(scores.get(number, 0.0), 1 - count / len(other))
+        best = sorted(((-score, self._names[n][0]) for n, score in scores.items() if score >= LEAST_SIMILAR))
+        if not best or len(best) > 1 and best[0][0] == best[1][0] and best[0][1] != best[1][1]:
             return UNMATCHED
         return best[0][1]
 
