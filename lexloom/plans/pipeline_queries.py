@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     labels = small_rows(load(spark, d, "pos_labels", "label", "short_form"), MOST_LABELS)
     names = tuple(sorted({x for row in labels for x in row if x}))
     return split_packed(
-        load(spark, d, "source_rows", "row_id", "pos", "headword"), "row_id", {"pos": names, "headword": ()}
+        load(spark, d, "source_rows", "row_id", "pos", "headword"), "row_id", {"pos": names, "headword": None}
     )
 
 
