@@ -11,7 +11,7 @@ from lexloom.llm.copies import all_pairs, collapse, members
 from lexloom.llm.encoding import TOKENIZER_DIR, encode_corpus
 from lexloom.llm.lookalike import inconsistent_texts
 from lexloom.llm.packing import fill_containers
-from lexloom.llm.subjects import assign_subjects
+from lexloom.llm.subjects import assign_subjects, calibrate, read_terms, subject_shares
 from lexloom.llm.survivor import candidates, layers, survivors
 from lexloom.operators.packed import FIXED_EXPRESSIONS, segmenter
 from lexloom.sources.tables import load, small_rows
@@ -158,10 +158,17 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def p9_quality(spark: SparkSession, d: str) -> DataFrame:
+    """The least share of sentences fitted on half of the labelled documents, with precision and recall on either half."""
+    names = load(spark, d, "subjects", "subject_id", "subject")
+    labels = load(spark, d, "subject_labels", "doc_id", "subject_id").join(names, "subject_id").select("doc_id", "subject")
+    return calibrate(subject_shares(load(spark, d, "documents", "doc_id", "text"), read_terms()), labels)
+
+
 QUERIES = {
     "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_entries": p4_entries, "p5_found": p5_found,
     "p5_collapsed": p5_collapsed, "p7_ids": p7_ids, "p8_packing": p8_packing, "p8_fill": p8_fill,
-    "p9_found": p9_found, "p9_composition": p9_composition,
+    "p9_found": p9_found, "p9_composition": p9_composition, "p9_quality": p9_quality,
 }
 _KEY = r"regexp_replace(lower(nfc_normalize({0})), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _SPACED = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"

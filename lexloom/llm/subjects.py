@@ -1,10 +1,13 @@
 """Subject areas of documents.
 
-Curated subject terms are matched with one multi-pattern automaton; a set expression in which a term has another
-sense ("on the board") is a longer pattern without a subject and so hides the term. A sentence is about the subject
-whose terms weigh most in it, a term's weight being its rarity in the corpus divided by the number of its subjects.
-Ties between subjects go to the one of the nearest sentence that is settled. A document treats each subject
-that has at least ``least_sentences`` sentences and ``least_share`` of all its sentences.
+Curated, weighted subject terms are matched with one multi-pattern automaton, the longest at each place. A sentence is
+about the subject whose terms weigh most in it; a term's weight is the curated one times its rarity in the corpus,
+divided by the number of its subjects. Ties between subjects go to the one of the nearest sentence that is settled. A
+document treats each subject that has at least ``least_sentences`` sentences and ``least_share`` of all its sentences.
+
+In which sense a term is used is told by the words beside it, from the corpus alone: where a term with the same two
+words on either side is common, but most documents with it don't treat any subject of the term, it has another sense
+there (a stock phrase, an idiom) and doesn't count. Contexts too rare to tell keep the sense of the term.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,31 +29,30 @@ from lexloom.session import checkpointed
 
 TERMS_FILE = os.path.join(os.path.dirname(__file__), "subject_terms.tsv")
 MOST_TERMS = 50_000
-# Set expressions of classroom English in which a subject's term has another sense.
-OTHER_SENSE = (
-    "on the board", "the blackboard", "whiteboard", "train the ear", "score on a scale", "on a scale from",
-    "keep your score", "judge of a good sentence", "sentence without a verb", "sentences of your own", "good sentence",
-    "in a sentence", "whole sentence", "tempo is too fast", "plant one", "pitch at the end", "higher pitch",
-    "tablet only to time", "short account of", "on account of", "take into account", "of great interest",
-)
-#: Thresholds, set between the shares of passing mentions and of labelled subjects.
+#: A context is judged if it is in this share of all documents, so that few of them are ever gathered (at most the
+#: terms found in a document on average, divided by this share), and if the share of its documents that treat the
+#: subject is below ``LEAST_TREATED`` even at the upper end of its confidence interval (Z standard errors).
+LEAST_CONTEXT, LEAST_TREATED, Z = 0.002, 0.5, 1.96
+WORDS_BESIDE = 2
+#: Thresholds; :func:`calibrate` finds the share on labelled documents.
 LEAST_SENTENCES, LEAST_SHARE = 2, 0.2
 OPTIONS = re.compile(r"([.?!])\s+((?:\([A-Z]\)\s+\w+\s*)+)", re.I)
 LIST_MARK = re.compile(r"^[^\S\n]*(?:\d+[.)]|[A-Z]:)[^\S\n]+", re.M)
 BREAK = re.compile(r"(?<=[.?!])\s+|\n+|(?<=[。？！])")
 CONTENT = re.compile(r"[^\W\d_]{2}|[一-鿿]")
 HEADING = re.compile(r"\s*(?:unit|chapter|lesson|section)\s+\d+\s*[·:.–-]", re.I)
+DIGITS = re.compile(r"\d+")
 UNSPACED = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 
 
-def read_terms(path: str = TERMS_FILE) -> list[tuple[str, str]]:
-    """(term, subject) pairs of a term file: subject, language and terms, separated by tabs."""
+def read_terms(path: str = TERMS_FILE) -> list[tuple[str, str, float]]:
+    """(term, subject, weight) of a term file: subject, language, weight and terms, separated by tabs."""
     out = []
     with open(path, encoding="utf-8") as lines:
         for line in lines:
             if not line.startswith("#") and line.strip():
-                subject, _, terms = line.rstrip("\n").split("\t")
-                out += [(term, subject) for term in terms.split()]
+                subject, _, weight, terms = line.rstrip("\n").split("\t")
+                out += [(term.strip().lower(), subject, float(weight)) for term in terms.split(";") if term.strip()]
     if len(out) > MOST_TERMS:
         raise ValueError("too many subject terms")
     return out
@@ -62,22 +65,20 @@ def sentences(text: str) -> list[str]:
 
 
 class SubjectMatcher:
-    """Finds the terms of each sentence as numbers into ``names``."""
+    """Finds the terms of each sentence as numbers into ``names``, each with a key of its context."""
 
-    def __init__(self, terms: list[tuple[str, str]], other_sense=OTHER_SENSE):
-        self.names = sorted({t for t, _ in terms})
+    def __init__(self, terms: list[tuple[str, str, float]]):
+        self.names = sorted({t for t, *_ in terms})
         forms: dict[str, int] = {}
         for number, term in enumerate(self.names):
             forms[term] = number
         for number, term in enumerate(self.names):
             if term.isascii():
                 forms.setdefault(term + ("es" if term.endswith(("s", "x", "ch", "sh")) else "s"), number)
-        for phrase in other_sense:
-            forms[phrase] = -1
         self._matcher = PhraseMatcher(forms.items(), free=lambda p: bool(UNSPACED.match(p)))
 
-    def match(self, text: str) -> tuple[int, list[list[int]]]:
-        """Number of sentences, and the distinct terms of each sentence that has any."""
+    def match(self, text: str) -> tuple[int, list[list[tuple[int, int]]]]:
+        """Number of sentences, and the distinct (term, context) of each sentence that has any."""
         own = sentences(text)
         if not own:
             return 0, []
@@ -85,19 +86,35 @@ class SubjectMatcher:
         for s in own:
             starts.append(at)
             at += len(s) + 1
-        hits = sorted(self._matcher.hits("\n".join(own)), key=lambda h: (h[0], -h[1]))
-        found: dict[int, set[int]] = {}
-        blocked = [(s, e) for s, e, n in hits if n < 0]
-        for start, end, number in hits:
-            if number >= 0 and not (blocked and any(s <= start and end <= e for s, e in _near(blocked, start))):
-                found.setdefault(bisect_right(starts, start) - 1, set()).add(number)
+        whole = "\n".join(own)
+        found: dict[int, set[tuple[int, int]]] = {}
+        last = 0
+        for start, end, number in sorted(self._matcher.hits(whole), key=lambda h: (h[0], -h[1])):
+            if end <= last:
+                continue  # inside a longer term
+            last = end
+            k = bisect_right(starts, start) - 1
+            found.setdefault(k, set()).add((number, _context(whole, start, end, starts[k], starts[k] + len(own[k]))))
         return len(own), [sorted(found[k]) for k in sorted(found)]
 
 
-def _near(blocked: list[tuple[int, int]], start: int) -> list[tuple[int, int]]:
-    """The spans of ``blocked`` (sorted) that may hold ``start``."""
-    k = bisect_right(blocked, (start, 1 << 62))
-    return blocked[max(0, k - 4) : k]
+def _context(text: str, start: int, end: int, low: int, high: int) -> int:
+    """Key of a term with the words beside it in its sentence, numbers as if equal; unspaced scripts count signs."""
+    a, b = start - 1, end
+    if UNSPACED.match(text, start):
+        a, b = max(low, start - 2 * WORDS_BESIDE) - 1, min(high, end + 2 * WORDS_BESIDE)
+    else:
+        for _ in range(WORDS_BESIDE):
+            a = text.rfind(" ", low, a) if a > low else -1
+            if a < 0:
+                a = low - 1
+                break
+        for _ in range(WORDS_BESIDE):
+            b = text.find(" ", b + 1, high) if b < high else -1
+            if b < 0:
+                b = high
+                break
+    return xxhash.xxh3_64_intdigest(DIGITS.sub("0", text[a + 1 : b]) + f"\n{text[start:end]}") >> 1
 
 
 def subject_counts(terms: list[list[int]], weights: list[list[tuple[str, float]]]) -> Counter:
@@ -136,51 +153,92 @@ def subject_counts(terms: list[list[int]], weights: list[list[tuple[str, float]]
     return counts
 
 
-def matched_terms(documents: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
-    """(doc_id, n_sentences, terms) of every document with a non-blank text."""
+def matched_terms(documents: DataFrame, terms: list[tuple[str, str, float]]) -> DataFrame:
+    """(doc_id, n_sentences, terms, contexts) of every document with a non-blank text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = SubjectMatcher(terms)
         for batch in batches:
             found = [tool.match(t) for t in batch["text"]]
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "n_sentences": [n for n, _ in found], "terms": [x for _, x in found]}
+                {
+                    "doc_id": batch["doc_id"],
+                    "n_sentences": [n for n, _ in found],
+                    "terms": [[[t for t, _ in s] for s in x] for _, x in found],
+                    "contexts": [[[c for _, c in s] for s in x] for _, x in found],
+                }
             )
 
     return (
         documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S"))
         .select("doc_id", "text")
-        .mapInPandas(run, "doc_id long, n_sentences int, terms array<array<int>>")
+        .mapInPandas(run, "doc_id long, n_sentences int, terms array<array<int>>, contexts array<array<long>>")
     )
 
 
-def subject_shares(documents: DataFrame, terms: list[tuple[str, str]]) -> DataFrame:
+def term_weights(terms: list[tuple[str, str, float]], total: int, frequency: dict[int, int]) -> list[list[tuple[str, float]]]:
+    """(subject, weight) of each term by its number: curated weight, rarity among ``total`` documents, number of subjects."""
+    of: dict[str, dict[str, float]] = {}
+    for term, subject, weight in terms:
+        of.setdefault(term, {}).setdefault(subject, weight)
+    rarity = [math.log1p(total / frequency.get(n, 1)) / math.log1p(total or 1) for n in range(len(of))]
+    return [[(s, w * rarity[n] / len(of[name])) for s, w in of[name].items()] for n, name in enumerate(sorted(of))]
+
+
+def other_senses(
+    matched: DataFrame, weights: list[list[tuple[str, float]]], total: int, least_sentences: int, least_share: float
+) -> frozenset[int]:
+    """Contexts in which a term has another sense (see the head of this module); counted over all documents."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            n_of: Counter = Counter()
+            treated: Counter = Counter()
+            for n, found, contexts in zip(batch["n_sentences"], batch["terms"], batch["contexts"]):
+                counts = subject_counts(list(found), weights)
+                treats = {s for s, c in counts.items() if c >= least_sentences and c >= least_share * n}
+                own = {c: t for ts, cs in zip(found, contexts) for t, c in zip(ts, cs)}
+                n_of.update(own.keys())
+                treated.update(c for c, t in own.items() if any(s in treats for s, _ in weights[t]))
+            yield pd.DataFrame({"context": list(n_of), "n": list(n_of.values()), "k": [treated[c] for c in n_of]})
+
+    counts = matched.where(F.size("terms") > 0).mapInPandas(count, "context long, n long, k long")
+    n, k = F.col("n"), F.col("k")
+    upper = (k + Z * Z / 2 + Z * F.sqrt(k * (n - k) / n + Z * Z / 4)) / (n + Z * Z)  # of the Wilson interval
+    common = counts.groupBy("context").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(n >= LEAST_CONTEXT * total)
+    return frozenset(r["context"] for r in common.where(upper < LEAST_TREATED).select("context").collect())
+
+
+def subject_shares(
+    documents: DataFrame,
+    terms: list[tuple[str, str, float]],
+    least_sentences: int = LEAST_SENTENCES,
+    least_share: float = LEAST_SHARE,
+) -> DataFrame:
     """(doc_id, subject, n_about, share) for every subject with at least one sentence.
 
-    The terms found are kept in a checkpoint, as both the corpus counts and the scoring read them. Document
-    frequencies are counted over all documents; they are as many as the term file has terms.
+    The terms found are kept in a checkpoint, as the corpus counts and the scoring read them. Document frequencies and
+    contexts are counted over all documents; the former are as many as the term file has terms. ``least_sentences`` and
+    ``least_share`` tell which subjects a document treats where the senses of terms are judged.
     """
     matched = checkpointed(matched_terms(documents, terms))
-    names = SubjectMatcher(terms).names
     total = matched.count()
     counted = (
         matched.select(F.explode(F.array_distinct(F.flatten("terms"))).alias("term")).groupBy("term").count().collect()
     )
-    frequency = {row["term"]: row["count"] for row in counted}
-    of: dict[str, list[str]] = {}
-    for term, subject in terms:
-        if subject not in of.setdefault(term, []):
-            of[term].append(subject)
-    weights = [
-        [(s, math.log1p(total / frequency.get(n, 1)) / math.log1p(total or 1) / len(of[name])) for s in of[name]]
-        for n, name in enumerate(names)
-    ]
+    weights = term_weights(terms, total, {row["term"]: row["count"] for row in counted})
+    hidden = other_senses(matched, weights, total, least_sentences, least_share)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, n, found in zip(batch["doc_id"], batch["n_sentences"], batch["terms"]):
-                rows += [(doc, s, c, c / n) for s, c in sorted(subject_counts(list(found), weights).items())]
+            for doc, n, found, contexts in zip(
+                batch["doc_id"], batch["n_sentences"], batch["terms"], batch["contexts"]
+            ):
+                told = [
+                    list(dict.fromkeys(t for t, c in zip(ts, cs) if c not in hidden)) for ts, cs in zip(found, contexts)
+                ]
+                rows += [(doc, s, c, c / n) for s, c in sorted(subject_counts(told, weights).items())]
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "n_about", "share"])
 
     return matched.where(F.size("terms") > 0).mapInPandas(
@@ -191,7 +249,7 @@ def subject_shares(documents: DataFrame, terms: list[tuple[str, str]]) -> DataFr
 def assign_subjects(
     documents: DataFrame,
     subjects: DataFrame,
-    terms: list[tuple[str, str]] | None = None,
+    terms: list[tuple[str, str, float]] | None = None,
     least_sentences: int = LEAST_SENTENCES,
     least_share: float = LEAST_SHARE,
 ) -> DataFrame:
@@ -200,8 +258,47 @@ def assign_subjects(
     Null, empty and blank texts have none, nor have texts without terms. A subject of the term file that
     ``subjects`` doesn't name is left out. Repeated documents give repeated rows.
     """
-    shares = subject_shares(documents, terms or read_terms())
+    shares = subject_shares(documents, terms or read_terms(), least_sentences, least_share)
     kept = shares.where((F.col("n_about") >= least_sentences) & (F.col("share") >= least_share))
     return kept.join(subjects.select("subject_id", "subject").dropDuplicates(["subject"]), "subject").select(
         "doc_id", "subject_id", "n_about", "share"
     )
+
+
+def calibrate(shares: DataFrame, labels: DataFrame, least_sentences: int = LEAST_SENTENCES) -> DataFrame:
+    """(part, least_share, labels, found, both, precision, recall) of the two halves of the labelled documents.
+
+    ``least_share`` is fitted on one half, chosen by a hash of the document: the share of the best F1, the middle one
+    where several are best. The other half is held out. ``labels`` are (doc_id, subject); repeated ones count once.
+    Labels may be incomplete, so the precision is a lower bound. Only counts by hundredths of the share are gathered.
+    """
+    spark = shares.sparkSession
+    known = labels.where(F.col("subject").isNotNull()).select("doc_id", "subject").distinct()
+    of_labelled = shares.where(F.col("n_about") >= least_sentences).join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    part = F.when(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0, "fitted").otherwise("held out").alias("part")
+    pairs = known.withColumn("label", F.lit(1)).join(
+        of_labelled.select("doc_id", "subject", "share").distinct(), ["doc_id", "subject"], "full"
+    )
+    step = F.floor(F.col("share") * 100 + 1e-9).cast("int").alias("step")
+    counted = pairs.groupBy(part, step).agg(F.count("label").alias("labels"), F.count("*").alias("pairs")).collect()
+
+    def counts(name: str, least: int) -> tuple[int, int, int]:
+        own = [r for r in counted if r["part"] == name]
+        found = [r for r in own if r["step"] is not None and r["step"] >= least]
+        return sum(r["labels"] for r in own), sum(r["pairs"] for r in found), sum(r["labels"] for r in found)
+
+    def f1(least: int) -> float:
+        labelled, found, both = counts("fitted", least)
+        return 2 * both / (labelled + found) if labelled + found else 0.0
+
+    best = max(map(f1, range(1, 101)))
+    same = [k for k in range(1, 101) if f1(k) == best]
+    least = same[len(same) // 2]
+    rows = []
+    for name in ("fitted", "held out"):
+        labelled, found, both = counts(name, least)
+        precision = both / found if found else None
+        rows.append((name, least / 100, labelled, found, both, precision, both / labelled if labelled else None))
+    return spark.createDataFrame(
+        rows, "part string, least_share double, labels long, found long, both long, precision double, recall double"
+    )
