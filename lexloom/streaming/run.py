@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom.session import shared_folder
 from lexloom.streaming.practice import RETEST_SCHEMA, latest_version, waiting_retests
 
 
@@ -27,17 +26,6 @@ def read_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return df.withColumns(naive) if naive else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder under the session's checkpoint folder, which all executors share."""
-    conf = spark.sparkContext.getConf()
-    base = conf.get("spark.checkpoint.dir") or (
-        "/tmp/lexloom-streams" if spark.sparkContext.master.startswith("local[") else None
-    )
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
-
-
 def run_available(df: DataFrame) -> DataFrame:
     """Runs ``df`` over all input that is there, with a checkpoint, into parquet files, and reads these.
 
@@ -45,7 +33,7 @@ def run_available(df: DataFrame) -> DataFrame:
     input ends are not written. :func:`run_complete` has them.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     stream = (
         df.writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/checkpoint")
@@ -65,7 +53,7 @@ def run_complete(df: DataFrame) -> DataFrame:
     never dropped and late events count, so the result is that of the batch form; the state is as large as the result.
     """
     spark = df.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/versions/version={number}")
@@ -78,7 +66,7 @@ def run_complete(df: DataFrame) -> DataFrame:
 def run_retests(events: DataFrame) -> DataFrame:
     """(user_id, event_id, release_id) of the released failures in all ``events`` that are there, in order of arrival."""
     spark = events.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
     _run_batches(events, waiting_retests(folder), folder, "append")
     if latest_version(spark, f"{folder}/found") is None:
         return spark.createDataFrame([], RETEST_SCHEMA)
