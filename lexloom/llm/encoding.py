@@ -21,7 +21,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from lexloom.session import stored
 
 TOKENIZER_DIR = "/opt/tokenizers"
 TOKENIZER = "byte_bpe_50k"
@@ -168,31 +169,41 @@ def _from(ids: list[int], offset: int, tool) -> list[int]:
     return []
 
 
-def encode_corpus(documents: DataFrame, directory: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
-    """(doc_id, ids) of every document; null and empty texts have no ids (an empty array).
+def runs(parts: list[tuple[str, bool]]) -> list[int]:
+    """Of each chunk the number of the first one that unsure joins link it with, -1 if its joins are all sure."""
+    linked = [not sure for _, sure in parts]
+    out, first = [], 0
+    for i, own in enumerate(linked):
+        if not own:
+            first = i
+        out.append(first if own or (i + 1 < len(parts) and linked[i + 1]) else -1)
+    return out
 
-    Repeated rows give repeated rows. A very long text is spread over as many rows as it has chunks until its ids
-    come together again. A chunk that very many texts share is one row of the encoded chunks; its uses are many
-    rows of the other side of the join, which adaptive execution splits.
+
+def _encoded_chunks(documents: DataFrame, directory: str, name: str) -> DataFrame:
+    """(row, doc_id, pos, run, sure, chunk, ids) of every chunk of every document; ``chunk`` only where it needs repair.
+
+    Texts are read and cut once, into a table in the shared folder that the distinct chunks and their uses are read from.
     """
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            docs, places, texts, sure, unsure = [], [], [], [], []
+            docs, places, texts, sure, linked = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 parts = chunks(text)
                 docs += [i] * len(parts)
                 places += range(len(parts))
                 texts += [c for c, _ in parts]
                 sure += [s for _, s in parts]
-                unsure += [not all(s for _, s in parts)] * len(parts)
+                linked += runs(parts)
             take = pa.array(docs, pa.int32())
             columns = {
+                "row": batch.column("row").take(take),
                 "doc_id": batch.column("doc_id").take(take),
-                "text_key": batch.column("text_key").take(take),
-                "unsure": pa.array(unsure, pa.bool_()),
                 "pos": pa.array(places, pa.int32()),
-                "chunk": pa.array(texts, pa.string()),
+                "run": pa.array(linked, pa.int32()),
                 "sure": pa.array(sure, pa.bool_()),
+                "chunk": pa.array(texts, pa.string()),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -206,41 +217,68 @@ def encode_corpus(documents: DataFrame, directory: str = TOKENIZER_DIR, name: st
             ids = pa.ListArray.from_arrays(pa.array(np.asarray(ends)), pa.array(np.asarray(flat, dtype=np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids], ["key", "ids"])
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    kind = dict(documents.dtypes)["doc_id"]
+    uses = stored(
+        documents.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        .mapInArrow(cut, f"row long, doc_id {kind}, pos int, run int, sure boolean, chunk string")
+        .withColumn("key", F.unhex(F.md5("chunk")))
+    )
+    distinct = uses.select("key", "chunk").distinct()  # a hash aggregate; taking a first chunk by key would sort
+    encoded = distinct.mapInArrow(encode, "key binary, ids array<int>")
+    refs = uses.withColumn("chunk", F.when(F.col("run") >= 0, F.col("chunk")))
+    return refs.join(encoded, "key").drop("key")
+
+
+def _repair(directory: str, name: str):
+    """Arrow function: linked chunks (pos, run, sure, chunk, ids) of a text to the ids of each run (pos, ids)."""
+
+    @F.pandas_udf("array<struct<pos: int, ids: array<int>>>")
     def repair(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tool = encoder(directory, name)
         for batch in batches:
             out = []
             for parts in batch:
-                parts = sorted(parts, key=lambda p: p["pos"])
+                by_run: dict[int, list] = {}
+                for p in sorted([] if parts is None else parts, key=lambda p: p["pos"]):
+                    by_run.setdefault(p["run"], []).append(p)
                 out.append(
-                    repaired([(p["chunk"] or "", list(p["ids"])) for p in parts], [p["sure"] for p in parts], tool)
+                    [
+                        {"pos": run, "ids": repaired([(p["chunk"], list(p["ids"])) for p in own], [p["sure"] for p in own], tool)}
+                        for run, own in by_run.items()
+                    ]
                 )
             yield pd.Series(out, dtype=object)
 
-    text = F.coalesce("text", F.lit(""))
-    kind = dict(documents.dtypes)["doc_id"]
-    uses = (
-        documents.select("doc_id", text.alias("text"), F.unhex(F.md5(text)).alias("text_key"))
-        .mapInArrow(cut, f"doc_id {kind}, text_key binary, unsure boolean, pos int, chunk string, sure boolean")
-        .withColumn("key", F.unhex(F.md5("chunk")))
+    return repair
+
+
+def encode_corpus(documents: DataFrame, directory: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
+    """(doc_id, ids) of every document; null and empty texts have no ids (an empty array).
+
+    Repeated rows give repeated rows. A very long text is spread over as many rows as it has chunks until its ids
+    come together again. A chunk that very many texts share is one row of the encoded chunks; its uses are many
+    rows of the other side of the join, which adaptive execution splits. Only chunks whose joins aren't sure pass
+    through Python once more.
+    """
+    parts = _encoded_chunks(documents, directory, name)
+    linked = F.col("run") >= 0
+    whole = parts.groupBy("row", "doc_id").agg(
+        F.collect_list(F.when(~linked, F.struct("pos", "ids"))).alias("plain"),
+        F.collect_list(F.when(linked, F.struct("pos", "run", "sure", "chunk", "ids"))).alias("linked"),
     )
-    distinct = uses.select("key", "chunk").distinct()  # a hash aggregate; taking a first chunk by key would sort
-    encoded = distinct.mapInArrow(encode, "key binary, ids array<int>")
-    # a chunk's text goes along only where a join has to be repaired
-    refs = uses.withColumn("chunk", F.when(F.col("unsure"), F.col("chunk")))
-    part = F.struct("pos", "sure", "chunk", "ids")
-    whole = (
-        refs.join(encoded, "key")
-        .groupBy("doc_id", "text_key")
-        .agg(
-            F.array_distinct(F.collect_list(part)).alias("parts"),
-            F.sum(F.when(F.col("pos") == 0, 1)).alias("copies"),
-            F.max("unsure").alias("unsure"),
-        )
+    mended = _repair(directory, name)(F.when(F.size("linked") > 0, F.col("linked")))
+    every = F.array_sort(F.concat("plain", mended))
+    return whole.select("doc_id", F.flatten(F.transform(every, lambda p: p["ids"])).alias("ids"))
+
+
+def token_counts(documents: DataFrame, directory: str = TOKENIZER_DIR, name: str = TOKENIZER) -> DataFrame:
+    """(doc_id, tokens) of every document, as many as :func:`encode_corpus` gives ids; only linked chunks carry theirs."""
+    parts = _encoded_chunks(documents, directory, name).withColumn("n", F.size("ids"))
+    linked = F.col("run") >= 0
+    whole = parts.groupBy("row", "doc_id").agg(
+        F.sum(F.when(~linked, F.col("n")).otherwise(0)).alias("plain"),
+        F.collect_list(F.when(linked, F.struct("pos", "run", "sure", "chunk", "ids"))).alias("linked"),
     )
-    in_order = F.flatten(F.transform(F.array_sort("parts"), lambda p: p["ids"]))
-    plain = whole.where(~F.col("unsure")).select("doc_id", "copies", in_order.alias("ids"))
-    mended = whole.where("unsure").select("doc_id", "copies", repair("parts").alias("ids"))
-    each = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    return plain.unionByName(mended).select("doc_id", "ids", each).drop("copy")
+    mended = _repair(directory, name)(F.when(F.size("linked") > 0, F.col("linked")))
+    extra = F.aggregate(mended, F.lit(0).cast("long"), lambda n, p: n + F.size(p["ids"]))
+    return whole.select("doc_id", (F.col("plain") + extra).alias("tokens"))
