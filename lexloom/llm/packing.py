@@ -1,11 +1,12 @@
 """Filling containers of fixed capacity with items of varying size.
 
-Items larger than the capacity are cut into full pieces and a rest. Items are spread by hash over partitions of
-bounded size and each is packed by best-fit decreasing. Lower bounds from dual feasible functions certify a
-partition whose container count can't be beaten. Partitions with a gap exchange items: two of a kind meet,
-their containers that aren't full are emptied and packed again together, and the new packing is kept if it needs
-fewer containers. A few rounds suffice; no task holds more than 2 ** rounds of the first partitions, and no meeting
-more than ``MEETING_ITEMS`` pieces.
+Items larger than the capacity are cut into full pieces and a rest; a piece that fills a container has it to itself
+at once. The others are spread by hash over partitions of bounded size and each is packed by best-fit decreasing. Lower
+bounds from dual feasible functions certify a partition whose container count can't be beaten. Partitions with a gap
+exchange items: two of a kind meet, their containers that aren't full are emptied and packed again together, and the
+new packing is kept if it needs fewer containers. A few rounds suffice; no task holds more than 2 ** rounds of the first
+partitions, and no meeting more than ``MEETING_ITEMS`` pieces. What is left uncertified is marked, and
+:func:`fill` holds the containers used against the bound over all items.
 """
 
 from __future__ import annotations
@@ -21,13 +22,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.session import checkpointed
+from lexloom.session import stored
 
 PARTITION_ITEMS = 20_000
 ROUNDS = 3
 MEETING_ITEMS = 16 * PARTITION_ITEMS  # pieces in a meeting; partitions of over half of it stay as they are
 MOST_BITS = 1 << 16  # capacities up to this are tracked as bits of one number
-_STATE = "container_kind string, capacity int, part long, bin long, doc_id long, piece int, start_token long, tokens int, gap boolean"
+_STATE = (
+    "container_kind string, capacity int, part long, bin long, item long, doc_id long, piece int, start_token long, "
+    "tokens int, gap boolean"
+)
 
 
 def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -71,9 +75,14 @@ def _best_fit_sorted(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return place
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """Containers needed at least, the best of two families of dual feasible functions."""
-    present, copies = np.unique(sizes[sizes > 0].astype(np.int64), return_counts=True)
+def lower_bound(sizes: np.ndarray, capacity: int, times: np.ndarray | None = None) -> int:
+    """Containers needed at least, the best of two families of dual feasible functions; ``times`` counts distinct sizes."""
+    if times is None:
+        present, copies = np.unique(sizes[sizes > 0].astype(np.int64), return_counts=True)
+    else:
+        order = np.argsort(sizes, kind="stable")
+        order = order[sizes[order] > 0]
+        present, copies = sizes[order].astype(np.int64), times[order].astype(np.int64)
     if not len(present):
         return 0
     best = math.ceil(int((present * copies).sum()) / capacity)
@@ -132,12 +141,17 @@ def meetings(sizes: list[tuple[str, int, int]], turn: int, most: int = MEETING_I
 
 
 def pieces(items: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
-    """Every item once for each kind of container, cut where it exceeds the capacity."""
+    """Every item once for each kind of container, cut where it exceeds the capacity; ``item`` tells rows apart."""
     each = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(int(c)).alias("capacity")) for k, c in kinds])
     last = F.greatest(F.ceil(F.col("tokens") / F.col("capacity")).cast("int"), F.lit(1)) - 1
     return (
-        items.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"), F.explode(each).alias("k"))
-        .select("doc_id", "tokens", F.col("k.kind").alias("container_kind"), F.col("k.capacity").alias("capacity"))
+        items.select(
+            F.monotonically_increasing_id().alias("item"),
+            "doc_id",
+            F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens"),
+            F.explode(each).alias("k"),
+        )
+        .select("item", "doc_id", "tokens", F.col("k.kind").alias("container_kind"), F.col("k.capacity").alias("capacity"))
         .select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
         .withColumn("start_token", F.col("piece").cast("long") * F.col("capacity"))
         .withColumn("tokens", F.least(F.col("capacity"), F.col("tokens") - F.col("start_token")).cast("int"))
@@ -147,35 +161,44 @@ def pieces(items: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
 def fill_containers(
     items: DataFrame, kinds: list[tuple[str, int]], partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS
 ) -> DataFrame:
-    """(container_kind, capacity, container_id, doc_id, piece, start_token, tokens) of every item, for every kind.
+    """(container_kind, capacity, container_id, doc_id, piece, start_token, tokens, certified) of every item, for every kind.
 
     ``items`` are (doc_id, tokens). An item of size 0 or null takes no room and goes to any container of its
-    partition. A repeated item is packed each time. Kinds must have a positive capacity.
+    partition. A repeated item is packed each time. Kinds must have a positive capacity. ``certified`` tells that the
+    containers of the item's last partition are as few as its lower bound.
     """
     kinds = [(k, c) for k, c in kinds if k is not None and c and c > 0]
-    cut = checkpointed(pieces(items, kinds)) if kinds else pieces(items, [("", 1)]).limit(0)
-    parts = max(1, math.ceil(cut.where("piece = 0").count() / max(1, len(kinds)) / partition_items))
+    cut = stored(pieces(items, kinds)) if kinds else pieces(items, [("", 1)]).limit(0)
+    loose = cut.where(F.col("tokens") < F.col("capacity"))
+    counts = {r[0]: r[1] for r in loose.groupBy("container_kind").count().collect()}
+    parts = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, max(1, math.ceil(n / partition_items)))]) if counts else None
 
     def first(batches: pd.DataFrame) -> pd.DataFrame:
-        frame = batches.sort_values(["doc_id", "piece"], kind="stable")
+        frame = batches.sort_values(["item", "piece"], kind="stable")
         frame["bin"], gap = pack_partition(frame["tokens"].to_numpy(), int(frame["capacity"].iloc[0]))
         return frame.assign(gap=gap)[_names()]
 
     def again(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["part", "bin", "doc_id", "piece"], kind="stable")
+        frame = frame.sort_values(["part", "bin", "item", "piece"], kind="stable")
         old = frame["part"].to_numpy() * (1 << 32) + frame["bin"].to_numpy()
         place, gap = repack(old, frame["tokens"].to_numpy(), int(frame["capacity"].iloc[0]))
         return frame.assign(part=frame["meet"], bin=place, gap=gap)[_names()]
 
-    # pieces that fill a container by themselves are spread evenly like all others
+    # pieces that fill a container by themselves are settled; the part tells where they were cut, the bin which one it is
+    full = cut.where(F.col("tokens") == F.col("capacity")).select(
+        "container_kind", "capacity", F.lit(-1).cast("long").alias("part"), F.col("piece").cast("long").alias("bin"), "item",
+        "doc_id", "piece", "start_token", "tokens", F.lit(False).alias("gap"), F.lit(-1).alias("turn"),
+    )
+    if parts is None:
+        return _result(full)
     state = (
-        cut.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+        loose.withColumn("part", F.pmod(F.xxhash64("item", "piece"), parts[F.col("container_kind")]))
         .withColumn("bin", F.lit(0).cast("long"))
         .groupBy("container_kind", "capacity", "part")
         .applyInPandas(first, _STATE)
     )
-    state = checkpointed(state)
-    done: DataFrame | None = None
+    state = stored(state)
+    done = full
     for turn in range(rounds):
         sizes = state.where("gap").groupBy("container_kind", "part").count().collect()
         pairs = meetings([tuple(r) for r in sizes], turn)
@@ -187,17 +210,52 @@ def fill_containers(
         ).withColumn("gap", F.lit(True))
         keys = ["container_kind", "part", "gap"]
         settled = state.join(met, keys, "left_anti").select(*_names()).withColumn("turn", F.lit(turn))
-        done = settled if done is None else done.unionByName(settled)
-        state = checkpointed(
-            state.join(met, keys).groupBy("container_kind", "capacity", "meet").applyInPandas(again, _STATE)
-        )
-    rest = state.withColumn("turn", F.lit(rounds))
-    done = rest if done is None else done.unionByName(rest)
+        done = done.unionByName(settled)
+        state = stored(state.join(met, keys).groupBy("container_kind", "capacity", "meet").applyInPandas(again, _STATE))
+    return _result(done.unionByName(state.withColumn("turn", F.lit(rounds))))
+
+
+def _result(done: DataFrame) -> DataFrame:
+    item = F.when(F.col("turn") < 0, F.col("item"))  # a full piece's container is the item's own
     return done.select(
-        "container_kind", "capacity", F.concat_ws("-", "container_kind", "turn", "part", "bin").alias("container_id"),
-        "doc_id", "piece", "start_token", "tokens",
+        "container_kind", "capacity", F.concat_ws("-", "container_kind", "turn", "part", item, "bin").alias("container_id"),
+        "doc_id", "piece", "start_token", "tokens", (~F.col("gap")).alias("certified"),
     )
 
 
+def fill(packed: DataFrame) -> DataFrame:
+    """(container_kind, capacity, containers, least_containers, certified, tokens, used) of each kind.
+
+    ``least_containers`` is the lower bound over all items of the kind, from the numbers of items by size (at most as
+    many rows as the capacity); ``certified`` counts containers of partitions at their own bound.
+    """
+
+    def bound(frame: pd.DataFrame) -> pd.DataFrame:
+        least = lower_bound(frame["tokens"].to_numpy(), int(frame["capacity"].iloc[0]), frame["n"].to_numpy())
+        return frame[["container_kind", "capacity"]].head(1).assign(least_containers=least)
+
+    bounds = (
+        packed.groupBy("container_kind", "capacity", "tokens")
+        .agg(F.count("*").alias("n"))
+        .groupBy("container_kind", "capacity")
+        .applyInPandas(bound, "container_kind string, capacity int, least_containers long")
+    )
+    used = (
+        packed.groupBy("container_kind", "capacity", "container_id")
+        .agg(F.sum("tokens").alias("tokens"), F.first("certified").alias("certified"))
+        .groupBy("container_kind", "capacity")
+        .agg(
+            F.count("*").alias("containers"),
+            F.count_if("certified").alias("certified"),
+            F.sum("tokens").alias("tokens"),
+        )
+    )
+    return (
+        used.join(bounds, ["container_kind", "capacity"])
+        .withColumn("used", F.col("tokens") / (F.col("containers") * F.col("capacity")))
+        .select("container_kind", "capacity", "containers", "least_containers", "certified", "tokens", "used")
+    )
+
+
 def _names() -> list[str]:
     return [c.split()[0] for c in _STATE.split(", ")]

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lexloom.functions.unicode import letters_digits_key
 from lexloom.llm.canonical import map_to_canonical
 from lexloom.llm.copies import all_pairs, collapse, members
-from lexloom.llm.encoding import TOKENIZER_DIR, encode_corpus
+from lexloom.llm.encoding import TOKENIZER_DIR, encode_corpus, token_counts
 from lexloom.llm.lookalike import inconsistent_texts
-from lexloom.llm.packing import fill_containers
+from lexloom.llm.packing import fill, fill_containers
 from lexloom.llm.subjects import assign_subjects, calibrate, read_terms, subject_shares
 from lexloom.llm.survivor import candidates, layers, survivors
 from lexloom.operators.packed import FIXED_EXPRESSIONS, segmenter
@@ -108,34 +108,25 @@ def p5_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return collapse(load(spark, d, "source_rows", "row_id", "raw_term", "headword"), "row_id", ["raw_term", "headword"])
 
 
-def _ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_corpus(
-        load(spark, d, "documents", "doc_id", "text"), spark.conf.get(TOKENIZER_SETTING, TOKENIZER_DIR)
-    )
+def _tokenizer(spark: SparkSession) -> str:
+    return spark.conf.get(TOKENIZER_SETTING, TOKENIZER_DIR)
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document; an empty array for null and empty texts."""
-    return _ids(spark, d)
+    return encode_corpus(load(spark, d, "documents", "doc_id", "text"), _tokenizer(spark))
 
 
 def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     """The container of every document, or of every piece of one that exceeds the capacity, for each kind."""
     kinds = small_rows(load(spark, d, "containers", "container_kind", "capacity_tokens"), MOST_KINDS)
-    sizes = _ids(spark, d).select("doc_id", F.size("ids").alias("tokens"))
+    sizes = token_counts(load(spark, d, "documents", "doc_id", "text"), _tokenizer(spark))
     return fill_containers(sizes, [(r[0], r[1]) for r in kinds])
 
 
 def p8_fill(spark: SparkSession, d: str) -> DataFrame:
-    """Containers used, tokens held and share of space used, for each kind."""
-    return (
-        p8_packing(spark, d)
-        .groupBy("container_kind", "capacity", "container_id")
-        .agg(F.sum("tokens").alias("tokens"))
-        .groupBy("container_kind", "capacity")
-        .agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
-        .withColumn("used", F.col("tokens") / (F.col("containers") * F.col("capacity")))
-    )
+    """Containers used and needed at least, tokens held and share of space used, for each kind."""
+    return fill(p8_packing(spark, d))
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
