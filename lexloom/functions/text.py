@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.unicode import nfkc, nfkd_ascii
+from lexloom.functions.unicode import casefold, nfkc, nfkd_ascii
 
 # Qualifiers in brackets that belong to the form itself.
 OPTIONAL_COMPLEMENTS = (
@@ -17,6 +17,12 @@ OPTIONAL_COMPLEMENTS = (
 )
 # Optional spelling suffixes in brackets.
 OPTIONAL_SUFFIXES = ("s", "es", "d", "e", "h", "me", "my", "dy", "graph", "theque", "time", "wards")
+# Two forms that no rule gives, "as typed, form".
+FIXED_FORMS = (("(a)round", "around"), ("kilo(gram[me]) / kg", "kilogram / kg"))
+# Endings of abstract nouns.
+ABSTRACT_SUFFIXES = (
+    "acy", "ance", "ancy", "ation", "dom", "ence", "ency", "hood", "ism", "ity", "ment", "ness", "ship", "sion", "tion"
+)
 # Part-of-speech labels and the patterns that name them, in order; a text gets every label that matches.
 POS_RULES = (
     ("proper noun", r"\bproper noun\b|\bproper n\b"),
@@ -76,6 +82,8 @@ def lexical_form(text: Column) -> Column:
     A bracket at the end goes unless it is an optional complement, whose brackets go; optional suffixes and other
     inner brackets go; brackets that open the term stay.
     """
+    for typed, form in FIXED_FORMS:
+        text = F.when(F.lower(text) == typed, F.lit(form)).otherwise(text)
     tail = r"^(.*?)\s+\(([^()]*)\)$"
 
     def shorter(form: Column) -> Column:
@@ -96,8 +104,8 @@ def lexical_form(text: Column) -> Column:
 
 
 def lexical_key(text: Column) -> Column:
-    """Grouping key of a term: lexical form in lower case, bullets and outer marks off, sb and sth for persons and things."""
-    x = F.regexp_replace(F.lower(lexical_form(text)), r"^[•·▪◦*-]+\s*", "")
+    """Grouping key of a term: lexical form case-folded, bullets and outer marks off, sb and sth for persons and things."""
+    x = F.regexp_replace(casefold(lexical_form(text)), r"^[•·▪◦*-]+\s*", "")
     x = F.regexp_replace(x, r"\b(?:somebody|someone)\b", "sb")
     x = F.regexp_replace(x, r"\bsomething\b", "sth")
     x = F.regexp_replace(F.regexp_replace(x, r"\s*/\s*", "/"), r"\s*-\s*", "-")
@@ -108,7 +116,7 @@ def stable_slug(x: Column) -> Column:
     """ASCII slug of up to 54 characters and eight hex digits of the SHA-1 of the lower-case text."""
     slug = F.btrim(F.regexp_replace(F.lower(nfkd_ascii(x)), "[^a-z0-9]+", "-"), F.lit("-"))
     stem = F.coalesce(F.nullif(F.btrim(F.substring(slug, 1, 54), F.lit("-")), F.lit("")), F.lit("entry"))
-    return F.concat_ws("-", stem, F.substring(F.sha1(F.encode(F.lower(x), "UTF-8")), 1, 8))
+    return F.concat_ws("-", stem, F.substring(F.sha1(F.encode(casefold(x), "UTF-8")), 1, 8))
 
 
 def public_id(x: Column, prefix: str = "hard-word-") -> Column:
@@ -316,4 +324,23 @@ def sentence_of(chunks: Column) -> Column:
 
 def lesson_number(page: Column, first: int = 6, pages: int = 3) -> Column:
     """Two-digit number of the lesson of ``pages`` pages each that ``page`` is in, counted from page ``first``."""
-    return F.lpad((F.floor((page - first) / pages) + 1).cast("string"), 2, "0")
+    return F.format_string("%02d", F.floor((page - first) / pages) + 1)
+
+
+def starts_answer(target: Column, typed: Column) -> Column:
+    """Whether what is typed so far is a beginning of the target, both as answers; nothing typed is none."""
+    begun = normalize_answer(typed)
+    return (begun != "") & normalize_answer(target).startswith(begun)
+
+
+def abstract_noun(x: Column) -> Column:
+    """Whether a word ends as abstract nouns do."""
+    return F.lower(x).rlike("(" + "|".join(ABSTRACT_SUFFIXES) + r")\z")
+
+
+def source_pdf(source: Column, ref: Column) -> Column:
+    """File name of the PDF a row comes from, by its reference ``….pdf#page=`` or its source; empty if neither tells."""
+    named = F.when(F.lower(ref).contains(".pdf#page="), F.substring_index(ref, "#page=", 1)).when(
+        F.lower(source).endswith(".pdf"), source
+    )
+    return F.coalesce(F.regexp_extract(named, r"([^/]*)$", 1), F.lit(""))

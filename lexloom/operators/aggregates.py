@@ -124,3 +124,17 @@ def least_loaded(load: DataFrame, lane: str, seed: int) -> DataFrame:
     """The lane with the fewest rows; of equal ones a reproducible random one. Null lanes don't count."""
     counted = load.where(F.col(lane).isNotNull()).groupBy(lane).agg(F.count("*").alias("n"))
     return counted.agg(F.min_by(lane, F.struct("n", F.xxhash64(F.lit(seed), F.col(lane)))).alias(lane))
+
+
+def statistics_map(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """One row with a map ``statistics`` of a table of counts, which has a row for each key and few of them."""
+    return counts.agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias("statistics"))
+
+
+def renamed_keys(x: Column, names: dict[str, str], drop: list[str]) -> Column:
+    """A map without the keys ``drop``, others under new names; a new name that is there already aborts."""
+    kept = F.map_filter(x, lambda k, v: ~k.isin(*drop)) if drop else x
+    if not names:
+        return kept
+    new = F.create_map(*[F.lit(t) for pair in names.items() for t in pair])
+    return F.transform_keys(kept, lambda k, v: F.coalesce(F.try_element_at(new, k), k))

@@ -129,3 +129,15 @@ def round_robin(df: DataFrame, number: str, size: int, total: int, cursor: int =
     """Batch and place of each row of a dense numbering 0..total-1, starting at ``cursor`` and wrapping around."""
     place = F.pmod(F.col(number) - cursor, F.lit(total))
     return df.withColumn("batch", F.floor(place / size)).withColumn("place", F.pmod(place, F.lit(size)))
+
+
+def waves(df: DataFrame, keys: list[str], order: list[str], block: Column, hit: Column, per_wave: int) -> DataFrame:
+    """The rows that hold ``hit``, with the number of their ``wave``: ``per_wave`` of them each, from 1 on."""
+    counted = blocked(df.where(hit), keys, order, block, {"_hits": ("sum", F.lit(1))})
+    return counted.withColumn("wave", F.floor((F.col("_hits") - 1) / per_wave) + 1).drop("_hits")
+
+
+def alternating(df: DataFrame, number: Column, size: int, first: str, second: str) -> DataFrame:
+    """``df`` with a ``mode`` that alternates by ``number`` for ``size`` rows, and the complement for the next ``size``."""
+    place = F.pmod(number, F.lit(2 * size))
+    return df.withColumn("mode", F.when((F.pmod(place, F.lit(2)) == 0) == (place < size), first).otherwise(second))

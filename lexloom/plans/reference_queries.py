@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as X
-from lexloom.functions.alternatives import slash_alternatives
+from lexloom.functions.alternatives import CARRIED_VERBS, PREPOSITIONS, slash_alternatives
 from lexloom.functions.unicode import casefold, nfkd_ascii
 from lexloom.operators import aggregates as A
 from lexloom.operators import digests as D
@@ -189,10 +189,32 @@ def text_route(s, d):
     return texts.groupBy(X.has_text_layer(F.col("text")).alias("route")).agg(F.count("*").alias("n"))
 
 
-@query()
+_SLASH_SQL = r"""WITH t AS (SELECT row_id, trim(regexp_replace(raw_term, 'WS+', ' ', 'g'), ' ') AS x FROM source_rows
+  WHERE raw_term IS NOT NULL),
+p AS (SELECT row_id, [trim(y, ' ') FOR y IN string_split(x, '/') IF trim(y, ' ') <> ''] AS ps FROM t),
+s AS (SELECT *, CASE WHEN len(ps) > 1 THEN regexp_extract(ps[-1], '\s(\([^()]+\))$', 1) ELSE '' END AS tail FROM p),
+q AS (SELECT row_id, [CASE WHEN tail = '' OR suffix(y, tail) THEN y ELSE y || ' ' || tail END FOR y IN ps] AS ps FROM s),
+w AS (SELECT *, string_split(ps[1], ' ') AS a, string_split(ps[2], ' ') AS b,
+  regexp_extract(ps[1], '^(.*\S) \S+$', 1) AS head FROM q),
+r AS (SELECT row_id, CASE
+  WHEN len(ps) = 2 THEN [
+    ps[1] || CASE WHEN lower(b[-1]) IN PREPS AND lower(a[-1]) NOT IN PREPS THEN ' ' || b[-1] ELSE '' END,
+    CASE WHEN lower(a[1]) = 'be' AND lower(b[1]) <> 'be' THEN 'Be ' ELSE '' END
+      || CASE WHEN len(a) > 1 AND len(b) = 1 AND lower(a[1]) IN VERBS THEN head || ' ' ELSE '' END || ps[2]]
+  WHEN len(ps) > 2 AND len(a) > 1 AND len([y FOR y IN ps[2:] IF lower(y) NOT IN PREPS]) = 0
+    THEN [ps[1]] || [head || ' ' || y FOR y IN ps[2:]]
+  ELSE ps END AS out FROM w)
+SELECT row_id, unnest(generate_series(0, len(out) - 1))::INT AS n, unnest(out) AS term FROM r WHERE len(out) > 0"""
+
+
+@query(
+    _SLASH_SQL.replace("WS", r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+    .replace("PREPS", str(PREPOSITIONS))
+    .replace("VERBS", str(CARRIED_VERBS))
+)
 def slash_expansions(s, d):
-    terms = load(s, d, "source_rows", "row_id", "raw_term").where(F.col("raw_term").contains("/"))
-    return terms.select("row_id", F.posexplode(slash_alternatives("raw_term")).alias("n", "term"))
+    terms = load(s, d, "source_rows", "row_id", "raw_term").where(F.col("raw_term").isNotNull())
+    return terms.select("row_id", F.posexplode(slash_alternatives(F.col("raw_term"))).alias("n", "term"))
 
 
 @query()
