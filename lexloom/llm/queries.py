@@ -21,6 +21,7 @@ MOST_KINDS = 1_000
 #: Session setting that names the folder of the public tokenizers.
 TOKENIZER_SETTING = "spark.lexloom.tokenizers"
 CEFR = ("A1", "A2", "B1", "B2", "C1", "C2")
+ENTRY = ("headword", "pos", "cefr", "source")
 
 
 def _spaced(column: str):
@@ -44,7 +45,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return inconsistent_texts(load(spark, d, "source_rows", "row_id", *fields), "row_id", fields)
 
 
-def _target_layers(spark: SparkSession, d: str) -> DataFrame:
+def _target_layers(spark: SparkSession, d: str, values: tuple[str, ...] = ()) -> DataFrame:
     registry = (
         load(spark, d, "source_registry", "display_name", "trust_rank")
         .where(F.col("display_name").isNotNull())
@@ -66,7 +67,7 @@ def _target_layers(spark: SparkSession, d: str) -> DataFrame:
         "cefr": F.upper(_spaced("cefr")).isin(*CEFR),
         "source": F.col("trust_rank").isNotNull(),
     }
-    return layers(candidates(rows, "key", "row_id", "trust_rank", "extracted_at", usable), "key")
+    return layers(candidates(rows, "key", "row_id", "trust_rank", "extracted_at", usable, values), "key")
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -79,17 +80,14 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_entries(spark: SparkSession, d: str) -> DataFrame:
     """One entry for each headword of the target rows, every field from its surviving row."""
-    best = survivors(_target_layers(spark, d), "key").where(F.col("id").isNotNull())
-    chosen = best.select("key", "first_id", "size", "field", F.col("id").alias("row_id"))
-    rows = load(spark, d, "target_rows", "row_id", "source", "headword", "pos", "cefr")
-    value = F.coalesce(*[F.when(F.col("field") == f, F.col(f)) for f in ("headword", "pos", "cefr", "source")])
+    best = survivors(_target_layers(spark, d, ENTRY), "key")
+    value = F.when(F.col("id").isNotNull(), F.element_at("values", F.array_position(F.array(*map(F.lit, ENTRY)), F.col("field")).cast("int")))
     return (
-        chosen.join(rows, "row_id")
-        .groupBy("key")
+        best.groupBy("key")
         .agg(
             F.min("first_id").alias("group_row_id"),
             F.max("size").alias("n_rows"),
-            *[F.max(F.when(F.col("field") == f, value)).alias(f) for f in ("headword", "pos", "cefr", "source")],
+            *[F.max(F.when(F.col("field") == f, value)).alias(f) for f in ENTRY],
         )
         .drop("key")
     )
@@ -163,15 +161,13 @@ QUERIES = {
 }
 _KEY = r"regexp_replace(lower(nfc_normalize({0})), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _SPACED = r"trim(regexp_replace(lower({0}), '\s+', ' ', 'g'))"
-
-ORACLES = {
-    "p4_found": f"""
+_P4_SQL = f"""
 WITH reg AS (SELECT {_SPACED.format("display_name")} AS source_name, min(trust_rank) AS trust FROM source_registry GROUP BY 1),
 t AS (
   SELECT row_id, extracted_at, {_KEY.format("headword")} AS k, reg.trust,
     {_SPACED.format("pos")} AS p, upper({_SPACED.format("cefr")}) AS c
   FROM target_rows LEFT JOIN reg ON {_SPACED.format("source")} = reg.source_name WHERE headword IS NOT NULL),
-g AS (SELECT k, min(row_id) AS group_row_id FROM t GROUP BY k HAVING count(*) > 1),
+g AS (SELECT k, min(row_id) AS group_row_id, count(*) AS n_rows FROM t GROUP BY k HAVING count(*) >= LEAST_ROWS),
 names AS (SELECT lower(label) AS n FROM pos_labels UNION SELECT lower(short_form) FROM pos_labels),
 u AS (
   SELECT *, 'headword' AS field FROM t
@@ -181,7 +177,16 @@ u AS (
 r AS (
   SELECT k, field, row_id, row_number() OVER (PARTITION BY k, field ORDER BY trust NULLS LAST, extracted_at DESC NULLS LAST, row_id) AS n
   FROM u)
-SELECT group_row_id, field, row_id FROM r JOIN g USING (k) WHERE n = 1""",
+"""
+
+ORACLES = {
+    "p4_found": _P4_SQL.replace("LEAST_ROWS", "2") + "SELECT group_row_id, field, row_id FROM r JOIN g USING (k) WHERE n = 1",
+    "p4_entries": _P4_SQL.replace("LEAST_ROWS", "1")
+    + """, v AS (SELECT k, field, CASE field WHEN 'headword' THEN headword WHEN 'pos' THEN pos WHEN 'cefr' THEN cefr ELSE source END AS x
+  FROM r JOIN target_rows USING (row_id) WHERE n = 1)
+SELECT group_row_id, n_rows, """
+    + ", ".join(f"max(CASE WHEN field = '{f}' THEN x END) AS {f}" for f in ENTRY)
+    + " FROM g JOIN v USING (k) GROUP BY k, group_row_id, n_rows",
     "p5_found": f"""
 WITH k AS (SELECT row_id, {_KEY.format("raw_term")} AS a, {_KEY.format("headword")} AS b FROM source_rows
   WHERE raw_term IS NOT NULL AND headword IS NOT NULL),
