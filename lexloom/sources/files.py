@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexloom.functions.text import clean_text, source_title
 from lexloom.operators.gates import GateError
 
 REQUIRED = ["source", "raw_term", "headword"]
@@ -25,44 +27,81 @@ PNG = "89504E470D0A1A0A"
 BOXED = r"^[A-Za-z][A-Za-z' -]*$"
 
 
-def tsv_evidence(spark: SparkSession, path: str, legacy: bool = False) -> DataFrame:
-    """Rows of all TSV files under ``path``: read by column name, with file, line and defaults.
+def _tsv_groups(spark: SparkSession, path: str, multi_line: bool) -> list[tuple[list[str], DataFrame]]:
+    """(column names, rows as texts) of the TSV files under ``path``, those of one header together.
 
-    A byte order mark before a header is no part of its first name. Files that lack required columns, or policy
-    columns unless they are legacy ones, abort. Rows without a headword are dropped; an empty raw term takes the
-    headword, an empty source the file's name; all other nulls become empty texts. Empty files add no rows.
+    Only the headers come to the driver, which lists the files anyway; large files are read in splits.
     """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option(
-            "pathGlobFilter", "*.[tT][sS][vV]"
-        ).load(
-            path
-        )
+    found = {"recursiveFileLookup": True, "pathGlobFilter": "*.[tT][sS][vV]"}
+    first = (
+        spark.read.options(**found)
+        .text(path)
+        .select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"))
+        .where("file_block_start = 0")
     )
-    lines = files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("source_file"), F.decode("content", "UTF-8").alias("text")
-    ).select("source_file", F.posexplode(F.split(F.regexp_replace("text", "^﻿", ""), "\r?\n")).alias("line_no", "line"))
-    headers = lines.where("line_no = 0").select("source_file", F.split("line", "\t").alias("names"))
+    headers = first.groupBy("file_path").agg(F.min_by("value", "at").alias("header")).collect()
+    paths: dict[str, list[str]] = {}
+    for row in headers:
+        paths.setdefault(row["header"].removeprefix("\ufeff"), []).append(row["file_path"])
+    groups = []
+    for header, own in sorted(paths.items()):
+        names = header.split("\t")
+        # of a repeated name the last column counts
+        unique = [n if n not in names[i + 1 :] else f"_{i}" for i, n in enumerate(names)]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in unique])
+        options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": multi_line, "nullValue": "\u0000"}
+        groups.append((names, spark.read.schema(schema).options(**options).csv(own)))
+    return groups
+
+
+def tsv_evidence(spark: SparkSession, path: str, legacy: bool = False, multi_line: bool = False) -> DataFrame:
+    """Rows of all TSV files under ``path``: read by column name, with file, record number and defaults.
+
+    Cells may be quoted, a doubled quote inside standing for one, and then hold tabs; they may hold line ends with
+    ``multi_line``, which reads each file in one task. A byte order mark before a header is no part of its first name.
+    Files that lack required columns, or policy columns unless they are legacy ones, abort; so do legacy files with a
+    row of another role or policy than a target's. Cells are cleaned. Rows without a headword are dropped; an empty raw
+    term takes the headword, an empty source the file's name; all other nulls become empty texts. Empty files add no
+    rows. ``line_no`` counts the header and the records before.
+    """
     wanted = REQUIRED + ([] if legacy else POLICY)
-    lacking = headers.select("source_file", F.array_except(F.array(*map(F.lit, wanted)), "names").alias("lacks")).where(
-        F.size("lacks") > 0
-    )
-    if bad := lacking.limit(20).collect():
-        raise GateError("; ".join(f"{r['source_file']} lacks {', '.join(r['lacks'])}" for r in bad))
-    rows = lines.where((F.col("line_no") > 0) & (F.col("line") != "")).join(headers, "source_file")
-    cells = F.map_from_arrays(
-        "names",
-        F.slice(
-            F.concat(F.split("line", "\t", -1), F.array_repeat(F.lit(""), F.size("names"))), F.lit(1), F.size("names")
-        ),
-    )
-    named = rows.select("source_file", (F.col("line_no") + 1).alias("line_no"), cells.alias("c"))
-    value = lambda n: F.btrim(F.coalesce(F.element_at("c", n), F.lit("")))
+    names_out = [*LEGACY, *POLICY, "locator"]
+    groups = _tsv_groups(spark, path, multi_line)
+    bad = [(names, [w for w in wanted if w not in names]) for names, _ in groups]
+    if lacking := [f"a file with {', '.join(n)} lacks {', '.join(w)}" for n, w in bad if w]:
+        raise GateError("; ".join(lacking[:20]))
+    out: DataFrame | None = None
+    for names, rows in groups:
+        cells = [
+            (clean_text(F.coalesce(F.col(f"`{n}`"), F.lit(""))) if n in names else F.lit("")).alias(n) for n in names_out
+        ]
+        placed = rows.select(
+            F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+            F.monotonically_increasing_id().alias("_at"), *cells,
+        )
+        before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        splits = (  # one row a split: where it begins, and the records before it
+            placed.groupBy("_path", "_block")
+            .agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+            .withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+            .select("_path", "_block", "_first", "_before")
+        )
+        numbered = placed.join(splits, ["_path", "_block"]).select(
+            F.regexp_extract("_path", r"([^/]+)$", 1).alias("source_file"),
+            (F.col("_at") - F.col("_first") + F.col("_before") + 2).cast("int").alias("line_no"),
+            *names_out,
+        )
+        out = numbered if out is None else out.unionByName(numbered)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(["source_file string, line_no int", *[f"{n} string" for n in names_out]]))
+    out = out.where("headword <> ''")
+    if legacy:
+        other = out.where("source_role NOT IN ('', 'target_reference') OR corpus_policy NOT IN ('', 'target')")
+        if found := other.select("source_file", "headword").limit(20).collect():
+            raise GateError("legacy files hold other rows: " + "; ".join(f"{r[0]}: {r[1]}" for r in found))
     stem = F.regexp_replace("source_file", r"\.[^.]+$", "")
-    names = [*LEGACY, *POLICY, "locator"]
-    out = named.select("source_file", "line_no", *[value(n).alias(n) for n in names]).where("headword <> ''")
     return out.withColumn("raw_term", F.coalesce(F.nullif("raw_term", F.lit("")), "headword")).withColumn(
-        "source", F.coalesce(F.nullif("source", F.lit("")), stem)
+        "source", F.coalesce(F.nullif(source_title(F.col("source")), F.lit("")), stem)
     )
 
 
