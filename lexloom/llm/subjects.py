@@ -15,11 +15,13 @@ from __future__ import annotations
 import math
 import os
 import re
+from array import array
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,28 +156,50 @@ def subject_counts(terms: list[list[int]], weights: list[list[tuple[str, float]]
 
 
 def matched_terms(documents: DataFrame, terms: list[tuple[str, str, float]]) -> DataFrame:
-    """(doc_id, n_sentences, terms, contexts) of every document with a non-blank text."""
+    """(doc_id, n_sentences, sentences, terms, contexts) of every document with a non-blank text, one place a term found."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = SubjectMatcher(terms)
         for batch in batches:
-            found = [tool.match(t) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_sentences": [n for n, _ in found],
-                    "terms": [[[t for t, _ in s] for s in x] for _, x in found],
-                    "contexts": [[[c for _, c in s] for s in x] for _, x in found],
-                }
+            sizes, ends, flat = array("i"), array("i", [0]), (array("i"), array("i"), array("q"))
+            for text in batch.column("text").to_pylist():
+                n, found = tool.match(text)
+                sizes.append(n)
+                for k, own in enumerate(found):
+                    for term, context in own:
+                        flat[0].append(k)
+                        flat[1].append(term)
+                        flat[2].append(context)
+                ends.append(len(flat[0]))
+            lists = [pa.ListArray.from_arrays(pa.array(np.asarray(ends)), pa.array(np.asarray(x))) for x in flat]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(np.asarray(sizes)), *lists],
+                ["doc_id", "n_sentences", "sentences", "terms", "contexts"],
             )
 
     return (
         documents.where(F.col("text").isNotNull() & F.col("text").rlike(r"(?U)\S"))
         .select("doc_id", "text")
-        .mapInPandas(run, "doc_id long, n_sentences int, terms array<array<int>>, contexts array<array<long>>")
+        .mapInArrow(run, "doc_id long, n_sentences int, sentences array<int>, terms array<int>, contexts array<long>")
     )
 
 
+def _by_document(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[list[int]], list[list[int]]]]:
+    """(document, number of sentences, terms of each sentence, their contexts)."""
+    ends = batch.column("terms").offsets.to_pylist()
+    places, terms, contexts = (batch.column(c).values.to_pylist() for c in ("sentences", "terms", "contexts"))
+    for i, (doc, n) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("n_sentences").to_pylist())):
+        found: list[list[int]] = []
+        beside: list[list[int]] = []
+        for k in range(ends[i], ends[i + 1]):
+            if places[k] == len(found):
+                found.append([])
+                beside.append([])
+            found[-1].append(terms[k])
+            beside[-1].append(contexts[k])
+        yield doc, n, found, beside
+
+
 def term_weights(terms: list[tuple[str, str, float]], total: int, frequency: dict[int, int]) -> list[list[tuple[str, float]]]:
     """(subject, weight) of each term by its number: curated weight, rarity among ``total`` documents, number of subjects."""
     of: dict[str, dict[str, float]] = {}
@@ -190,19 +214,20 @@ def other_senses(
 ) -> frozenset[int]:
     """Contexts in which a term has another sense (see the head of this module); counted over all documents."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_of: Counter = Counter()
             treated: Counter = Counter()
-            for n, found, contexts in zip(batch["n_sentences"], batch["terms"], batch["contexts"]):
-                counts = subject_counts(list(found), weights)
+            for _, n, found, contexts in _by_document(batch):
+                counts = subject_counts([list(dict.fromkeys(x)) for x in found], weights)
                 treats = {s for s, c in counts.items() if c >= least_sentences and c >= least_share * n}
                 own = {c: t for ts, cs in zip(found, contexts) for t, c in zip(ts, cs)}
                 n_of.update(own.keys())
                 treated.update(c for c, t in own.items() if any(s in treats for s, _ in weights[t]))
-            yield pd.DataFrame({"context": list(n_of), "n": list(n_of.values()), "k": [treated[c] for c in n_of]})
+            columns = [list(n_of), list(n_of.values()), [treated[c] for c in n_of]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["context", "n", "k"])
 
-    counts = matched.where(F.size("terms") > 0).mapInPandas(count, "context long, n long, k long")
+    counts = matched.where(F.size("terms") > 0).mapInArrow(count, "context long, n long, k long")
     n, k = F.col("n"), F.col("k")
     upper = (k + Z * Z / 2 + Z * F.sqrt(k * (n - k) / n + Z * Z / 4)) / (n + Z * Z)  # of the Wilson interval
     common = counts.groupBy("context").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where(n >= LEAST_CONTEXT * total)
@@ -224,24 +249,27 @@ def subject_shares(
     matched = checkpointed(matched_terms(documents, terms))
     total = matched.count()
     counted = (
-        matched.select(F.explode(F.array_distinct(F.flatten("terms"))).alias("term")).groupBy("term").count().collect()
+        matched.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").count().collect()
     )
     weights = term_weights(terms, total, {row["term"]: row["count"] for row in counted})
     hidden = other_senses(matched, weights, total, least_sentences, least_share)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc, n, found, contexts in zip(
-                batch["doc_id"], batch["n_sentences"], batch["terms"], batch["contexts"]
-            ):
+            docs, names, about, shares = [], [], [], []
+            for doc, n, found, contexts in _by_document(batch):
                 told = [
                     list(dict.fromkeys(t for t, c in zip(ts, cs) if c not in hidden)) for ts, cs in zip(found, contexts)
                 ]
-                rows += [(doc, s, c, c / n) for s, c in sorted(subject_counts(told, weights).items())]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "n_about", "share"])
-
-    return matched.where(F.size("terms") > 0).mapInPandas(
+                for subject, count in sorted(subject_counts(told, weights).items()):
+                    docs.append(doc)
+                    names.append(subject)
+                    about.append(count)
+                    shares.append(count / n)
+            columns = [pa.array(docs, pa.int64()), pa.array(names, pa.string()), pa.array(about, pa.int32()), pa.array(shares, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "subject", "n_about", "share"])
+
+    return matched.where(F.size("terms") > 0).mapInArrow(
         score, "doc_id long, subject string, n_about int, share double"
     )
 
